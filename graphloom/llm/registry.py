@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
