@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, pseudonyms, substring_dedup
+from . import decontaminate, jaccard_join, pseudonyms, quality, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_pii_pseudonyms": pseudonyms.op9_pii_pseudonyms,
 }
