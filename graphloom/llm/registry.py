@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, pseudonyms, quality, substring_dedup
+from . import decontaminate, jaccard_join, pseudonyms, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_pii_pseudonyms": pseudonyms.op9_pii_pseudonyms,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
