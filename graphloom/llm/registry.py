@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, pseudonyms, quality, substring_dedup, toxicity
+from . import decontaminate, jaccard_join, ngram_lm, packing, pseudonyms, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_packing": packing.op2_packing,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+    "op4_lm_scoring": ngram_lm.op4_lm_scoring,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op9_pii_pseudonyms": pseudonyms.op9_pii_pseudonyms,

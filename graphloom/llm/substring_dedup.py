@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textops import Rolling, U64, Words, chunks, hash_spans, inside, ragged
+from .textops import Rolling, U64, Words, chunks, hash_spans, inside, packed_by, ragged
 
 WINDOW = 13
 ANCHOR = 5
@@ -66,12 +66,6 @@ def _tags(texts: list[bytes]) -> np.ndarray:
     return (hash_spans(data, ends - np.diff(ends, prepend=0), ends) >> U64(48)).astype(np.uint16)
 
 
-def _packed(shard: np.ndarray, n: int, *arrays: np.ndarray) -> list[pa.Array]:
-    """For arrays sorted by shard: one binary value for each of n shards."""
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=n))))
-    return [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * a.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))]) for a in arrays]
-
-
 def blocks_of(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """First window, number of windows, minimiser and content of each block, and the hash of every window."""
     values = Rolling(words.hashes())
@@ -114,11 +108,11 @@ def _index_entries(shards: int, window: int, anchor: int):
             known, ref = known[to], ref[to]
             known_shard = holder[known] % shards
             columns = [
-                *_packed(entry_shard, shards, key[entry], n[entry].astype(np.uint8)),
-                *_packed(np.repeat(entry_shard, n[entry]), shards, (each >> U64(32)).astype(np.uint32)),
-                *_packed(entry_shard, shards, holders),
-                *_packed(shard, shards, holder[asked], tag[asked], at[asked]),
-                *_packed(known_shard, shards, holder[known], tag[known], at[known], n[known].astype(np.uint8), ref),
+                *packed_by(entry_shard, shards, key[entry], n[entry].astype(np.uint8)),
+                *packed_by(np.repeat(entry_shard, n[entry]), shards, (each >> U64(32)).astype(np.uint32)),
+                *packed_by(entry_shard, shards, holders),
+                *packed_by(shard, shards, holder[asked], tag[asked], at[asked]),
+                *packed_by(known_shard, shards, holder[known], tag[known], at[known], n[known].astype(np.uint8), ref),
             ]
             out = pa.record_batch([pa.array(np.arange(shards, dtype=np.int32)), *columns], names=[c.split()[0] for c in INDEX.split(", ")])
             used = (np.bincount(shard, minlength=shards) + np.bincount(known_shard, minlength=shards)) > 0

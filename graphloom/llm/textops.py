@@ -161,3 +161,9 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(count)
     return np.arange(total) + np.repeat(start - (ends - count), count)
+
+
+def packed_by(shard: np.ndarray, n: int, *arrays: np.ndarray) -> list[pa.Array]:
+    """For arrays sorted by shard: columns with one binary value for each of n shards."""
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=n))))
+    return [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * a.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))]) for a in arrays]
