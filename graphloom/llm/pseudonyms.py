@@ -222,7 +222,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, count: str | None = None) -
             arrays = [column if i == at else a for i, a in enumerate(batch.columns)] + [pa.array(counts, pa.int64())] * bool(count)
             yield pa.record_batch(arrays, names=names + [count] * bool(count))
 
-    schema = StructType([*docs.schema.fields, *[StructField(count, LongType())] * bool(count)])
+    schema = StructType([*docs.schema.fields, *([StructField(count, LongType())] if count else [])])
     out = docs.mapInArrow(treated, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
