@@ -56,10 +56,11 @@ def write(pages: DataFrame, folder: str, revisit_from: int = REVISIT_FROM) -> No
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     page = page.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    first = runtime.stored(page.groupBy("digest").agg(F.min("page_id").alias("first")), "warc-first")
-    kept = page.select("page_id", "digest", "payload").join(first, (page.digest == first.digest) & page.page_id.eqNullSafe(first["first"])).select(page.digest, "page_id", "payload")
-    kept.dropDuplicates(["digest", "page_id"]).select("digest", "payload").write.parquet(f"{folder}/payloads")
-    record = page.select("page_id", "url", "digest", "size").join(first, "digest", "left")
+    page = page.withColumn("key", F.coalesce("page_id", F.lit(-(1 << 63))))  # of equal payloads any row's will do
+    first = runtime.stored(page.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("key").alias("key")), "warc-first")
+    kept = page.select("digest", "key", "payload").join(first.select("digest", "key"), ["digest", "key"]).dropDuplicates(["digest", "key"])
+    kept.select("digest", "payload").write.parquet(f"{folder}/payloads")
+    record = page.select("page_id", "url", "digest", "size").join(first.select("digest", "first"), "digest", "left")
     again = (F.col("size") >= revisit_from) & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first"))
     kind = F.when(again, "revisit").otherwise("response")
     header = _header(kind, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.when(again, F.col("first")))
