@@ -20,10 +20,13 @@ Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,64 +35,131 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textops import U64, Words, chunks, ragged
+from .textops import Words, chunks, ragged
 
 CAPACITY = 4096
 END_ID = 2
 SENTENCE, WORD, SEQUENCE = 12, 48, 8
 SPREAD = 64
 BLOCK = 1 << 20
-VOCABULARY = 1 << 19  # different words a worker remembers before it starts anew
+PUNCTUATION = b".,;:!?%*#$&|)]\""
+VOCABULARY = 1 << 20  # different words a worker remembers before it starts anew
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokenizer:
-    """Ids of texts, by words: this tokenizer splits at all white space, so a text's ids are its words' ids in a row."""
+    """Ids of texts, by words: this tokenizer splits at all white space, so a text's ids are its words' ids in a row.
+
+    Different words are tokenized once and remembered; new ones many to a call, joined by spaces. Where one word's ids
+    end is then found by counting pre-tokens: the last id of each has the end-of-word suffix. Words for which the count
+    could differ (not normalised, special tokens), and calls in which it does, are tokenized by themselves.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.parts = regex.compile(pattern).findall
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.begin, self.count, self.stop = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.words: dict[int, int] = {}  # number by a word's hash
+        self.cores: dict[bytes, int] = {}  # number by the bytes of a word without case and punctuation, or of punctuation
+        self.size = 0
+        self.flat, self.begin, self.stop = np.empty(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), np.empty(1 << 14, bool)
+
+    def _ids(self, words: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """Some of the words, their ids in a row, and how many are each one's."""
+        alone, plain, texts = [], [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if "<|" not in text and (len(text) == len(w) or unicodedata.is_normalized("NFC", text) and len(text.lower()) == len(text)):
+                plain.append(w)
+                texts.append(text)
+            else:
+                alone.append(w)
+        for lo in range(0, len(plain), 1024):
+            part = texts[lo : lo + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            last = np.cumsum([len(self.parts(w.lower())) for w in part])
+            if last[-1] == len(ends) - 1:
+                yield plain[lo : lo + 1024], ids, np.diff(ends[last], prepend=0)
+            else:
+                alone += plain[lo : lo + 1024]
+        for lo in range(0, len(alone), 1024):
+            part = alone[lo : lo + 1024]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            yield part, np.array([i for own in ids for i in own], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """The numbers of new words. Words apart from punctuation after them and from the case of A-Z are tokenized; those that have it are put together."""
+        cores, tails, known, fresh = [], [], self.cores, {}
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            if core and core[-1:].isalnum():
+                tail = w[len(core) :]
+            else:
+                core, tail = w, b""
+            core = core.lower()
+            cores.append(core)
+            tails.append(tail)
+            if core not in known:
+                fresh[core] = None
+            if tail and tail not in known:
+                fresh[tail] = None
+        for words, ids, count in self._ids(list(fresh)):
+            known.update(zip(words, range(self.size, self.size + len(words))))
+            self._add(words, ids, count)
+        number = np.fromiter(map(known.__getitem__, cores), np.int64, len(new))
+        apart = [i for i, (w, c) in enumerate(zip(new, cores)) if w != c]
+        if apart:
+            parts = np.empty(2 * len(apart), np.int64)
+            parts[0::2], parts[1::2] = number[apart], [known[tails[i]] if tails[i] else -1 for i in apart]
+            n = np.where(parts < 0, 0, self.begin[parts + 1] - self.begin[parts])
+            number[apart] = np.arange(self.size, self.size + len(apart))
+            self._add([new[i] for i in apart], self.flat[ragged(self.begin[parts], n)], n[0::2] + n[1::2])
+        return number
+
+    def _add(self, words: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        n, m = self.size, self.size + len(words)
+        at, end = self.begin[n], self.begin[n] + len(ids)
+        if m > len(self.stop):
+            self.begin, self.stop = np.resize(self.begin, 2 * m + 1), np.resize(self.stop, 2 * m)
+        if end > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * int(end))
+        self.flat[at:end] = ids
+        self.begin[n + 1 : m + 1] = at + np.cumsum(count)
+        self.stop[n:m] = np.fromiter((w.rstrip(b"\"')]").endswith((b".", b"!", b"?")) for w in words), bool, len(words))
+        self.size = m
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the number of them by text, and for each id 2 at the end of a sentence, 1 at that of another word, else 0."""
-        if len(self.known) > VOCABULARY:
+        if self.size > VOCABULARY:
             self.forget()
-        words, counts = [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = text.split()
-            counts[i] = len(own)
-            words += own
-        known = self.known
-        try:
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    known[w] = len(known)
-                    self.ids.append(np.array(e.ids, np.uint32))
-            self.count = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-            self.begin = np.cumsum(self.count) - self.count
-            self.flat = np.concatenate(self.ids)
-            self.stop = np.concatenate((self.stop, np.fromiter((w.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?") for w in new), bool, len(new))))
-            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        n = self.count[at]
+        words = Words(texts)
+        unique, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        names = unique.tolist()
+        at = np.fromiter(map(self.words.get, names, repeat(-1)), np.int64, len(names))
+        if len(missing := np.flatnonzero(at < 0)):
+            data, place = words.data.tobytes(), first[missing]
+            at[missing] = self._learn([data[a:b] for a, b in zip(words.start[place].tolist(), words.end[place].tolist())])
+            self.words.update(zip(unique[missing].tolist(), at[missing].tolist()))
+        at = at[inverse]
+        n = self.begin[at + 1] - self.begin[at]
         ids = self.flat[ragged(self.begin[at], n)]
         mark = np.zeros(len(ids), np.int8)
         last = np.cumsum(n) - 1
         mark[last[n > 0]] = 1
         mark[last[(n > 0) & self.stop[at]]] = 2
-        by_text = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
-        return ids, np.diff(by_text), mark
+        return ids, np.diff(np.concatenate(([0], np.cumsum(n)))[words.first]), mark
 
 
 def places_of(counts: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,23 +187,28 @@ def places_of(counts: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndar
     return stops, penalty[stops]
 
 
-def cut(place: list[int], penalty: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[float]]:
+def cut(place: np.ndarray, penalty: np.ndarray, capacity: int = CAPACITY) -> tuple[list[int], list[float]]:
     """For every place the place before it at the least cost, and that cost. The first place is 0; neighbours are at most capacity apart."""
     n = len(place)
     cost, back = [0.0] * n, [0] * n
-    where = {p: i for i, p in enumerate(place)}
-    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
+    powers: list[tuple[int, ...]] = [()] * n  # places that are a power of two before
+    for power in (1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity):
+        at = np.minimum(np.searchsorted(place, place - power), n - 1)
+        hit = np.flatnonzero(place[at] == place - power)
+        for j, k in zip(hit.tolist(), at[hit].tolist()):
+            powers[j] += (k,)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost + place, place, number: rising
-    for j in range(1, n):
-        p = place[j]
+    for j, (p, extra) in enumerate(zip(place.tolist(), (penalty + SEQUENCE).tolist())):
+        if not j:
+            continue
         while queue[0][1] < p - capacity:
             queue.popleft()
-        best, i = queue[0][0] + capacity - p, queue[0][2]
-        for power in powers:
-            k = where.get(p - power)
-            if k is not None and cost[k] < best:
+        best, _, i = queue[0]
+        best += capacity - p
+        for k in powers[j]:
+            if cost[k] < best:
                 best, i = cost[k], k
-        best += penalty[j] + SEQUENCE
+        best += extra
         cost[j], back[j] = best, i
         key = best + p
         while queue and queue[-1][0] >= key:
@@ -143,7 +218,7 @@ def cut(place: list[int], penalty: list[int], capacity: int = CAPACITY) -> tuple
 
 
 def _cuts(place: np.ndarray, penalty: np.ndarray, capacity: int) -> np.ndarray:
-    back, _ = cut(place.tolist(), penalty.tolist(), capacity)
+    back, _ = cut(place, penalty, capacity)
     out, j = [], len(place) - 1
     while j:
         out.append(int(place[j]))
