@@ -76,10 +76,10 @@ def uses(graph: PropertyGraph, sinks: DataFrame, signatures: DataFrame, prototyp
     called = words(hop(graph, argument, "parent", "function", "AST"), "function", "fn").join(signatures, "fn")
     taken = F.when(F.col("position") <= F.size("args_types"), F.get("args_types", F.col("position") - 1)).when(F.col("rest"), F.get("args_types", F.lit(0)))
     operand = parent.where("kind = 'BinaryExpression'")
-    literal = label(graph, hop(graph, operand, "parent", "literal", "AST"), "literal", "Literal", keep={"literal": "sub_type"})
+    literal = label(graph, hop(graph, operand, "parent", "constant", "AST"), "constant", "Literal", keep={"literal": "sub_type"})
     typeof = label(graph, hop(graph, parent.where("kind = 'UnaryExpression' and operator = 'typeof'"), "parent", "declarator", "AST", reverse=True), "declarator", "VariableDeclarator", keep={"held": "identifier_name"})
     compared = operand.where(F.col("operator").isin(*COMPARED) & (F.col("role") == "left")).select("package_id", "parent", F.col("name").alias("held"))
-    compared = label(graph, hop(graph, compared, "parent", "literal", "AST", "right"), "literal", "Literal", keep={"raw": "raw"}).select("package_id", "held", "raw")
+    compared = label(graph, hop(graph, compared, "parent", "constant", "AST", "right"), "constant", "Literal", keep={"raw": "raw"}).select("package_id", "held", "raw")
     typeof = typeof.join(compared, ["package_id", "held"])
     receiver = hop(graph, parent.where("kind = 'MemberExpression' and role = 'object'"), "parent", "call", "AST", reverse=True)
     receiver = words(hop(graph, label(graph, receiver, "call", "CallExpression"), "parent", "property", "AST", "property"), "property", "method").join(prototypes.withColumnRenamed("kind", "of"), "method")
