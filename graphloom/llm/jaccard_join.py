@@ -238,7 +238,10 @@ def _verified(threshold: float, tolerance: float):
 
     def links_of(table: pa.Table) -> pa.RecordBatch:
         rep, block, copies, task = (table.column(c).to_numpy() for c in ("rep", "block", "copies", "task"))
-        texts = table.column("text").to_pylist()
+        texts, seen = table.column("text").to_pylist(), {}
+        first = [i for i, k in enumerate(zip(task.tolist(), rep.tolist(), texts)) if seen.setdefault(k, i) == i]
+        if len(first) < len(texts):  # rows that repeat a document
+            rep, block, copies, task, texts = rep[first], block[first], copies[first], task[first], [texts[i] for i in first]
         words = Words([t or b"" for t in texts])
         starts = np.flatnonzero(np.diff(task, prepend=task[0] - 1))
         size = np.diff(np.append(starts, len(task)))
