@@ -46,7 +46,7 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-9
 BANDS, ROWS = 32, 4
 STEP = 16
-BLOCK = 512
+BLOCK = 128
 DENSE_FROM = 48  # classes in a task from which sets are intersected by matrix products
 _SEED = np.random.default_rng(20240229)
 _A = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
