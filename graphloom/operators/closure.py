@@ -112,9 +112,10 @@ def reach(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int |
     edges = edges.select("package_id", *((F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else ("src", "dst"))).where("src is not null and dst is not null")
     seeds = seeds.select("package_id", "origin", "node").where("origin is not null and node is not null").distinct()
     size = edges.groupBy("package_id").agg(F.count("*").alias("n")).unionByName(seeds.groupBy("package_id").agg(F.count("*").alias("n"))).groupBy("package_id").agg(F.sum("n").alias("n"))
-    big = checkpointed(size.where(F.col("n") > small).select("package_id"))
+    big = size.where(F.col("n") > small).select("package_id")
     if big.isEmpty():
         return _small(edges, seeds, min_hops, most)
+    big = checkpointed(big)
     split = lambda df, how: df.join(big, "package_id", how)
     return _small(split(edges, "left_anti"), split(seeds, "left_anti"), min_hops, most).unionByName(_large(split(edges, "left_semi"), split(seeds, "left_semi"), min_hops, most))
 

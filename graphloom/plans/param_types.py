@@ -120,7 +120,7 @@ def inferred(graph: PropertyGraph, trees: DataFrame, sinks: DataFrame, signature
 
 def folded(types: Column) -> Column:
     """No type: any; one: itself; more: a union, as JSON."""
-    return F.when(F.size(types) == 0, F.to_json(F.struct(F.lit("any").alias("t")))).when(F.size(types) == 1, F.concat(F.lit('"'), types[0], F.lit('"'))).otherwise(F.concat(F.lit('{"_union":'), F.to_json(types), F.lit("}")))
+    return F.when(F.size(types) == 0, F.lit('"any"')).when(F.size(types) == 1, F.concat(F.lit('"'), types[0], F.lit('"'))).otherwise(F.concat(F.lit('{"_union":'), F.to_json(types), F.lit("}")))
 
 
 def arguments_dependency(graph: PropertyGraph, values: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ CALL_STEP = "struct<type:string,prop:string,fn_name:string,fn_id:bigint,source_f
 
 
 def walk(edges: DataFrame, found: DataFrame, source: str, target: str, min_hops: int = 0, backward: bool = False) -> DataFrame:
-    """source -*min_hops..-> target over edges (package_id, src, dst)."""
+    """source -*min_hops..-> target over edges (package_id, src, dst); the pairs are written, so that patterns with several walks do not repeat them."""
     seeds = found.select("package_id", F.col(source).alias("origin"), F.col(source).alias("node"))
-    pairs = reach(edges, seeds, min_hops, backward=backward).withColumnsRenamed({"origin": source, "node": target})
+    pairs = checkpointed(reach(edges, seeds.distinct(), min_hops, backward=backward)).withColumnsRenamed({"origin": source, "node": target})
     return found.join(pairs, ["package_id", source])
 
 
@@ -99,15 +99,14 @@ def exported_directly(graph: PropertyGraph) -> DataFrame:
     return found.select("package_id", "fn", F.array(step("Call", F.lit(None), F.col("fn_name"), F.col("fn"), F.col("fn"))).alias("path"))
 
 
-def exported_by_exports(graph: PropertyGraph) -> DataFrame:
+def exported_by_exports(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     """exports.p = f."""
-    return _methods(_origin(graph, _property(graph).where(F.col("obj_name").contains("exports"))))
+    return _methods(_origin(graph, found.where(F.col("obj_name").contains("exports"))))
 
 
-def exported_by_module(graph: PropertyGraph) -> DataFrame:
+def exported_by_module(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     """module.exports = o with o.p = f, also one object deeper."""
     pdg, nv = (graph.e("PDG", k).select("package_id", "src", "dst") for k in (None, "NV"))
-    found = _property(graph)
     loose = hop(graph, label(graph, walk(pdg, found, "obj", "last"), "last", OBJECT), "last", "exports", "PDG", keep={"dep_edge": "edge_id"})
     loose = _exported(graph, loose, "exports", "holder").where("dep_edge <> export_edge")
     nested = hop(graph, label(graph, walk(nv, found, "obj", "last"), "last", OBJECT), "last", "inner", "PDG", "DEP")
@@ -118,10 +117,9 @@ def exported_by_module(graph: PropertyGraph) -> DataFrame:
     return _methods(_origin(graph, union(loose.select(*names), nested.select(*names))))
 
 
-def exported_by_module_property(graph: PropertyGraph) -> DataFrame:
+def exported_by_module_property(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     """module.exports.p = f, also one object deeper; module.exports = o, then o.p = f."""
     nv = graph.e("PDG", "NV").select("package_id", "src", "dst")
-    found = _property(graph)
     names = ("package_id", "fn", "fn_name", "prop_name", "obj", "obj_name")
     plain = _exported(graph, hop(graph, found, "obj", "exports", "PDG", reverse=True), "exports", "holder")
     nested = label(graph, hop(graph, found, "obj", "inner", "PDG", "DEP"), "inner", OBJECT)
@@ -133,11 +131,10 @@ def exported_by_module_property(graph: PropertyGraph) -> DataFrame:
     return _methods(union(known.select(*names, "source", "is_function"), _origin(graph, later.select(*names).distinct(), F.lit(0)).select(*names, "source", "is_function")))
 
 
-def exported_by_prototype(graph: PropertyGraph) -> DataFrame:
+def exported_by_prototype(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     """F.prototype.p = f with F exported, by itself or as a property."""
     nv = graph.e("PDG", "NV").select("package_id", "src", "dst")
     names = ("package_id", "fn", "fn_name", "prop_name", "obj", "obj_name", "export_name")
-    found = _property(graph)
 
     def owner(rows: DataFrame) -> DataFrame:
         rows = label(graph, hop(graph, rows, "proto", "owner", "PDG", "SO", reverse=True), "owner", OBJECT)
@@ -153,10 +150,10 @@ def exported_by_prototype(graph: PropertyGraph) -> DataFrame:
     return _methods(_origin(graph, union(plain.select(*names), named.select(*names), bare.select(*names)), inner=True), F.col("export_name"))
 
 
-def exported_by_this(graph: PropertyGraph) -> DataFrame:
+def exported_by_this(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     """this.p = f in an exported constructor."""
     nv = graph.e("PDG", "NV").select("package_id", "src", "dst")
-    found = walk(nv, _property(graph).drop("obj_name"), "obj", "this_obj", 1, backward=True)
+    found = walk(nv, found.drop("obj_name"), "obj", "this_obj", 1, backward=True)
     this = graph.e("REF", "param").where("is_this").select("package_id", F.col("src").alias("source"), F.col("dst").alias("this_obj"))
     found = hop(graph, found.join(this, ["package_id", "this_obj"]), "source", "class_obj", "REF", "obj")
     found = hop(graph, label(graph, found, "class_obj", OBJECT, keep={"obj_name": "identifier_name"}), "class_obj", "exports", "PDG", keep={"dep_edge": "edge_id"})
@@ -166,8 +163,11 @@ def exported_by_this(graph: PropertyGraph) -> DataFrame:
 
 def exported_types(graph: PropertyGraph) -> DataFrame:
     """package_id, fn, path: how each exported function is reached from outside, by the first pattern that fits."""
-    branches = (exported_directly, exported_by_exports, exported_by_module, exported_by_module_property, exported_by_prototype, exported_by_this)
-    return single(first_match([b(graph).distinct() for b in branches], ["package_id", "fn"]), ["package_id", "fn"], ["path"])
+    found = checkpointed(_property(graph))
+    branches = [exported_directly(graph)]
+    for branch in (exported_by_exports, exported_by_module, exported_by_module_property, exported_by_prototype, exported_by_this):
+        branches.append(branch(graph, found))
+    return single(first_match([b.distinct() for b in branches], ["package_id", "fn"]), ["package_id", "fn"], ["path"])
 
 
 def returners(graph: PropertyGraph) -> DataFrame:
