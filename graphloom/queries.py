@@ -18,6 +18,7 @@ from .model import EDGES, NODES, PropertyGraph
 from .operators.closure import paths, reach, reached
 from .operators.match import exists, first_match, hop, label, missing, optional, single, start, union
 from .plans.detect import vulnerability_types
+from .plans.lexical import program_graph
 from .sources.graph_files import read_graph, source_lines, write_graph
 from .sources.table_graph import TYPES, UNIT, item_key, node, table, table_graph
 
@@ -385,6 +386,16 @@ def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<script[^>]*>"), F.lit(0))).cast("long").alias("n_scripts"))
 
 
+@query(r"""WITH s AS (SELECT page_id, array_to_string(regexp_extract_all(html, '<script[^>]*>([^<]*(?:<[^/][^<]*|</[^s][^<]*)*)</script>', 1), chr(10)) AS code FROM pages)
+SELECT page_id, len(regexp_extract_all(code, '\btrack\('))::BIGINT AS n_calls FROM s WHERE regexp_matches(code, '\btrack\(')""")
+def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of track in the graphs of the pages' inline scripts."""
+    code = F.array_join(F.regexp_extract_all("html", F.lit("<script[^>]*>([^<]*(?:<[^/][^<]*|</[^s][^<]*)*)</script>"), F.lit(1)), "\n")
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("package_id"), F.lit("inline.js").alias("path"), code.alias("content"))
+    graph = program_graph(files, spark.createDataFrame([("track", 1)], "sink string, arg int"))
+    return graph.n("PDG_CALL").where("identifier_name = 'track'").groupBy(F.col("package_id").cast("long").alias("page_id")).agg(F.count("*").alias("n_calls"))
+
+
 @query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') AS links FROM pages""")
 def file_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page refers to, once each, sorted."""
