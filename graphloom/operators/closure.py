@@ -1,8 +1,8 @@
 """Reachability: reflexive or transitive closure of an edge table from seeds.
 
-Packages of up to ``SMALL`` edges and seeds are closed whole, many to a task: rows are dealt by package
-and a task walks the frontiers of some packages at once in numpy. A larger package is closed by
-all executors, semi-naively: each round joins the last round's new rows with the edges, takes away
+Packages of up to ``SMALL`` edges and seeds, and at most ``PAIRS`` pairs of one and the other, are closed whole,
+many to a task: rows are dealt by package and a task walks the frontiers of some packages at once in
+numpy, in memory bounded by those numbers. A larger package is closed by all executors, semi-naively: each round joins the last round's new rows with the edges, takes away
 what is known and is written to the checkpoint folder, so that a lost executor repeats one round.
 Only the per-package row counts decide which way is taken; the result is the same.
 """
@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL = 200_000
-_BATCH = 200_000
+PAIRS = 4_000_000
+_BATCH = 20_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -109,10 +110,11 @@ def reach(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int |
     min_hops 0 has the seeds themselves; with 1 a seed is reached over a cycle only. Rows differ.
     """
     most = (1 << 30) if max_hops is None else max_hops
-    edges = edges.select("package_id", *((F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else ("src", "dst"))).where("src is not null and dst is not null")
-    seeds = seeds.select("package_id", "origin", "node").where("origin is not null and node is not null").distinct()
-    size = edges.groupBy("package_id").agg(F.count("*").alias("n")).unionByName(seeds.groupBy("package_id").agg(F.count("*").alias("n"))).groupBy("package_id").agg(F.sum("n").alias("n"))
-    big = size.where(F.col("n") > small).select("package_id")
+    edges = edges.select("package_id", *((F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else ("src", "dst"))).where("package_id is not null and src is not null and dst is not null")
+    seeds = seeds.select("package_id", "origin", "node").where("package_id is not null and origin is not null and node is not null").distinct()
+    rows = edges.select("package_id", F.lit(1).alias("e"), F.lit(0).alias("s")).unionByName(seeds.select("package_id", F.lit(0).alias("e"), F.lit(1).alias("s")))
+    size = rows.groupBy("package_id").agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+    big = size.where((F.col("e") + F.col("s") > small) | (F.col("e") * F.col("s") > PAIRS)).select("package_id")
     if big.isEmpty():
         return _small(edges, seeds, min_hops, most)
     big = checkpointed(big)

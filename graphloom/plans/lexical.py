@@ -52,8 +52,8 @@ def _pairs(t: DataFrame, opening: str, closing: str, depth: str) -> DataFrame:
     return own.withColumn("close", partner).where(F.col("token") == opening).select(*_FILE, F.col("pos").alias("open"), "close").where("close is not null")
 
 
-def program_graph(files: DataFrame, sinks: DataFrame) -> PropertyGraph:
-    """The graph of files (package_id, path, content) with the sinks (sink, arg) of a config; parameters of exported functions are tainted."""
+def program_graph(files: DataFrame, sinks: DataFrame, tainted: str = "exported") -> PropertyGraph:
+    """The graph of files (package_id, path, content) with the sinks (sink, arg) of a config. tainted: parameters of "exported" functions, or "all"."""
     order = Window.partitionBy(*_FILE).orderBy("pos")
     later = Window.partitionBy(*_FILE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     t = tokens(files)
@@ -138,7 +138,7 @@ def program_graph(files: DataFrame, sinks: DataFrame) -> PropertyGraph:
         node(vars_, node_id(F.col("var"), F.lit(1)), "PDG_OBJECT", object_name), node(c, own("call", 4), "PDG_OBJECT", F.concat(F.col("owner").cast("string"), F.lit(".v-o"), F.col("call").cast("string"))),
         node(c, own("call", 3), "PDG_CALL", F.col("callee"), **where), node(c, own("call", 5), "VariableDeclarator", **where), node(c, own("call", 6), "CallExpression", location=place("line")), node(hits, own("call", 7), "TAINT_SINK", F.col("callee")), node(returned, own("ret", 0), "PDG_RETURN"),
     ]
-    inner = params.join(exported, [*_FILE, "fn"], "left_semi")
+    inner = params if tainted == "all" else params.join(exported, [*_FILE, "fn"], "left_semi")
     edges = [
         edge(f, own("fn", 0), own("fn", 1), "AST", "init"), edge(f, own("fn", 0), own("fn", 2), "FD", "FD"), edge(f, own("fn", 1), own("fn", 2), "FD", "FD"),
         edge(params, own("fn", 0), own("pos", 1), "REF", "param", param_index=F.col("nth") - 1), edge(inner, F.lit(1).cast("long"), own("pos", 1), "PDG", "TAINT"),
