@@ -325,10 +325,9 @@ _WORDS = (("ECONOMY", "cheap"), ("STEEL", "metal"), ("BRASS", "metal"), ("PROMO"
 @query("SELECT p_partkey AS part, CASE " + " ".join(f"WHEN contains(upper(p_type), '{w}') THEN '{k}'" for w, k in _WORDS) + " END AS class FROM part")
 def config_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first class of a keyword table whose keyword a type has."""
-    config = spark.createDataFrame([(w, k, i) for i, (w, k) in enumerate(_WORDS)], "word string, class string, ord int")
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.upper("p_type").alias("type"))
-    found = part.join(F.broadcast(config), F.col("type").contains(F.col("word")), "left")
-    return found.groupBy("part").agg(F.min_by("class", "ord").alias("class"))
+    config = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(k).alias("class")) for w, k in _WORDS))
+    fits = F.filter(config, lambda c: F.upper("p_type").contains(c["word"]))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.get(fits, F.lit(0))["class"].alias("class"))
 
 
 @query("SELECT o_custkey AS customer, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order FROM orders GROUP BY 1")
