@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     center = band.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("band", "center")
     ties = band.join(center, "band").where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
     groups = connected_components(ties)
-    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
+    blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks")).checkpoint()  # a table, so that Spark can split a large group's rows in the join
     asked = groups.join(blocks, "component").withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
     texts = runtime.texts_of(docs, doc_id).withColumnRenamed("doc_id", "rep").join(asked, "rep")
