@@ -26,7 +26,6 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textops import Words, chunks, ragged
+from .textops import Words, chunks, hash_spans, ragged
 
 CAPACITY = 4096
 END_ID = 2
@@ -47,6 +46,31 @@ VOCABULARY = 1 << 20  # different words a worker remembers before it starts anew
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Numbers:
+    """Numbers by hash, in sorted arrays: a tenth of a dict's memory, and given back to the system when dropped."""
+
+    def __init__(self) -> None:
+        self.hash, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """-1: not there."""
+        if not len(self.hash):
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where(self.hash[at] == h, self.number[at], -1).astype(np.int64)
+
+    def add(self, h: np.ndarray, number: np.ndarray) -> None:
+        order = np.argsort(h)
+        at = np.searchsorted(self.hash, h[order])
+        self.hash, self.number = np.insert(self.hash, at, h[order]), np.insert(self.number, at, number[order])
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(words) + b"\0" * 8, np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return hash_spans(data, np.concatenate(([0], ends[:-1])), ends)
+
+
 class WordTokenizer:
     """Ids of texts, by words: this tokenizer splits at all white space, so a text's ids are its words' ids in a row.
 
@@ -70,8 +94,8 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[int, int] = {}  # number by a word's hash
-        self.cores: dict[bytes, int] = {}  # number by the bytes of a word without case and punctuation, or of punctuation
+        self.words = _Numbers()
+        self.pieces = _Numbers()  # of words without case and punctuation, and of punctuation
         self.size = 0
         self.flat, self.begin, self.stop = np.empty(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), np.empty(1 << 14, bool)
 
@@ -101,23 +125,25 @@ class WordTokenizer:
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
         """The numbers of new words. Words apart from punctuation after them and from the case of A-Z are tokenized; those that have it are put together."""
-        cores, tails, known, fresh = [], [], self.cores, {}
+        cores, tails = [], []
         for w in new:
             core = w.rstrip(PUNCTUATION)
             if core and core[-1:].isalnum():
                 tail = w[len(core) :]
             else:
                 core, tail = w, b""
-            core = core.lower()
-            cores.append(core)
+            cores.append(core.lower())
             tails.append(tail)
-            if core not in known:
-                fresh[core] = None
-            if tail and tail not in known:
-                fresh[tail] = None
-        for words, ids, count in self._ids(list(fresh)):
-            known.update(zip(words, range(self.size, self.size + len(words))))
-            self._add(words, ids, count)
+        pieces = list(dict.fromkeys(cores) | dict.fromkeys(filter(None, tails)))
+        hashes = _hashes(pieces)
+        missing = np.flatnonzero(self.pieces.find(hashes) < 0)
+        if len(missing):
+            by_name, begin, order = dict(zip((pieces[i] for i in missing.tolist()), missing.tolist())), self.size, []
+            for words, ids, count in self._ids(list(by_name)):
+                order += map(by_name.__getitem__, words)
+                self._add(words, ids, count)
+            self.pieces.add(hashes[order], np.arange(begin, self.size))
+        known = dict(zip(pieces, self.pieces.find(hashes).tolist()))
         number = np.fromiter(map(known.__getitem__, cores), np.int64, len(new))
         apart = [i for i, (w, c) in enumerate(zip(new, cores)) if w != c]
         if apart:
@@ -146,12 +172,11 @@ class WordTokenizer:
             self.forget()
         words = Words(texts)
         unique, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        names = unique.tolist()
-        at = np.fromiter(map(self.words.get, names, repeat(-1)), np.int64, len(names))
+        at = self.words.find(unique)
         if len(missing := np.flatnonzero(at < 0)):
             data, place = words.data.tobytes(), first[missing]
             at[missing] = self._learn([data[a:b] for a, b in zip(words.start[place].tolist(), words.end[place].tolist())])
-            self.words.update(zip(unique[missing].tolist(), at[missing].tolist()))
+            self.words.add(unique[missing], at[missing])
         at = at[inverse]
         n = self.begin[at + 1] - self.begin[at]
         ids = self.flat[ragged(self.begin[at], n)]
