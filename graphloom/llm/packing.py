@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textops import Words, chunks, hash_spans, ragged
+from .textops import LARGE_CHUNK, Words, chunks, hash_spans, ragged
 
 CAPACITY = 4096
 END_ID = 2
@@ -294,7 +294,7 @@ def _pack(path: str, capacity: int, end_id: int):
             else:
                 docs, held, marks, size = [], [], [], 0
 
-        for table, texts in chunks(batches):
+        for table, texts in chunks(batches, limit=LARGE_CHUNK):
             ids, counts, mark = tokenizer.encode(texts)
             docs += zip(table.column("doc_id").to_pylist(), (counts + 1).tolist(), [0] * len(texts))
             held.append(np.insert(ids, np.cumsum(counts), np.uint32(end_id)))

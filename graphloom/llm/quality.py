@@ -35,13 +35,13 @@ FALLING = ("symbols", "dup_lines", "repeats", "upper", "exclaims", "pipes")
 
 
 def _lut(chars: bytes) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     table[list(chars)] = 1
     return table
 
 
 _LUTS = {"symbols": _lut(SYMBOLS), "upper": _lut(bytes(range(65, 91))), "exclaims": _lut(b"!"), "pipes": _lut(b"|"), "digits": _lut(bytes(range(48, 58))), "stops": _lut(b".?")}
-_NOT_SPACE_START = np.array([(b & 0xC0) != 0x80 and b not in (9, 10, 11, 12, 13, 32) for b in range(256)], dtype=np.int64)
+_NOT_SPACE_START = np.array([(b & 0xC0) != 0x80 and b not in (9, 10, 11, 12, 13, 32) for b in range(256)], dtype=np.uint8)
 
 
 def statistics(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -50,7 +50,7 @@ def statistics(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     n_docs, n = len(texts), words.count
 
     def total(table: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(table[words.data[: words.doc_at[-1]]], words.doc_at[:-1]) if n_docs else np.empty(0, np.int64)
+        return np.add.reduceat(table[words.data[: words.doc_at[-1]]], words.doc_at[:-1], dtype=np.int64) if n_docs else np.empty(0, np.int64)
 
     chars = total(_NOT_SPACE_START)
     by = {k: total(v) for k, v in _LUTS.items()}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textops import Rolling, U64, Words, chunks, hash_spans, inside, packed_by, ragged
+from .textops import LARGE_CHUNK, Rolling, U64, Words, chunks, hash_spans, inside, packed_by, ragged
 
 WINDOW = 13
 ANCHOR = 5
@@ -83,7 +83,7 @@ def blocks_of(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
 
 def _index_entries(shards: int, window: int, anchor: int):
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in chunks(batches):
+        for table, texts in chunks(batches, limit=LARGE_CHUNK):
             ids = table.column("doc_id").to_numpy()
             words = Words(texts)
             first, n, key, content, whole = blocks_of(words, window, anchor)

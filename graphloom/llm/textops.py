@@ -11,6 +11,7 @@ to 64 bits with eight bytes a step.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+LARGE_CHUNK = 4 << 20  # where equal things are better met in one chunk
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -57,6 +59,15 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
         held.append(batch.slice(at))
     if size:
         yield out()
+    held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system (glibc), so that an idle worker does not keep it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 class Words:
