@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck():
 
 
 def values(frame, columns):
-    return sorted(repr([None if v is None or v != v else int(v) if isinstance(v, float) and v == int(v) else v for v in r]) for r in frame[columns].astype(object).values.tolist())
+    return sorted(repr([None if pd.isna(v) else int(v) if isinstance(v, float) and v == int(v) else v for v in r]) for r in frame[columns].astype(object).values.tolist())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
