@@ -2,10 +2,16 @@
 
 A spaced seed is a hash of the tokens at the 1-positions of a fixed mask; the 0-positions
 may differ, so a hit survives substitutions that break every n-gram. The seeds of all
-benchmark items are held against those of every document. Around each hit document and item
-are laid side by side and the best run is taken (match +1, substitution -3): with at least
-``min_overlap`` equal tokens in it, document and item overlap. An item of fewer tokens than
-a mask is looked for whole; one of fewer than ``min_tokens`` is no evidence and is not looked for.
+benchmark items are held against those of every document. Around each hit document and item are laid
+side by side and the run with the most equal tokens is taken, of those in which at least three
+quarters are equal: with ``min_overlap`` equal tokens in it, or four fifths of an item's tokens
+if these are fewer, document and item overlap. Besides MASKS (items of 13 tokens or more), each
+item has masks of its own length, or of SPAN tokens in a longer one: the span is cut into two
+blocks more than substitutions are tolerated in it, and each pair of blocks is a mask, so that
+two blocks are always whole. No copy of an item of up to SPAN tokens within the tolerance is
+missed, nor SPAN tokens in a row of which at most four differ (tokens that a document does not
+have, before its first and after its last, count as different). An item of fewer than
+``min_tokens`` tokens is no evidence and is not looked for.
 
 Tokens are words in lower case (A-Z), without what is not a letter or digit at their ends;
 words of nothing else are left out.
@@ -20,6 +26,7 @@ it; repeated rows or items are reported by themselves, once for each document ro
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,9 @@ from .textops import U64, Words, chunks, hash_spans, lower_ascii, mix, ragged
 MASKS = ("1101100101011", "1110010110011", "1011101001101", "1111000011101")
 MIN_TOKENS = 8
 MIN_OVERLAP = 13
-BLOCK_BYTES = 16 << 20
+SPAN = 17
+SUBSTITUTED = 4  # at most in SPAN tokens
+BLOCK_BYTES = 4 << 20  # of text; its seeds take some 35 times as much memory
 HITS = "doc_id long, item_id long, at long, length long, matched long"
 _MULTIPLIER = U64(0xD6E8FEB86659FD93)
 _ALNUM = np.zeros(256, bool)
@@ -65,6 +74,17 @@ def _seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mix(h)
 
 
+def needed(n: int, min_overlap: int = MIN_OVERLAP) -> int:
+    """Equal tokens that an item of n tokens needs."""
+    return min(min_overlap, -(-4 * n // 5))
+
+
+def _masks(n: int) -> list[str]:
+    """Masks of n tokens, one of which hits whichever of the tolerated number of tokens differ."""
+    blocks = np.array_split(np.arange(n), n - needed(n) + 2)
+    return ["".join("1" if i in pair else "0" for i in range(n)) for pair in (set(np.concatenate(two).tolist()) for two in combinations(blocks, 2))]
+
+
 class Seeds:
     """The seeds of a block of benchmark items."""
 
@@ -72,43 +92,52 @@ class Seeds:
         self.ids = ids
         self.hashes, self.first, _ = tokens(texts)
         count = np.diff(self.first)
-        span = len(MASKS[0])
-        self.masks = [*MASKS, *("1" * n for n in sorted(set(count[(count >= min_tokens) & (count < span)].tolist())))]
+        looked = count >= min_tokens
+        own = [(mask, (np.minimum(count, SPAN) == n) & looked) for n in np.unique(np.minimum(count, SPAN)[looked]).tolist() for mask in _masks(n)]
         self.by_mask = []
-        for mask in self.masks:
-            fits = (count == len(mask)) if len(mask) < span else count >= span
+        for mask, fits in [*((mask, (count >= len(mask)) & looked) for mask in MASKS), *own]:
             at = ragged(self.first[:-1][fits], (count - len(mask) + 1)[fits])
             seed = _seeds(self.hashes, mask)[at] if len(at) else np.empty(0, U64)
             order = np.argsort(seed, kind="stable")
-            seed, at = seed[order], at[order]
-            filter_ = np.zeros(1 << 20, bool)
-            filter_[(seed >> U64(44)).astype(np.int64)] = True
-            self.by_mask.append((seed, at, filter_))
+            seed, at = seed[order], at[order].astype(np.int32)
+            bits = min(20, max(10, (16 * len(seed)).bit_length()))
+            filter_ = np.zeros(1 << bits, bool)
+            filter_[(seed >> U64(64 - bits)).astype(np.int64)] = True
+            if len(seed):
+                self.by_mask.append((mask, seed, at, filter_, U64(64 - bits)))
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Different (document, item, shift) with a hit; shift: the document's token number less the item's."""
-        found = []
-        for mask, (seed, at, filter_) in zip(self.masks, self.by_mask):
-            own = _seeds(hashes, mask)
-            place = np.flatnonzero(filter_[(own >> U64(44)).astype(np.int64)]) if len(seed) else np.empty(0, np.int64)
+        found = [np.empty((3, 0), np.int64)]
+        # so many tokens that equal none stand before and after each document
+        n, pad = np.diff(first), SUBSTITUTED
+        padded = np.zeros(len(hashes) + 2 * pad * len(n), U64)
+        padded[np.arange(len(hashes)) + pad + 2 * pad * np.repeat(np.arange(len(n)), n)] = hashes
+        first = first + 2 * pad * np.arange(len(first))
+        for mask, seed, at, filter_, shift in self.by_mask:
+            own = _seeds(padded, mask)
+            place = np.flatnonzero(filter_[(own >> shift).astype(np.int64)])
             doc = np.searchsorted(first, place, side="right") - 1
             place, doc = place[inner := place + len(mask) <= first[doc + 1]], doc[inner]
             lo, hi = (np.searchsorted(seed, own[place], side=s) for s in ("left", "right"))
             place, doc, item_at = np.repeat(place, hi - lo), np.repeat(doc, hi - lo), at[ragged(lo, hi - lo)]
             item = np.searchsorted(self.first, item_at, side="right") - 1
-            found.append(np.stack((doc, item, (place - first[doc]) - (item_at - self.first[item]))))
+            found.append(np.stack((doc, item, (place - first[doc] - pad) - (item_at - self.first[item]))))
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
     def overlap(self, own: np.ndarray, item: int, shift: int) -> tuple[int, int, int]:
-        """First token in the document, tokens and equal tokens of the best run of the two laid side by side."""
+        """First token in the document, tokens and equal tokens of the run with the most equal ones, at least three quarters, of the two laid side by side."""
         other = self.hashes[self.first[item] : self.first[item + 1]]
         lo, hi = max(0, shift), min(len(own), shift + len(other))
         equal = own[lo:hi] == other[lo - shift : hi - shift]
         score = np.concatenate(([0], np.cumsum(np.where(equal, 1, -3))))
-        low = np.minimum.accumulate(score)
-        end = int(np.argmax(score - low))
-        begin = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-        return lo + begin, end - begin, int(equal[begin:end].sum())
+        total = np.concatenate(([0], np.cumsum(equal)))
+        begin = np.searchsorted(-np.minimum.accumulate(score), -score)  # for each end the first begin with no higher score
+        end = int(np.argmax(total - total[begin]))
+        inside = int(begin[end]) + np.flatnonzero(equal[begin[end] : end])
+        if not len(inside):
+            return lo, 0, 0
+        return lo + int(inside[0]), int(inside[-1] - inside[0]) + 1, len(inside)
 
 
 def _overlaps(seeds: Seeds, texts: list[bytes], min_overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -117,8 +146,7 @@ def _overlaps(seeds: Seeds, texts: list[bytes], min_overlap: int) -> Iterator[tu
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, item, shift in zip(*(x.tolist() for x in seeds.hits(hashes, first))):
         at, n, equal = seeds.overlap(hashes[first[doc] : first[doc + 1]], item, shift)
-        needed = min(min_overlap, int(seeds.first[item + 1] - seeds.first[item]))
-        if equal >= needed and equal > best.get((doc, item), (0, 0, 0))[2]:
+        if equal >= needed(int(seeds.first[item + 1] - seeds.first[item]), min_overlap) and equal > best.get((doc, item), (0, 0, 0))[2]:
             best[doc, item] = (int(number[first[doc] + at]), n, equal)
     for (doc, item), found in best.items():
         yield doc, item, *found

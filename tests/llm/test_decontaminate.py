@@ -1,6 +1,6 @@
 import random
 
-from graphloom.llm.decontaminate import overlaps, without_overlaps
+from graphloom.llm.decontaminate import MIN_TOKENS, Seeds, _overlaps, overlaps, without_overlaps
 from tests.llm.common import empty, odd, prose
 
 RNG = random.Random(11)
@@ -42,3 +42,38 @@ def test_odd_and_empty(spark):
     assert overlaps(empty(spark), items).collect() == []
     assert overlaps(odd(spark), items.where("false")).collect() == []
     assert without_overlaps(odd(spark), items.where("false")).columns == odd(spark).columns
+
+
+def brute(doc, item):
+    """The most equal tokens of a run, three quarters of them equal, at any shift."""
+    best = 0
+    for shift in range(-len(item), len(doc)):
+        equal = [0 <= i + shift < len(doc) and doc[i + shift] == w for i, w in enumerate(item)]
+        best = max([best, *(sum(equal[i:j]) for i in range(len(item)) for j in range(i + 1, len(item) + 1) if 4 * sum(equal[i:j]) >= 3 * (j - i) and max(0, -shift) <= i and j <= min(len(item), len(doc) - shift))])
+    return best
+
+
+def test_short_items_with_substitutions():
+    rng = random.Random(5)
+    items = [["i%dx%d" % (n, k) for k in range(n)] for n in range(8, 21)]
+    docs, of = [], []
+    for item in items:
+        for _ in range(40):
+            copy = list(item)
+            for i in rng.sample(range(len(item)), rng.randrange(4)):
+                copy[i] = "other"
+            cut = rng.choice((0, 0, 0, 1, 2))
+            docs.append(prose(rng, rng.choice((0, 9))).split() + copy[cut:] + prose(rng, rng.choice((0, 9))).split())
+            of.append(item)
+    seeds = Seeds(list(range(len(items))), [" ".join(x).encode() for x in items], MIN_TOKENS)
+    got = {(d, i): equal for d, i, _, _, equal in _overlaps(seeds, [" ".join(x).encode() for x in docs], 13)}
+    want = {(d, items.index(item)): brute(docs[d], item) for d, item in enumerate(of)}
+    assert got == {k: equal for k, equal in want.items() if equal >= min(13, -(-4 * len(items[k[1]]) // 5))}
+    assert len(got) > 300
+
+
+def test_one_substitution_near_the_start(spark):
+    item = ["v%d" % k for k in range(15)]
+    docs = spark.createDataFrame([(1, " ".join([*item[:2], "other", *item[3:]]))], "doc_id long, text string")
+    got = overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.length, r.matched) for r in got] == [(15, 14)]
