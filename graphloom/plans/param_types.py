@@ -22,12 +22,13 @@ def parameter_name(object_name: Column) -> Column:
     return F.when(object_name.contains("argv"), "argv").otherwise(F.get(F.split(F.get(F.split(object_name, r"\."), F.lit(1)), "-"), F.lit(0)))
 
 
-def parameter_trees(graph: PropertyGraph, functions: DataFrame, max_depth: int = 12) -> DataFrame:
+def parameter_trees(graph: PropertyGraph, functions: DataFrame) -> DataFrame:
     """package_id, fn, param, param_index, prefix, ids: objects that each parameter leads to without entering calls, by the properties read on the way up to the first dependency.
 
-    functions: (package_id, fn). Also over an object that a || of the parameter makes.
+    functions: (package_id, fn). Also over an object that a || of the parameter makes. Followed to the end, however long;
+    a property edge on a cycle adds to a prefix once.
     """
-    edges = checkpointed(graph.e("PDG").where(~F.coalesce(F.col("relation_type") == "ARG", F.lit(False))).select("package_id", F.col("src").alias("node"), F.col("dst").alias("next"), "relation_type", "identifier_name"))
+    edges = checkpointed(graph.e("PDG").where(~F.coalesce(F.col("relation_type") == "ARG", F.lit(False))).select("package_id", F.col("src").alias("node"), F.col("dst").alias("next"), "relation_type", "identifier_name", "edge_id"))
     param = hop(graph, functions.select("package_id", "fn"), "fn", "node", "REF", "param", keep={"param_index": "param_index", "is_this": "is_this"})
     param = label(graph, param, "node", OBJECT, keep={"object_name": "identifier_name"}).where("not coalesce(is_this, false)")
     param = param.select("package_id", "fn", parameter_name(F.col("object_name")).alias("param"), "param_index", "node").where("param <> 'this'")
@@ -38,16 +39,26 @@ def parameter_trees(graph: PropertyGraph, functions: DataFrame, max_depth: int =
     two = hop(graph, hop(graph, param, "node", "between", "PDG", "ARG"), "between", "other", "PDG", "DEP").drop("between")
     others = exists(union(one, two), made, "other").drop("node").withColumnRenamed("other", "node")
     empty = F.array().cast("array<string>")
-    state = checkpointed(union(param, others).withColumn("prefix", empty).withColumn("fixed", F.lit(False)))
-    known = state
-    for _ in range(max_depth):
+    state = checkpointed(union(param, others).withColumn("prefix", empty).withColumn("fixed", F.lit(False)).withColumn("taken", F.array().cast("array<bigint>")))
+    open_ = edges.where("not (relation_type <=> 'DEP')")
+    near = reach(open_.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst")), state.select("package_id", F.lit(0).cast("long").alias("origin"), "node").distinct(), 0).select("package_id", "node").distinct()
+    open_ = checkpointed(open_.join(near, ["package_id", "node"]))
+    back = reach(open_.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst")), open_.where("relation_type = 'SO'").select("package_id", F.col("next").alias("origin"), F.col("next").alias("node")).distinct(), 0)
+    cyclic = open_.where("relation_type = 'SO'").join(back.select("package_id", F.col("origin").alias("next"), "node"), ["package_id", "next", "node"], "left_semi").select("package_id", "edge_id", F.lit(True).alias("cyclic")).distinct()
+    edges = checkpointed(edges.join(cyclic, ["package_id", "edge_id"], "left"))
+    known, rounds = state, 0
+    while not state.isEmpty():
         more = state.join(edges, ["package_id", "node"])
-        deeper = (F.col("relation_type") == "SO") & ~F.col("fixed")
-        more = more.select("package_id", "fn", "param", "param_index", F.col("next").alias("node"), F.when(deeper, F.array_append("prefix", F.col("identifier_name"))).otherwise(F.col("prefix")).alias("prefix"), (F.col("fixed") | (F.col("relation_type") == "DEP")).alias("fixed")).distinct()
-        state = checkpointed(more.join(known, known.columns, "left_anti"))
-        if state.isEmpty():
-            break
-        known = checkpointed(known.unionByName(state))
+        deeper = F.coalesce(F.col("relation_type") == "SO", F.lit(False)) & ~F.col("fixed")
+        again = deeper & F.coalesce("cyclic", F.lit(False))
+        more = more.where(~(again & F.array_contains("taken", F.col("edge_id"))))
+        more = more.select("package_id", "fn", "param", "param_index", F.col("next").alias("node"), F.when(deeper, F.array_append("prefix", F.col("identifier_name"))).otherwise(F.col("prefix")).alias("prefix"), (F.col("fixed") | F.coalesce(F.col("relation_type") == "DEP", F.lit(False))).alias("fixed"), F.when(again, F.array_append("taken", F.col("edge_id"))).otherwise(F.col("taken")).alias("taken"))
+        more = more.withColumn("taken", F.when(F.col("fixed"), F.array().cast("array<bigint>")).otherwise(F.col("taken"))).distinct()
+        old = known.select(*(F.col(c).alias(f"known_{c}") for c in known.columns))
+        state = checkpointed(more.join(old, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in more.columns)), "left_anti"))
+        known, rounds = known.unionByName(state), rounds + 1
+        if rounds % 8 == 0:
+            known = checkpointed(known)
     return known.groupBy("package_id", "fn", "param", "prefix").agg(F.min("param_index").alias("param_index"), F.array_sort(F.collect_set("node")).alias("ids"))
 
 

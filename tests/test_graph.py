@@ -185,6 +185,16 @@ def test_parameter_types(spark, sinks):
     assert rows(got.select(param_types.folded(F.col("types")).alias("t")).distinct())[-1][0] in ('"string"',)
 
 
+def test_parameter_trees_have_no_end(spark):
+    """A property after 15 versions of o; o.next.next is o again; a parameter without an index on a cycle."""
+    nodes = [(1, "VariableDeclarator", "f"), (10, "PDG_OBJECT", "3.o-o1"), (11, "PDG_OBJECT", "3.o.next-o2"), (12, "PDG_OBJECT", "3.q-o3"), (13, "PDG_OBJECT", "3.q-o4"), *((20 + k, "PDG_OBJECT", f"3.p-o{k}") for k in range(17))]
+    edges = [(1, 10, "REF", "param", None, {"param_index": 0}), (10, 11, "PDG", "SO", "next"), (11, 10, "PDG", "SO", "next"), (1, 12, "REF", "param", None), (12, 13, "PDG", "DEP", "q"), (13, 12, "PDG", "DEP", "q"), (1, 20, "REF", "param", None, {"param_index": 1})]
+    edges += [*((20 + k, 21 + k, "PDG", "NV", None) for k in range(15)), (35, 36, "PDG", "SO", "deep")]
+    trees = param_types.parameter_trees(graphs.graph(spark, nodes, edges), spark.createDataFrame([("p", 1)], "package_id string, fn long"))
+    got = {(r.param, tuple(r.prefix)): tuple(r.ids) for r in trees.collect()}
+    assert got == {("o", ()): (10,), ("o", ("next",)): (11,), ("o", ("next", "next")): (10,), ("q", ()): (12, 13), ("p", ()): tuple(range(20, 36)), ("p", ("deep",)): (36,)}
+
+
 def test_csv_files(spark, tmp_path):
     g = graphs.graph(spark, *graphs.exported_eval(), package="main")
     graph_files.write_graph(g, f"file://{tmp_path}/n", f"file://{tmp_path}/r")
