@@ -224,11 +224,11 @@ def server_ports(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("content").rlike(r"\bcreateServer\b") & F.col("content").rlike(listen)).select("package_id", "path", port.alias("port"))
 
 
-def call_paths(graph: PropertyGraph, targets: DataFrame, main_files: DataFrame | None = None, servers: DataFrame | None = None, max_steps: int = 64) -> DataFrame:
+def call_paths(graph: PropertyGraph, targets: DataFrame, main_files: DataFrame | None = None, servers: DataFrame | None = None) -> DataFrame:
     """package_id, target, path: for target functions (package_id, target) the calls, from outside to them, over callers and returners.
 
     main_files (package_id, fname): where paths may begin. servers (package_id, path, port): files whose functions begin with a request.
-    Each function is entered once for a target, by the shortest way.
+    Each function is entered once for a target, by the shortest way, however long.
     """
     begin = first_match([exported_types(graph), single(top_level(graph), ["package_id", "fn"], ["path"])], ["package_id", "fn"])
     files = function_files(graph)
@@ -242,17 +242,15 @@ def call_paths(graph: PropertyGraph, targets: DataFrame, main_files: DataFrame |
     up = checkpointed(union(callers(graph).where("fn <> caller").select("package_id", "fn", F.col("caller").alias("next"), F.lit(None).cast(CALL_STEP).alias("step")), returners(graph).select("package_id", "fn", F.col("source_fn").alias("next"), "step")))
     empty = F.array().cast(f"array<{CALL_STEP}>")
     state = checkpointed(targets.select("package_id", "target", F.col("target").alias("fn"), empty.alias("suffix")).distinct())
-    known, out = state.select("package_id", "target", "fn"), None
-    for _ in range(max_steps):
-        done = state.join(begin, ["package_id", "fn"]).select("package_id", "target", F.concat("path", "suffix").alias("path"))
-        out = done if out is None else out.unionByName(done)
+    known, rounds = state, 0
+    while not state.isEmpty():
         more = state.join(begin.select("package_id", "fn"), ["package_id", "fn"], "left_anti").join(up, ["package_id", "fn"])
         more = more.select("package_id", "target", F.col("next").alias("fn"), F.when(F.col("step").isNull(), F.col("suffix")).otherwise(F.concat(F.array("step"), "suffix")).alias("suffix"))
-        state = checkpointed(single(more.join(known, ["package_id", "target", "fn"], "left_anti"), ["package_id", "target", "fn"], ["suffix"]))
-        if state.isEmpty():
-            break
-        known = known.unionByName(state.select("package_id", "target", "fn"))
-    return out.distinct()
+        state = checkpointed(single(more.join(known.select("package_id", "target", "fn"), ["package_id", "target", "fn"], "left_anti"), ["package_id", "target", "fn"], ["suffix"]))
+        known, rounds = known.unionByName(state), rounds + 1
+        if rounds % 8 == 0:
+            known = checkpointed(known)
+    return known.join(begin, ["package_id", "fn"]).select("package_id", "target", F.concat("path", "suffix").alias("path")).distinct()
 
 
 def vulnerability_kind(path: Column) -> Column:

@@ -143,6 +143,18 @@ def test_call_path_over_a_caller(spark):
     assert [[s.fn_id for s in r.path] for r in got] == [[1]]
 
 
+def test_call_path_over_many_callers(spark):
+    """function f0() { sink() }, f1() { f0() }, ..., the last of 70 exported."""
+    nodes, edges = [(1, "PDG_OBJECT", "0.f-o1"), (2, "PDG_OBJECT", "0.module-o2"), (3, "PDG_OBJECT", "0.module.exports-o3")], [(1, 3, "PDG", "DEP", None), (2, 3, "PDG", "SO", "exports")]
+    for k in range(70):
+        i = 100 + 10 * k
+        nodes += [(i, "VariableDeclarator", f"f{k}"), (i + 1, "FunctionExpression", "anon", {"location": graphs.location(k)}), (i + 2, "CFG_F_START", f"{i + 1}_anon"), (i + 3, "VariableDeclarator", "v", {"function_context": i + 2})]
+        edges += [(i, i + 1, "AST", "init", None), (i, i + 2, "FD", "FD", None), (i + 2, i + 3, "CFG", None, None)] + [(i + 3, i - 10, "CG", "CG", None)] * (k > 0)
+    edges.append((i, 1, "REF", "obj", None))
+    got = protocol.call_paths(graphs.graph(spark, nodes, edges), spark.createDataFrame([("p", 100)], "package_id string, target long")).collect()
+    assert [[s.fn_id for s in r.path] for r in got] == [[i]]
+
+
 def test_exported_property(spark):
     """exports.p = f."""
     nodes = [(1, "VariableDeclarator", "f"), (2, "FunctionExpression", None, {"location": graphs.location(1)}), (3, "PDG_OBJECT", "0.f-o1"), (4, "PDG_OBJECT", "0.exports.p-o3"), (5, "PDG_OBJECT", "0.exports-o2"), (6, "ExpressionStatement", None)]
