@@ -6,9 +6,10 @@ permutes it. So a value becomes another valid value of its format, and equal val
 those written with other separators) get equal pseudonyms in every document.
 
 kinds: card (13-19 digits, Luhn), iban (modulo 97), ssn (valid area, group and serial), phone
-(international or NANP), ipv4 (octets up to 255), date (calendar dates 1900-2099, ISO or
-day/month/year), email (characters keep their class), token (32-64 hex digits). What looks like
-one but is not valid stays as it is.
+(international, or NANP with or without parentheses; bare ddd-ddd-dddd or ddd.ddd.dddd with
+a valid area code), ipv4 (octets up to 255), ipv6 (whole or with ::), date (calendar dates 1900-2099, ISO also
+before a time, day/month/year, or month/day/year where only that is a date), email (characters keep
+their class), token (32-64 hex digits). What looks like one but is not valid stays as it is.
 
 Cases: null texts stay null; a text without values stays as it is; every row is treated by itself,
 so ties, repeats and null ids do not matter. With a column n_chars, pseudonymised keeps it true.
@@ -17,6 +18,7 @@ so ties, repeats and null ids do not matter. With a column n_chars, pseudonymise
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -41,14 +43,18 @@ _CLASS_OF = {ch: k for k in _CLASSES for ch in k}
 PATTERN = re.compile(
     r"""
     (?P<email>[^\W_][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))
-    |(?<![\w.+-])(?:
+    |(?<!\w)(?:
         (?P<token>[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)
         |(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)
-        |(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/]|[.-]\d)
+        |(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?!\w|:\w|\.\d)|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?!\w|:[\w:]|\.\d))
+    )
+    |(?<!\w)(?<!\d[.+-])(?:
+        (?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!(?!(?<=-\d\d)T\d{2}:?\d{2})[\w/]|[.-]\d)
         |(?P<ipv4>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)
         |(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
         |(?P<card>\d(?:[ -]?\d){12,18})(?!\w|-\d)
         |(?P<nanp>\(\d{3}\)[ ]?\d{3}-\d{4})(?![\w-])
+        |(?P<bare>(?:1[ .-])?[2-9]\d{2}(?:-\d{3}-|\.\d{3}\.)\d{4})(?![\w-]|\.\d)
     )
     |(?<!\w)(?P<phone>\+\d{1,3}[ .-]?(?:\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}))(?![\w-])
     """,
@@ -155,16 +161,48 @@ def _ipv4(value: str, key: bytes) -> str | None:
     return ".".join(map(str, permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, b"ipv4").to_bytes(4, "big")))
 
 
+def _ipv6(value: str, key: bytes) -> str | None:
+    try:
+        x = int(ipaddress.IPv6Address(value)) - (1 << 112)
+    except ValueError:
+        return None
+    if x < 0 or not _digits(value):  # names with :: in program text may have no digit
+        return None
+    return str(ipaddress.IPv6Address(permute(x, (1 << 128) - (1 << 112), key, b"ipv6") + (1 << 112)))
+
+
+def _area_ok(digits: str) -> bool:
+    return digits[0] > "1" and digits[1:3] != "11"
+
+
+def _nanp(value: str, key: bytes) -> str:
+    """A valid area code becomes a valid one, another becomes another."""
+    at = 0 if value[0] == "(" else len(value) - 12  # a leading 1 stays
+    digits = _digits(value[at:])
+    valid = _area_ok(digits)
+    while True:
+        digits = str(permute(int(digits), 10**10, key, b"phone")).zfill(10)
+        if _area_ok(digits) == valid:
+            return value[:at] + _refill(value[at:], digits)
+
+
+def _bare(value: str, key: bytes) -> str | None:
+    return _nanp(value, key) if _area_ok(value[-12:]) else None
+
+
 def _date(value: str, key: bytes) -> str | None:
     sep = next(ch for ch in value if not ch.isdigit())
     parts = [int(x) for x in value.split(sep)]
+    month_first = sep == "/" and parts[1] > 12
     try:
-        day = datetime.date(*(parts if sep == "-" else parts[::-1])).toordinal() - _FIRST_DAY
+        day = datetime.date(*(parts if sep == "-" else (parts[2], *parts[:2]) if month_first else parts[::-1])).toordinal() - _FIRST_DAY
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
     new = datetime.date.fromordinal(_FIRST_DAY + permute(day, _DAYS, key, b"date"))
+    if month_first:
+        return f"{new.month:02d}/{new.day:02d}/{new.year}"
     return new.isoformat() if sep == "-" else f"{new.day:02d}{sep}{new.month:02d}{sep}{new.year}"
 
 
@@ -183,7 +221,7 @@ def _token(value: str, key: bytes) -> str | None:
     return new if value.lower() == value else new.upper()
 
 
-_BY_KIND: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "nanp": _phone, "ipv4": _ipv4, "date": _date, "email": _email, "token": _token}
+_BY_KIND: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "nanp": _nanp, "bare": _bare, "ipv6": _ipv6, "ipv4": _ipv4, "date": _date, "email": _email, "token": _token}
 
 
 @lru_cache(maxsize=1 << 16)

@@ -1,4 +1,5 @@
 import datetime
+import ipaddress
 import re
 
 import pytest
@@ -56,3 +57,31 @@ def test_tables(spark):
     value = out[1][0].split()[1]
     assert out[2] == (f"again {value} and {value}", 2) and out[3] == (None, 0) and out[None] == ("", 0) and value != "10.0.0.1"
     assert pseudonymised(empty(spark), count="n").collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, pattern, valid",
+    [
+        ("call 555-123-4567.", r"call ([2-9]\d\d-\d{3}-\d{4})\.", lambda v: v[1:3] != "11"),
+        ("call 555.123.4567 now", r"call ([2-9]\d\d\.\d{3}\.\d{4}) now", lambda v: v[1:3] != "11"),
+        ("call 1-800-555-0199 now", r"call 1-([2-9]\d\d-\d{3}-\d{4}) now", lambda v: v[1:3] != "11"),
+        ("on 12/31/1999, then", r"on (\d\d/\d\d/\d{4}), then", lambda v: datetime.datetime.strptime(v, "%m/%d/%Y")),
+        ("at 2024-05-06T10:00Z", r"at (\d{4}-\d\d-\d\d)T10:00Z", lambda v: datetime.date.fromisoformat(v)),
+        ("ip 2001:db8::1: up", r"ip ([0-9a-f:]+): up", lambda v: ipaddress.IPv6Address(v)),
+        ("ip 2001:DB8:0:1:2:3:4:5.", r"ip ([0-9a-f:]+)\.", lambda v: ipaddress.IPv6Address(v)),
+        ("end.2001-02-28 x", r"end\.(\d{4}-\d\d-\d\d) x", lambda v: datetime.date.fromisoformat(v)),
+        ("ip -10.0.0.1 +", r"ip -(\d+\.\d+\.\d+\.\d+) \+", lambda v: ipaddress.IPv4Address(v)),
+        ("sha256-" + "0a" * 20, r"sha256-([0-9a-f]{40})", lambda v: True),
+    ],
+)
+def test_other_written_forms(text, pattern, valid):
+    test_formats(text, pattern, valid)
+
+
+def test_phones_are_linked():
+    assert pseudonym("bare", "555-123-4567") == pseudonym("nanp", "(555) 123-4567").replace("(", "").replace(") ", "-")
+
+
+@pytest.mark.parametrize("text", ["at 10:00:00", "std::add", "a::b", "dead::beef", "911-123-4567", "123-456-7890", "1.2.3.4.5", "2001-02-28Tx", "13/31/1999", "::1"])
+def test_other_forms_that_stay(text):
+    assert replace(text) == (text, 0)
