@@ -34,8 +34,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from . import runtime
 from .components import connected_components
@@ -104,7 +105,8 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = words.count > 0
         content = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if s else None for t, s in zip(texts, some.tolist())]
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)), pa.array(band[some].reshape(-1).view(np.int64)))
-        yield pa.record_batch([table.column("doc_id").combine_chunks(), pa.array(content, pa.binary()), bands], names=["doc_id", "content", "bands"])
+        kept = [c for c in table.column_names if c != "text"]
+        yield pa.record_batch([*(table.column(c).combine_chunks() for c in kept), pa.array(content, pa.binary()), bands], names=[*kept, "content", "bands"])
 
 
 def _whole_tasks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -262,8 +264,15 @@ def _verified(threshold: float, tolerance: float):
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of all that are linked, directly or through others), n_links (documents linked directly)."""
+    return _classed(docs, threshold, tolerance, block).select("doc_id", "class_id", "n_links")
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, *more: Column) -> DataFrame:
+    """near_duplicates, with the content's digest and more columns of docs."""
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    sketch = runtime.stored(runtime.texts_of(docs, doc_id).mapInArrow(_sketches, "doc_id long, content binary, bands array<long>"), "jaccard-sketches")
+    asked_of = runtime.texts_of(docs, doc_id, *more)
+    names = asked_of.drop("text").columns
+    sketch = runtime.stored(asked_of.mapInArrow(_sketches, asked_of.drop("text").schema.add("content", BinaryType()).add("bands", ArrayType(LongType()))), "jaccard-sketches")
     known = sketch.where("doc_id is not null and content is not null")
     classes = runtime.stored(known.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "jaccard-classes")
     band = classes.select("rep", F.explode("bands").alias("band"))
@@ -283,9 +292,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     answer = classes.select("content", "rep", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
     answer = runtime.stored(answer.select("content", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-answers")
     key = F.coalesce("content", F.col("doc_id").cast("string").cast("binary"), F.lit("").cast("binary"))
-    rows = sketch.select("doc_id", "content", key.alias("key")).join(answer.withColumnRenamed("content", "key"), "key", "left")
+    rows = sketch.select(*names, "content", key.alias("key")).join(answer.withColumnRenamed("content", "key"), "key", "left")
     own = F.col("doc_id").isNotNull()
-    return rows.select("doc_id", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return rows.select(*names, "content", F.when(own, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(own, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,6 +303,18 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id; rows with a null doc_id stay."""
-    gone = near_duplicates(docs, **options).where("class_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose class has a smaller doc_id, and one row of those with the same doc_id and words; rows with a null doc_id, or without words, stay."""
+    copy = F.unhex(F.md5(F.col("text").cast("binary"))).alias("_copy")
+    options = {"threshold": THRESHOLD, "tolerance": TOLERANCE, "block": BLOCK} | options
+    rows = runtime.stored(_classed(docs, options["threshold"], options["tolerance"], options["block"], copy).select("doc_id", "_copy", "content", "class_id"), "jaccard-rows")
+    first = rows.where("class_id = doc_id and content is not null").groupBy("doc_id", "content").agg(F.min("_copy").alias("least"), F.count("*").alias("n")).where("n > 1")
+    twice = runtime.stored(first.select("doc_id", "content", "least"), "jaccard-repeats")
+    gone = rows.where("class_id < doc_id").select("doc_id", "_copy")
+    some = not twice.isEmpty()
+    if some:
+        gone = gone.unionByName(rows.join(twice, ["doc_id", "content"]).where("_copy > least").select("doc_id", "_copy"))
+    kept = docs.withColumn("_copy", copy).join(gone.distinct(), ["doc_id", "_copy"], "left_anti")
+    if some:
+        again = twice.select("doc_id", F.col("least").alias("_copy"))
+        kept = kept.join(again, ["doc_id", "_copy"], "left_anti").unionByName(kept.join(again, ["doc_id", "_copy"], "left_semi").dropDuplicates(["doc_id", "_copy"]))
+    return kept.select(*docs.columns)

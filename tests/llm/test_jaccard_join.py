@@ -72,6 +72,14 @@ def test_one_of_each(spark):
     assert {r.doc_id for r in kept.collect()} == want | {None}
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    rng = random.Random(8)
+    base, own = prose(rng, 60), prose(rng, 60)
+    rows = [(3, base), (7, base), (7, own), (3, base), (3, base.replace(" ", "  ")), (None, base), (9, None), (9, None)]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in kept) == sorted([("3", base), ("7", own), ("None", base), ("9", ""), ("9", "")])
+
+
 def test_empty_table(spark):
     assert near_duplicates(empty(spark)).collect() == []
     assert one_of_each(empty(spark)).collect() == []
