@@ -1,14 +1,20 @@
 """Reachability: reflexive or transitive closure of an edge table from seeds.
 
 Packages of up to ``SMALL`` edges and seeds, and at most ``PAIRS`` pairs of one and the other, are closed whole,
-many to a task: rows are dealt by package and a task walks the frontiers of some packages at once in
-numpy, in memory bounded by those numbers. A larger package is closed by all executors, semi-naively: each round joins the last round's new rows with the edges, takes away
-what is known and is written to the checkpoint folder, so that a lost executor repeats one round.
-Only the per-package row counts decide which way is taken; the result is the same.
+many to a task: rows are dealt by package and a task walks the frontiers of some packages at once in numpy. A bit
+for each pair of an origin and a node says what is known, so a hop costs what it finds, not what is known.
+
+A larger package is closed by all executors. Without a bound on hops the graph is first contracted: nodes that no
+seed starts from and whose removal adds no edges (those on chains, in trees, between two others) are taken out, many
+at a time, and put back afterwards, so that a long chain takes a number of rounds that grows with its logarithm.
+What is left is closed by doubling where most of its nodes are seeds, else hop by hop. Every round is written to the
+checkpoint folder, so that a lost executor repeats one round.
+The per-package row counts decide which way is taken; the result is the same.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -20,47 +26,87 @@ from pyspark.sql import functions as F
 SMALL = 200_000
 PAIRS = 4_000_000
 _BATCH = 20_000
+_KEY = ["package_id", "origin", "node"]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where all run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the checkpoint folder; one under /tmp is set only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file:///tmp/graphloom-checkpoints")
+    """df written to the checkpoint folder."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def _walk(batches: Iterable[pa.RecordBatch], min_hops: int, max_hops: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by package: edges (origin null) and seeds."""
+    """Rows sorted by package: edges and seeds (seed)."""
 
     def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
         package, at = np.unique(table.column("package_id").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
         a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
-        seed = table.column("seed").to_numpy(zero_copy_only=False)
+        seed = table.column("seed").to_numpy(zero_copy_only=False).astype(bool)
         edge = ~seed
-        # a node is a package and an id
-        both = np.concatenate((np.stack((at, a), 1), np.stack((at, b), 1)))
-        nodes, code = np.unique(both, axis=0, return_inverse=True)
-        src, dst = code[: len(at)][edge], code[len(at) :][edge]
+
+        def out(p: np.ndarray, o: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(p), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.record_batch([pa.array(package[p[s]].tolist(), pa.string()), pa.array(o[s]), pa.array(d[s])], names=_KEY)
+
+        # nodes that edges touch; a node is a package and an id
+        pairs = np.concatenate((np.stack((at[edge], a[edge]), 1), np.stack((at[edge], b[edge]), 1)))
+        nodes, code = np.unique(pairs, axis=0, return_inverse=True)
+        code = code.reshape(-1)
+        src, dst = code[: edge.sum()], code[edge.sum() :]
         order = np.argsort(src, kind="stable")
         src, dst = src[order], dst[order]
         n = len(nodes)
         begin = np.searchsorted(src, np.arange(n + 1))
-        frontier = np.unique(code[: len(at)][seed] * n + code[len(at) :][seed])
-        known, hops = frontier if min_hops == 0 else frontier[:0], 0
-        while len(frontier) and hops < max_hops:
-            origin, node = frontier // n, frontier % n
+        first = np.searchsorted(nodes[:, 0], np.arange(len(package) + 1))  # nodes of a package are together
+
+        seeds = np.unique(np.stack((at[seed], a[seed], b[seed]), 1), axis=0)
+        _, all_code = np.unique(np.concatenate((nodes, seeds[:, [0, 2]])), axis=0, return_inverse=True)
+        all_code = all_code.reshape(-1)
+        of = np.full(len(all_code), -1)
+        of[all_code[:n]] = np.arange(n)
+        node = of[all_code[n:]]
+        if min_hops == 0:
+            lone = seeds[node < 0]  # no edge touches them
+            yield from out(lone[:, 0], lone[:, 1], lone[:, 2])
+        seeds, node = seeds[node >= 0], node[node >= 0]
+        if min_hops > 0:
+            leads = begin[node + 1] > begin[node]
+            seeds, node = seeds[leads], node[leads]
+        origins, origin = np.unique(seeds[:, :2], axis=0, return_inverse=True)
+        origin = origin.reshape(-1)
+        width = (first[1:] - first[:-1])[origins[:, 0]]
+        base = np.concatenate(([0], np.cumsum(width)))[: len(origins)] - first[origins[:, 0]]
+        known = np.zeros(int(width.sum()), bool)
+        if min_hops == 0:
+            known[base[origin] + node] = True
+            yield from out(origins[origin, 0], origins[origin, 1], nodes[node, 1])
+        for _ in range(max_hops):
             count = begin[node + 1] - begin[node]
             ends = np.cumsum(count)
-            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[node] - (ends - count), count)
-            reached = np.unique(np.repeat(origin, count) * n + dst[place])
-            frontier = reached[~np.isin(reached, known, assume_unique=True)]
-            known = np.union1d(known, frontier)
-            hops += 1
-        origin, node = known // n, known % n
-        for i in range(0, len(known), 1 << 16):
-            o, d = nodes[origin[i : i + (1 << 16)]], nodes[node[i : i + (1 << 16)]]
-            yield pa.record_batch([pa.array(package[o[:, 0]].tolist(), pa.string()), pa.array(o[:, 1]), pa.array(d[:, 1])], names=["package_id", "origin", "node"])
+            if not len(ends) or not ends[-1]:
+                break
+            place = np.arange(ends[-1]) + np.repeat(begin[node] - (ends - count), count)
+            o, d = np.repeat(origin, count), dst[place]
+            bit = base[o] + d
+            bit, one = np.unique(bit[new], return_index=True) if (new := ~known[bit]).any() else (bit[:0], None)
+            if one is None:
+                break
+            origin, node = o[new][one], d[new][one]
+            known[bit] = True
+            yield from out(origins[origin, 0], origins[origin, 1], nodes[node, 1])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -80,23 +126,20 @@ def _walk(batches: Iterable[pa.RecordBatch], min_hops: int, max_hops: int) -> It
         yield from close(pa.Table.from_batches(held))
 
 
-def _small(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int) -> DataFrame:
-    rows = edges.select("package_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(False).alias("seed"))
-    rows = rows.unionByName(seeds.select("package_id", F.col("origin").alias("a"), F.col("node").alias("b"), F.lit(True).alias("seed")))
+def _small(rows: DataFrame, min_hops: int, max_hops: int) -> DataFrame:
     dealt = rows.repartition("package_id").sortWithinPartitions("package_id")
     return dealt.mapInArrow(lambda batches: _walk(batches, min_hops, max_hops), "package_id string, origin long, node long")
 
 
-def _large(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int) -> DataFrame:
-    step = checkpointed(edges.select("package_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
-    frontier = checkpointed(seeds.select("package_id", "origin", "node").distinct())
-    parts, hops = [frontier] if min_hops == 0 else [], 0
-    key = ["package_id", "origin", "node"]
+def _frontiers(step: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int) -> DataFrame:
+    """Hop by hop: the last round's new rows over the edges, without what is known."""
+    step = step.select("package_id", F.col("src").alias("node"), F.col("dst").alias("next"))
+    frontier, parts, hops = seeds, [seeds] if min_hops == 0 else [], 0
     while hops < max_hops and not frontier.isEmpty():
-        reached = frontier.join(step, ["package_id", "node"]).select("package_id", "origin", F.col("next").alias("node")).distinct()
+        found = frontier.join(step, ["package_id", "node"]).select("package_id", "origin", F.col("next").alias("node")).distinct()
         if parts:
-            reached = reached.join(reduce(DataFrame.unionByName, parts), key, "left_anti")
-        frontier = checkpointed(reached)
+            found = found.join(reduce(DataFrame.unionByName, parts), _KEY, "left_anti")
+        frontier = checkpointed(found)
         parts.append(frontier)
         if len(parts) > 8:
             parts = [checkpointed(reduce(DataFrame.unionByName, parts))]
@@ -104,22 +147,85 @@ def _large(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int) ->
     return reduce(DataFrame.unionByName, parts) if parts else frontier
 
 
+def _doubled(step: DataFrame) -> DataFrame:
+    """All pairs (package_id, src, dst) that one or more edges join: each round doubles the length of the walks."""
+    known, length = step.withColumn("d", F.lit(1)), 1
+    while True:
+        # a shortest walk of over length edges, and up to twice that, is one of exactly length and a shorter one
+        last = known.where(F.col("d") == length).select("package_id", "src", F.col("dst").alias("mid"))
+        further = last.join(known.select("package_id", F.col("src").alias("mid"), "dst", "d"), ["package_id", "mid"])
+        further = further.groupBy("package_id", "src", "dst").agg((F.min("d") + length).alias("d"))
+        found = checkpointed(further.join(known, ["package_id", "src", "dst"], "left_anti"))
+        if found.isEmpty():
+            return known.drop("d")
+        known, length = checkpointed(known.unionByName(found)), 2 * length
+
+
+def _contracted(step: DataFrame, kept: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges between the nodes of kept (package_id, node) and those that could not be taken out; the edges into what each round took out."""
+    taken: list[DataFrame] = []
+    ends = lambda df: df.select("package_id", F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(df.select("package_id", F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    while True:
+        degree = ends(step).groupBy("package_id", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        rank = F.xxhash64("package_id", "node", F.lit(len(taken)))
+        free = checkpointed(degree.where("i * o <= i + o").join(kept, ["package_id", "node"], "left_anti").select("package_id", "node", rank.alias("rank")))
+        # of two neighbours the one with the smaller rank
+        one = step.join(free.withColumnsRenamed({"node": "src", "rank": "ra"}), ["package_id", "src"]).join(free.withColumnsRenamed({"node": "dst", "rank": "rb"}), ["package_id", "dst"])
+        beaten = one.select("package_id", F.when(F.col("ra") > F.col("rb"), F.col("src")).otherwise(F.col("dst")).alias("node"))
+        out = checkpointed(free.join(beaten, ["package_id", "node"], "left_anti").select("package_id", "node"))
+        if out.isEmpty():
+            return step, taken
+        as_ = lambda c: out.withColumnRenamed("node", c)
+        into = checkpointed(step.join(as_("dst"), ["package_id", "dst"], "left_semi"))
+        onward = step.join(as_("src"), ["package_id", "src"], "left_semi")
+        over = into.withColumnRenamed("dst", "mid").join(onward.withColumnRenamed("src", "mid"), ["package_id", "mid"]).where("src <> dst").select("package_id", "src", "dst")
+        rest = step.join(as_("dst"), ["package_id", "dst"], "left_anti").join(as_("src"), ["package_id", "src"], "left_anti")
+        step = checkpointed(rest.select("package_id", "src", "dst").unionByName(over).distinct())
+        taken.append(into)
+
+
+def _large(edges: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int | None) -> DataFrame:
+    step = checkpointed(edges.select("package_id", "src", "dst").distinct())
+    seeds = checkpointed(seeds.select(*_KEY).distinct())
+    if max_hops is not None:
+        return _frontiers(step, seeds, min_hops, max_hops)
+    if min_hops:  # one hop, then any number
+        first = seeds.join(step.select("package_id", F.col("src").alias("node"), F.col("dst").alias("next")), ["package_id", "node"])
+        seeds = checkpointed(first.select("package_id", "origin", F.col("next").alias("node")).distinct())
+    kept = checkpointed(seeds.select("package_id", "node").distinct())
+    core, taken = _contracted(checkpointed(step.where("src <> dst")), kept)
+    inner = core.select("package_id", F.col("dst").alias("node")).unionByName(core.select("package_id", F.col("src").alias("node"))).distinct()
+    size, own = inner.count(), inner.join(kept, ["package_id", "node"], "left_semi").count()
+    if size and size <= 2 * own:
+        pairs = _doubled(core).select("package_id", F.col("src").alias("node"), F.col("dst").alias("next"))
+        found = seeds.join(pairs, ["package_id", "node"]).select("package_id", "origin", F.col("next").alias("node"))
+        known = checkpointed(seeds.unionByName(found).distinct())
+    else:
+        known = _frontiers(core, seeds, 0, 1 << 30)
+    for i, into in enumerate(reversed(taken)):
+        found = known.join(into.select("package_id", F.col("src").alias("node"), F.col("dst").alias("next")), ["package_id", "node"]).select("package_id", "origin", F.col("next").alias("node"))
+        known = known.unionByName(found.distinct())  # what a round took out was not known before
+        known = checkpointed(known) if i % 4 == 3 else known
+    return known
+
+
 def reach(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int | None = None, backward: bool = False, small: int = SMALL) -> DataFrame:
     """package_id, origin, node: what each origin reaches over edges (package_id, src, dst) from its seeds (package_id, origin, node).
 
-    min_hops 0 has the seeds themselves; with 1 a seed is reached over a cycle only. Rows differ.
+    min_hops 0 has the seeds themselves; with 1 a seed is reached over a cycle only. Rows differ. Edges and seeds are evaluated once.
     """
-    most = (1 << 30) if max_hops is None else max_hops
-    edges = edges.select("package_id", *((F.col("dst").alias("src"), F.col("src").alias("dst")) if backward else ("src", "dst"))).where("package_id is not null and src is not null and dst is not null")
-    seeds = seeds.select("package_id", "origin", "node").where("package_id is not null and origin is not null and node is not null").distinct()
-    rows = edges.select("package_id", F.lit(1).alias("e"), F.lit(0).alias("s")).unionByName(seeds.select("package_id", F.lit(0).alias("e"), F.lit(1).alias("s")))
-    size = rows.groupBy("package_id").agg(F.sum("e").alias("e"), F.sum("s").alias("s"))
+    edges = edges.select("package_id", *((F.col("dst").alias("a"), F.col("src").alias("b")) if backward else (F.col("src").alias("a"), F.col("dst").alias("b"))), F.lit(False).alias("seed"))
+    seeds = seeds.select("package_id", F.col("origin").alias("a"), F.col("node").alias("b"), F.lit(True).alias("seed"))
+    rows = checkpointed(edges.unionByName(seeds).where("package_id is not null and a is not null and b is not null"))
+    e, s = F.count_if(~F.col("seed")), F.count_if("seed")
+    size = rows.groupBy("package_id").agg(e.alias("e"), s.alias("s"))
     big = size.where((F.col("e") + F.col("s") > small) | (F.col("e") * F.col("s") > PAIRS)).select("package_id")
     if big.isEmpty():
-        return _small(edges, seeds, min_hops, most)
+        return _small(rows, min_hops, (1 << 30) if max_hops is None else max_hops)
     big = checkpointed(big)
-    split = lambda df, how: df.join(big, "package_id", how)
-    return _small(split(edges, "left_anti"), split(seeds, "left_anti"), min_hops, most).unionByName(_large(split(edges, "left_semi"), split(seeds, "left_semi"), min_hops, most))
+    rest, whole = rows.join(big, "package_id", "left_anti"), rows.join(big, "package_id", "left_semi")
+    large = _large(whole.where("not seed").select("package_id", F.col("a").alias("src"), F.col("b").alias("dst")), whole.where("seed").select("package_id", F.col("a").alias("origin"), F.col("b").alias("node")), min_hops, max_hops)
+    return _small(rest, min_hops, (1 << 30) if max_hops is None else max_hops).unionByName(large)
 
 
 def reached(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int | None = None, backward: bool = False, small: int = SMALL) -> DataFrame:
@@ -130,13 +236,13 @@ def reached(edges: DataFrame, seeds: DataFrame, min_hops: int = 1, max_hops: int
 
 def paths(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     """package_id, path: the node arrays of all walks of up to max_hops edges from the seeds, by a recursive query. For acyclic edges or a small max_hops."""
-    edges.select("package_id", "src", "dst").createOrReplaceTempView("graphloom_path_edges")
-    seeds.select("package_id", "node").createOrReplaceTempView("graphloom_path_seeds")
     return spark.sql(
         f"""WITH RECURSIVE walk(package_id, node, path) AS (
-            SELECT package_id, node, array(node) FROM graphloom_path_seeds
+            SELECT package_id, node, array(node) FROM {{seeds}}
             UNION ALL
-            SELECT w.package_id, e.dst, array_append(w.path, e.dst) FROM walk w JOIN graphloom_path_edges e
+            SELECT w.package_id, e.dst, array_append(w.path, e.dst) FROM walk w JOIN {{edges}} e
             ON e.package_id = w.package_id AND e.src = w.node WHERE size(w.path) <= {max_hops})
-        SELECT package_id, path FROM walk"""
+        SELECT package_id, path FROM walk""",
+        edges=edges.select("package_id", "src", "dst"),
+        seeds=seeds.select("package_id", "node"),
     )

@@ -3,7 +3,8 @@
 A pattern is a table of bindings: package_id and a column of node ids for each variable. ``hop``
 adds a variable over an edge, ``label`` tests a node's type, ``exists`` and ``missing`` are the
 semi and anti joins, ``optional`` the outer one. Filters go into the edge and node scans before the
-join, so Catalyst pushes them to the files; which side is broadcast is left to it.
+join, so Catalyst pushes them to the files; which side is broadcast is left to it. Where the edge table has the
+types of its ends (src_type, dst_type), a test of the types at a hop is a filter, not a join.
 """
 
 from __future__ import annotations
@@ -24,26 +25,33 @@ def start(graph: PropertyGraph, variable: str, *types: str, where: Column | None
     return nodes.select("package_id", F.col("node_id").alias(variable), *(F.col(c).alias(k) for k, c in (keep or {}).items()))
 
 
-def _edges(graph: PropertyGraph, source: str, target: str, rel: str, relation: str | Sequence[str] | None, name: str | None, reverse: bool, keep: dict[str, str] | None) -> DataFrame:
+def ends(graph: PropertyGraph, edges: DataFrame, src: Sequence[str] = (), dst: Sequence[str] = ()) -> DataFrame:
+    """Edges (with package_id, src, dst) whose ends are nodes of some types; none: any."""
+    for end, types in (("src", src), ("dst", dst)):
+        if types:
+            kind = f"{end}_type"
+            edges = edges.where(F.col(kind).isin(*types)) if kind in edges.columns else label(graph, edges, end, *types)
+    return edges
+
+
+def _edges(graph: PropertyGraph, source: str, target: str, rel: str, relation: str | Sequence[str] | None, name: str | None, reverse: bool, keep: dict[str, str] | None, types: Sequence[str] = (), source_types: Sequence[str] = ()) -> DataFrame:
     edges = graph.e(rel, None if isinstance(relation, (list, tuple)) else relation, name)
     if isinstance(relation, (list, tuple)):
         edges = edges.where(F.col("relation_type").isin(*relation))
     a, b = ("dst", "src") if reverse else ("src", "dst")
+    edges = ends(graph, edges, *((types, source_types) if reverse else (source_types, types)))
     return edges.select("package_id", F.col(a).alias(source), F.col(b).alias(target), *(F.col(c).alias(k) for k, c in (keep or {}).items()))
 
 
-def hop(graph: PropertyGraph, found: DataFrame, source: str, target: str, rel: str, relation: str | Sequence[str] | None = None, name: str | None = None, reverse: bool = False, keep: dict[str, str] | None = None) -> DataFrame:
-    """source -[rel]-> target. Where target is bound already, the edge must lead there. keep: edge columns to carry, by new name."""
-    edges = _edges(graph, source, target, rel, relation, name, reverse, keep)
+def hop(graph: PropertyGraph, found: DataFrame, source: str, target: str, rel: str, relation: str | Sequence[str] | None = None, name: str | None = None, reverse: bool = False, keep: dict[str, str] | None = None, types: Sequence[str] = (), source_types: Sequence[str] = ()) -> DataFrame:
+    """source -[rel]-> target. Where target is bound already, the edge must lead there. keep: edge columns to carry, by new name; types, source_types: of the target and of the source."""
+    edges = _edges(graph, source, target, rel, relation, name, reverse, keep, types, source_types)
     return found.join(edges, ["package_id", source] + [target] * (target in found.columns))
 
 
 def optional(graph: PropertyGraph, found: DataFrame, source: str, target: str, rel: str, relation: str | Sequence[str] | None = None, name: str | None = None, reverse: bool = False, types: Sequence[str] = (), keep: dict[str, str] | None = None) -> DataFrame:
     """As hop, but a binding without such an edge (to a node of types) stays with a null target."""
-    edges = _edges(graph, source, target, rel, relation, name, reverse, keep)
-    if types:
-        edges = label(graph, edges, target, *types)
-    return found.join(edges, ["package_id", source], "left")
+    return found.join(_edges(graph, source, target, rel, relation, name, reverse, keep, types), ["package_id", source], "left")
 
 
 def label(graph: PropertyGraph, found: DataFrame, variable: str, *types: str, where: Column | None = None, keep: dict[str, str] | None = None) -> DataFrame:

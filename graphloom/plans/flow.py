@@ -108,10 +108,14 @@ def confirmation_steps(graph: PropertyGraph, flow_edges: DataFrame) -> DataFrame
     return to.join(back, ["package_id", "call"]).join(own, ["package_id", "caller", "own"]).select("package_id", F.col("own").alias("src"), F.col("param").alias("dst")).distinct()
 
 
-def flow_of(graph: PropertyGraph) -> Flow:
-    valid = valid_arguments(graph)
+def passable(graph: PropertyGraph) -> DataFrame:
+    """package_id, src, dst: dependencies that taint passes."""
     free = graph.e("PDG").where(~F.coalesce(F.col("relation_type") == "ARG", F.lit(False))).select("package_id", "src", "dst")
-    edges = checkpointed(free.unionByName(valid.select("package_id", "src", "dst")).distinct())
+    return checkpointed(free.unionByName(valid_arguments(graph).select("package_id", "src", "dst")).distinct())
+
+
+def flow_of(graph: PropertyGraph) -> Flow:
+    edges = passable(graph)
     exported = checkpointed(exported_params(graph))
     confirmed = checkpointed(reached(confirmation_steps(graph, edges), exported, min_hops=0))
     return Flow(edges, exported, confirmed)

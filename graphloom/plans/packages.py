@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
@@ -17,6 +20,25 @@ ENTRIES = ("index.js", "lib/index.js", "src/index.js", "dist/index.js")
 _REQUIRE = r"""(?:\brequire\s*\(\s*|\bfrom\s+|\bimport\s+)(['"])(\.{1,2}/[^'"\n]+|\.{1,2})\1"""
 
 
+@dataclass
+class Timers:
+    """Milliseconds of each stage, in the order of their ends."""
+
+    taken: list[tuple[str, float]] = field(default_factory=list)
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.taken.append((name, (time.perf_counter() - began) * 1000))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """stage, ms"""
+        return spark.createDataFrame(self.taken, "stage string, ms double")
+
+
 def normal(path: Column) -> Column:
     """A path without . and .. steps."""
     parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
@@ -42,6 +64,12 @@ def entry_files(files: DataFrame) -> DataFrame:
     return _found(wanted, files, ["package_id"])
 
 
+def script_files(files: DataFrame) -> DataFrame:
+    """package_id, nth (from 1), path: the scripts of each package in the order of their paths."""
+    scripts = files.where(F.col("path").endswith(".js")).select("package_id", "path").distinct()
+    return scripts.select("package_id", F.row_number().over(Window.partitionBy("package_id").orderBy("path")).alias("nth"), "path")
+
+
 def file_dependencies(files: DataFrame) -> DataFrame:
     """package_id, path, dependency: files that a file requires or imports by a relative name."""
     scripts = files.where(F.col("path").endswith(".js"))
@@ -67,8 +95,26 @@ def dependency_text(files: DataFrame) -> DataFrame:
     return rows.select("package_id", F.concat("path", F.lit(": "), F.array_join("needs", ", ")).alias("line"))
 
 
-def parameter_json(types: DataFrame, string_methods: tuple[str, ...] = (), polluted: DataFrame | None = None) -> DataFrame:
-    """package_id, fn, tainted_params, params_types (JSON) from inferred types (package_id, fn, param, prefix, param_index, types).
+#: Types of what prototype pollution passes, and of what may be a string.
+POLLUTING, TEXT = '{"_union":["polluted_object2","polluted_object3"]}', '{"_union":["object",["string","string"],"string"]}'
+
+
+def _array(children: Column) -> Column:
+    """Numeric keys as an array: each value at its index, any between; an only any is "array"."""
+    at = lambda c: c["name"].cast("decimal(38,0)")
+    items = F.array_sort(F.transform(F.filter(children, lambda c: c["name"].rlike(r"^\d+$")), lambda c: F.struct(at(c).alias("at"), c["json"].alias("json"))))
+    start = F.struct(F.lit("").alias("text"), F.lit(-1).cast("decimal(38,0)").alias("last"))
+
+    def add(acc: Column, c: Column) -> Column:
+        gap = F.repeat(F.lit('"any",'), (c["at"] - acc["last"] - 1).cast("int"))
+        return F.struct(F.concat(acc["text"], F.when(acc["text"] == "", "").otherwise(","), gap, c["json"]).alias("text"), c["at"].alias("last"))
+
+    text = F.concat(F.lit("["), F.aggregate(items, start, add)["text"], F.lit("]"))
+    return F.when(text == '["any"]', F.lit('"array"')).otherwise(text)
+
+
+def folded_parameters(types: DataFrame, string_methods: tuple[str, ...] = (), polluted: DataFrame | None = None) -> DataFrame:
+    """package_id, fn, param, param_index, json from inferred types (package_id, fn, param, prefix, param_index, types).
 
     Trees are folded from their leaves. polluted (package_id, fn, param, role in 'object', 'value'): for prototype
     pollution, the polluted object and the polluting values; without it a node with length may be a string or array too.
@@ -76,7 +122,7 @@ def parameter_json(types: DataFrame, string_methods: tuple[str, ...] = (), pollu
     key = ["package_id", "fn", "param", "prefix"]
     union = lambda *parts: F.concat(F.lit('{"_union":['), *parts, F.lit("]}"))
     role = F.lit(None).cast("string")
-    rows = types.select(*key, "param_index", param_types.folded(F.col("types")).alias("own")).withColumn("json", F.col("own")).withColumn("keys", F.array().cast("array<string>"))
+    rows = types.select(*key, "param_index", param_types.folded(F.col("types")).alias("json"))
     if polluted is not None:
         rows = rows.join(polluted.groupBy("package_id", "fn", "param").agg(F.min("role").alias("role")), ["package_id", "fn", "param"], "left")
         role = F.when(F.size("prefix") == 0, F.col("role"))
@@ -88,23 +134,25 @@ def parameter_json(types: DataFrame, string_methods: tuple[str, ...] = (), pollu
         rows = rows.where(F.size("prefix") < depth).join(child, key, "left")
         names = F.transform("children", lambda c: c["name"])
         whole = F.concat(F.lit("{"), F.array_join(F.transform("children", lambda c: F.concat(F.lit('"'), c["name"], F.lit('":'), c["json"])), ","), F.lit("}"))
-        items = F.array_join(F.transform(F.filter("children", lambda c: c["name"].rlike(r"^\d+$")), lambda c: c["json"]), ",")
-        loose = F.array_contains(names, "*") | F.array_contains(names, "length")
-        plain = F.forall(names, lambda n: n.isin("*", "length"))
         if polluted is None:
             json = F.when(F.array_contains(names, "length"), union(whole, F.lit(',"string","array"'))).otherwise(whole)
         else:
+            loose = F.array_contains(names, "*") | F.array_contains(names, "length")
             indexed = F.exists(names, lambda n: n.rlike(r"^\d+$"))
             only = F.forall(names, lambda n: n.isin("*", "length") | n.rlike(r"^\d+$"))
-            texts = F.array_contains(names, "length") & ~plain & F.forall(names, lambda n: n.isin("*", "length", *string_methods))
-            arrays = F.concat(F.lit("["), items, F.lit("]"))
-            json = F.when(loose & (F.col("role") == "object"), F.lit('"object"')).when(loose & (F.col("role") == "value"), F.lit('{"_union":["polluted_object2","polluted_object3"]}'))
-            json = json.when(indexed, F.when(only, arrays).otherwise(union(whole, F.lit(","), arrays))).when(texts, F.lit('{"_union":["object",["string","string"],"string"]}')).when(loose, F.lit('{"_union":["object","array"]}')).otherwise(whole)
+            texts = F.array_contains(names, "length") & F.forall(names, lambda n: n.isin("*", "length", *string_methods))
+            json = F.when(loose & (F.col("role") == "object"), F.lit('"object"')).when(loose & (F.col("role") == "value"), F.lit(POLLUTING))
+            json = json.when(indexed, F.when(only, _array(F.col("children"))).otherwise(union(whole, F.lit(","), _array(F.col("children"))))).when(texts, F.lit(TEXT)).when(loose, F.lit('{"_union":["object","array"]}')).otherwise(whole)
         rows = checkpointed(rows.withColumn("json", F.when(F.col("children").isNotNull(), json).otherwise(F.col("json"))).drop("children"))
     if polluted is not None:
         rows = rows.withColumn("json", F.when((F.col("json") == '"any"') & (F.col("role") == "object"), '"object"').otherwise(F.col("json")))
+    return rows.where(F.size("prefix") == 0).select("package_id", "fn", "param", "param_index", "json")
+
+
+def parameter_json(types: DataFrame, string_methods: tuple[str, ...] = (), polluted: DataFrame | None = None) -> DataFrame:
+    """package_id, fn, tainted_params, params_types: the parameters of each function, in order, and their types as one JSON object (see folded_parameters)."""
     ordered = F.array_sort(F.collect_list(F.struct("param_index", "param", "json")))
-    folded = rows.where(F.size("prefix") == 0).groupBy("package_id", "fn").agg(ordered.alias("params"))
+    folded = folded_parameters(types, string_methods, polluted).groupBy("package_id", "fn").agg(ordered.alias("params"))
     text = F.concat(F.lit("{"), F.array_join(F.transform("params", lambda p: F.concat(F.lit('"'), p["param"], F.lit('":'), p["json"])), ","), F.lit("}"))
     return folded.select("package_id", "fn", F.transform("params", lambda p: p["param"]).alias("tainted_params"), text.alias("params_types"))
 
@@ -140,11 +188,20 @@ def taint_summaries(graph: PropertyGraph, found: DataFrame, config: dict[str, Da
     return rows.select(*detect.DETECTIONS, "type", "source", F.concat(head, client, F.lit("}")).alias("summary")).distinct()
 
 
-def analyse(graph: PropertyGraph, config: dict[str, DataFrame], lines: DataFrame | None = None, sources: DataFrame | None = None, query: str = "bottom_up", with_types: bool = False) -> DataFrame:
-    """The detections of a corpus; with_types: and how to reach each."""
-    flow = None if query == "intra" else flow_of(graph)
-    found = reduce(DataFrame.unionByName, (detect.injections(graph, config["sinks"], lines, query, flow), detect.pollutions(graph, lines, query, flow))).distinct()
-    return taint_summaries(graph, found, config, sources) if with_types else found
+def analyse(graph: PropertyGraph, config: dict[str, DataFrame], lines: DataFrame | None = None, sources: DataFrame | None = None, query: str = "bottom_up", with_types: bool = False, timers: Timers | None = None) -> DataFrame:
+    """The detections of a corpus; with_types: and how to reach each. With timers every stage is written and timed."""
+    timers, keep = timers or Timers(), checkpointed if timers else lambda df: df
+    with timers.stage("call_graph"):
+        flow = None if query == "intra" else flow_of(graph)
+    with timers.stage("injection_detection"):
+        injected = keep(detect.injections(graph, config["sinks"], lines, query, flow))
+    with timers.stage("proto_pollution_detection"):
+        polluted = keep(detect.pollutions(graph, lines, query, flow))
+    found = injected.unionByName(polluted).distinct()
+    if not with_types:
+        return found
+    with timers.stage("reconstruction"):
+        return keep(taint_summaries(graph, found, config, sources))
 
 
 def drawing(graph: PropertyGraph, ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from ..operators.closure import checkpointed, reach
+from ..operators.closure import checkpointed, reach, reached
 from ..operators.match import exists, hop, label, start, union
 from .flow import CALL, OBJECT
 
@@ -25,8 +25,8 @@ def parameter_name(object_name: Column) -> Column:
 def parameter_trees(graph: PropertyGraph, functions: DataFrame) -> DataFrame:
     """package_id, fn, param, param_index, prefix, ids: objects that each parameter leads to without entering calls, by the properties read on the way up to the first dependency.
 
-    functions: (package_id, fn). Also over an object that a || of the parameter makes. Followed to the end, however long;
-    a property edge on a cycle adds to a prefix once.
+    functions: (package_id, fn). Also over an object that a || of the parameter makes. Followed to the end, however long:
+    a round for each property read on the way, not for each edge; a property edge on a cycle adds to a prefix once.
     """
     edges = checkpointed(graph.e("PDG").where(~F.coalesce(F.col("relation_type") == "ARG", F.lit(False))).select("package_id", F.col("src").alias("node"), F.col("dst").alias("next"), "relation_type", "identifier_name", "edge_id"))
     param = hop(graph, functions.select("package_id", "fn"), "fn", "node", "REF", "param", keep={"param_index": "param_index", "is_this": "is_this"})
@@ -38,27 +38,32 @@ def parameter_trees(graph: PropertyGraph, functions: DataFrame) -> DataFrame:
     one = hop(graph, param, "node", "other", "PDG", "DEP")
     two = hop(graph, hop(graph, param, "node", "between", "PDG", "ARG"), "between", "other", "PDG", "DEP").drop("between")
     others = exists(union(one, two), made, "other").drop("node").withColumnRenamed("other", "node")
-    empty = F.array().cast("array<string>")
-    state = checkpointed(union(param, others).withColumn("prefix", empty).withColumn("fixed", F.lit(False)).withColumn("taken", F.array().cast("array<bigint>")))
-    open_ = edges.where("not (relation_type <=> 'DEP')")
-    near = reach(open_.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst")), state.select("package_id", F.lit(0).cast("long").alias("origin"), "node").distinct(), 0).select("package_id", "node").distinct()
-    open_ = checkpointed(open_.join(near, ["package_id", "node"]))
-    back = reach(open_.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst")), open_.where("relation_type = 'SO'").select("package_id", F.col("next").alias("origin"), F.col("next").alias("node")).distinct(), 0)
-    cyclic = open_.where("relation_type = 'SO'").join(back.select("package_id", F.col("origin").alias("next"), "node"), ["package_id", "next", "node"], "left_semi").select("package_id", "edge_id", F.lit(True).alias("cyclic")).distinct()
-    edges = checkpointed(edges.join(cyclic, ["package_id", "edge_id"], "left"))
-    known, rounds = state, 0
+    key = ["package_id", "fn", "param", "param_index"]
+    state = checkpointed(union(param, others).select(*key, "node", F.array().cast("array<string>").alias("prefix"), F.array().cast("array<bigint>").alias("taken")))
+    pairs = lambda df: df.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst"))
+    from_ = lambda df, c: df.select("package_id", F.col(c).alias("origin"), F.col(c).alias("node")).distinct()
+    near = checkpointed(reached(pairs(edges), state, 0))
+    edges = checkpointed(edges.join(near, ["package_id", "node"], "left_semi"))
+    same, read, onward = (edges.where(c) for c in ("not coalesce(relation_type in ('SO', 'DEP'), false)", "relation_type = 'SO'", "relation_type = 'DEP'"))
+    # a property read on a cycle adds to a prefix once
+    open_ = pairs(edges.where("not (relation_type <=> 'DEP')"))
+    back = reach(open_, from_(read, "next"), 0).select("package_id", F.col("origin").alias("next"), "node")
+    cyclic = read.join(back, ["package_id", "next", "node"], "left_semi").select("package_id", "edge_id", F.lit(True).alias("cyclic")).distinct()
+    read = checkpointed(read.join(cyclic, ["package_id", "edge_id"], "left"))
+    # what is reached without a property or dependency, and after the first dependency over anything
+    spread = checkpointed(reach(pairs(same), from_(state, "node").unionByName(from_(read, "next")), 0)).select("package_id", F.col("origin").alias("node"), F.col("node").alias("spread"))
+    after = checkpointed(reach(pairs(edges), from_(onward, "next"), 0)).select("package_id", F.col("origin").alias("next"), F.col("node").alias("end"))
+    found = []
     while not state.isEmpty():
-        more = state.join(edges, ["package_id", "node"])
-        deeper = F.coalesce(F.col("relation_type") == "SO", F.lit(False)) & ~F.col("fixed")
-        again = deeper & F.coalesce("cyclic", F.lit(False))
-        more = more.where(~(again & F.array_contains("taken", F.col("edge_id"))))
-        more = more.select("package_id", "fn", "param", "param_index", F.col("next").alias("node"), F.when(deeper, F.array_append("prefix", F.col("identifier_name"))).otherwise(F.col("prefix")).alias("prefix"), (F.col("fixed") | F.coalesce(F.col("relation_type") == "DEP", F.lit(False))).alias("fixed"), F.when(again, F.array_append("taken", F.col("edge_id"))).otherwise(F.col("taken")).alias("taken"))
-        more = more.withColumn("taken", F.when(F.col("fixed"), F.array().cast("array<bigint>")).otherwise(F.col("taken"))).distinct()
-        old = known.select(*(F.col(c).alias(f"known_{c}") for c in known.columns))
-        state = checkpointed(more.join(old, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in more.columns)), "left_anti"))
-        known, rounds = known.unionByName(state), rounds + 1
-        if rounds % 8 == 0:
-            known = checkpointed(known)
+        at = state.join(spread, ["package_id", "node"]).select(*key, "prefix", "taken", F.col("spread").alias("node")).distinct()
+        state = checkpointed(at)
+        beyond = state.join(onward.select("package_id", "node", "next").distinct(), ["package_id", "node"]).join(after, ["package_id", "next"])
+        found.append(checkpointed(state.select(*key, "prefix", "node").unionByName(beyond.select(*key, "prefix", F.col("end").alias("node"))).distinct()))
+        again = F.coalesce("cyclic", F.lit(False))
+        deeper = state.join(read, ["package_id", "node"]).where(~(again & F.array_contains("taken", F.col("edge_id"))))
+        deeper = deeper.select(*key, F.col("next").alias("node"), F.array_append("prefix", F.col("identifier_name")).alias("prefix"), F.when(again, F.array_append("taken", F.col("edge_id"))).otherwise(F.col("taken")).alias("taken"))
+        state = checkpointed(deeper.distinct())
+    known = reduce(DataFrame.unionByName, found) if found else state
     return known.groupBy("package_id", "fn", "param", "prefix").agg(F.min("param_index").alias("param_index"), F.array_sort(F.collect_set("node")).alias("ids"))
 
 

@@ -52,7 +52,7 @@ def top_level(graph: PropertyGraph) -> DataFrame:
     return found.select("package_id", "fn", F.array(step("TopLevel", F.lit(None), F.col("fn_name"), F.col("fn"), F.col("fn"))).alias("path"))
 
 
-def _property(graph: PropertyGraph) -> DataFrame:
+def properties(graph: PropertyGraph) -> DataFrame:
     """fn -REF obj-> fn_obj -DEP-> sub <-SO prop_name- obj."""
     found = hop(graph, start(graph, "fn"), "fn", "fn_obj", "REF", "obj")
     found = hop(graph, label(graph, found, "fn_obj", OBJECT, keep={"fn_name": "identifier_name"}), "fn_obj", "sub", "PDG", "DEP")
@@ -66,18 +66,13 @@ def _exported(graph: PropertyGraph, found: DataFrame, source: str, holder: str)
     return label(graph, found, holder, OBJECT, where=F.col("identifier_name").contains("module"))
 
 
-def _origin(graph: PropertyGraph, found: DataFrame, is_function: Column | None = None, inner: bool = False) -> DataFrame:
-    """The syntax node that defines obj or an earlier object it comes from, and whether that is a function."""
+def origins(graph: PropertyGraph, found: DataFrame) -> DataFrame:
+    """package_id, obj, source, is_function: the syntax nodes that define each obj of found or an earlier object it comes from, and whether those are functions."""
     pdg = graph.e("PDG").select("package_id", "src", "dst")
-    found = label(graph, walk(pdg, found, "obj", "origin", backward=True), "origin", OBJECT)
-    found = hop(graph, found, "origin", "source", "REF", "obj", reverse=True)
-    if is_function is None:
-        body = hop(graph, start(graph, "source"), "source", "context", "FD")
-        body = label(graph, body, "context", "CFG_F_START").select("package_id", "source", F.lit(1).alias("is_function")).distinct()
-        found = found.join(body, ["package_id", "source"], "inner" if inner else "left").withColumn("is_function", F.coalesce("is_function", F.lit(0)))
-    else:
-        found = found.withColumn("is_function", is_function)
-    return found
+    rows = label(graph, walk(pdg, found.select("package_id", "obj").distinct(), "obj", "origin", backward=True), "origin", OBJECT)
+    rows = hop(graph, rows, "origin", "source", "REF", "obj", reverse=True).select("package_id", "obj", "source").distinct()
+    body = hop(graph, start(graph, "source"), "source", "context", "FD", types=["CFG_F_START"]).select("package_id", "source", F.lit(1).alias("is_function")).distinct()
+    return rows.join(body, ["package_id", "source"], "left").withColumn("is_function", F.coalesce("is_function", F.lit(0)))
 
 
 def _methods(found: DataFrame, exported_name: Column | None = None) -> DataFrame:
@@ -99,12 +94,12 @@ def exported_directly(graph: PropertyGraph) -> DataFrame:
     return found.select("package_id", "fn", F.array(step("Call", F.lit(None), F.col("fn_name"), F.col("fn"), F.col("fn"))).alias("path"))
 
 
-def exported_by_exports(graph: PropertyGraph, found: DataFrame) -> DataFrame:
+def exported_by_exports(graph: PropertyGraph, found: DataFrame, origin: DataFrame) -> DataFrame:
     """exports.p = f."""
-    return _methods(_origin(graph, found.where(F.col("obj_name").contains("exports"))))
+    return _methods(found.where(F.col("obj_name").contains("exports")).join(origin, ["package_id", "obj"]))
 
 
-def exported_by_module(graph: PropertyGraph, found: DataFrame) -> DataFrame:
+def exported_by_module(graph: PropertyGraph, found: DataFrame, origin: DataFrame) -> DataFrame:
     """module.exports = o with o.p = f, also one object deeper."""
     pdg, nv = (graph.e("PDG", k).select("package_id", "src", "dst") for k in (None, "NV"))
     loose = hop(graph, label(graph, walk(pdg, found, "obj", "last"), "last", OBJECT), "last", "exports", "PDG", keep={"dep_edge": "edge_id"})
@@ -114,10 +109,10 @@ def exported_by_module(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     nested = hop(graph, walk(nv, nested, "outer", "outer_last"), "outer_last", "exports", "PDG", "DEP")
     nested = exists(_exported(graph, nested, "exports", "holder"), graph.e("PDG", "SO", "exports").select("package_id", F.col("dst").alias("exports")), "exports")
     names = ("package_id", "fn", "fn_name", "prop_name", "obj", "obj_name")
-    return _methods(_origin(graph, union(loose.select(*names), nested.select(*names))))
+    return _methods(union(loose.select(*names), nested.select(*names)).join(origin, ["package_id", "obj"]))
 
 
-def exported_by_module_property(graph: PropertyGraph, found: DataFrame) -> DataFrame:
+def exported_by_module_property(graph: PropertyGraph, found: DataFrame, origin: DataFrame) -> DataFrame:
     """module.exports.p = f, also one object deeper; module.exports = o, then o.p = f."""
     nv = graph.e("PDG", "NV").select("package_id", "src", "dst")
     names = ("package_id", "fn", "fn_name", "prop_name", "obj", "obj_name")
@@ -127,11 +122,12 @@ def exported_by_module_property(graph: PropertyGraph, found: DataFrame) -> DataF
     nested = _exported(graph, walk(nv, nested, "outer", "exports", 1, backward=True), "exports", "holder")
     later = hop(graph, label(graph, walk(nv, found, "obj", "first", 1, backward=True), "first", OBJECT), "first", "exports", "PDG", "DEP")
     later = exists(_exported(graph, later, "exports", "holder"), graph.e("PDG", "SO", "exports").select("package_id", F.col("dst").alias("exports")), "exports")
-    known = _origin(graph, union(plain.select(*names), nested.select(*names)))
-    return _methods(union(known.select(*names, "source", "is_function"), _origin(graph, later.select(*names).distinct(), F.lit(0)).select(*names, "source", "is_function")))
+    known = union(plain.select(*names), nested.select(*names)).join(origin, ["package_id", "obj"])
+    later = later.select(*names).distinct().join(origin, ["package_id", "obj"]).withColumn("is_function", F.lit(0))
+    return _methods(union(known.select(*names, "source", "is_function"), later.select(*names, "source", "is_function")))
 
 
-def exported_by_prototype(graph: PropertyGraph, found: DataFrame) -> DataFrame:
+def exported_by_prototype(graph: PropertyGraph, found: DataFrame, origin: DataFrame) -> DataFrame:
     """F.prototype.p = f with F exported, by itself or as a property."""
     nv = graph.e("PDG", "NV").select("package_id", "src", "dst")
     names = ("package_id", "fn", "fn_name", "prop_name", "obj", "obj_name", "export_name")
@@ -147,10 +143,11 @@ def exported_by_prototype(graph: PropertyGraph, found: DataFrame) -> DataFrame:
     many = owner(walk(nv, found, "obj", "proto", backward=True))
     bare = hop(graph, many, "exports", "slot", "PDG", "SO", reverse=True, keep={"export_name": "identifier_name"})
     bare = label(graph, walk(nv, label(graph, bare, "slot", OBJECT), "slot", "exports_obj", backward=True), "exports_obj", OBJECT, where=F.col("identifier_name").contains("exports"))
-    return _methods(_origin(graph, union(plain.select(*names), named.select(*names), bare.select(*names)), inner=True), F.col("export_name"))
+    rows = union(plain.select(*names), named.select(*names), bare.select(*names)).join(origin.where("is_function > 0"), ["package_id", "obj"])
+    return _methods(rows, F.col("export_name"))
 
 
-def exported_by_this(graph: PropertyGraph, found: DataFrame) -> DataFrame:
+def exported_by_this(graph: PropertyGraph, found: DataFrame, origin: DataFrame) -> DataFrame:
     """this.p = f in an exported constructor."""
     nv = graph.e("PDG", "NV").select("package_id", "src", "dst")
     found = walk(nv, found.drop("obj_name"), "obj", "this_obj", 1, backward=True)
@@ -163,10 +160,11 @@ def exported_by_this(graph: PropertyGraph, found: DataFrame) -> DataFrame:
 
 def exported_types(graph: PropertyGraph) -> DataFrame:
     """package_id, fn, path: how each exported function is reached from outside, by the first pattern that fits."""
-    found = checkpointed(_property(graph))
+    found = checkpointed(properties(graph))
+    origin = checkpointed(origins(graph, found))
     branches = [exported_directly(graph)]
     for branch in (exported_by_exports, exported_by_module, exported_by_module_property, exported_by_prototype, exported_by_this):
-        branches.append(branch(graph, found))
+        branches.append(branch(graph, found, origin))
     return single(first_match([b.distinct() for b in branches], ["package_id", "fn"]), ["package_id", "fn"], ["path"])
 
 
@@ -182,7 +180,7 @@ def returners(graph: PropertyGraph) -> DataFrame:
 
     plain = label(graph, hop(graph, start(graph, "fn"), "fn", "obj", "REF", "obj"), "obj", OBJECT, keep={"obj_name": "identifier_name"})
     plain = enclosing(plain, "obj").select("package_id", "fn", "source_fn", step("Call", F.lit(None), F.col("obj_name"), F.col("fn"), F.col("source_fn")).alias("step"))
-    prop = hop(graph, _property(graph), "obj", "parent", "PDG", "NV", reverse=True)
+    prop = hop(graph, properties(graph), "obj", "parent", "PDG", "NV", reverse=True)
     prop = enclosing(label(graph, prop, "parent", OBJECT), "obj")
     pdg = graph.e("PDG").select("package_id", "src", "dst")
     defined = walk(pdg, prop.select("package_id", "parent").distinct(), "parent", "origin", backward=True)
@@ -197,31 +195,44 @@ def returners(graph: PropertyGraph) -> DataFrame:
     return union(plain, prop)
 
 
-def callers(graph: PropertyGraph, callbacks: bool = False) -> DataFrame:
-    """package_id, fn, caller: functions whose statements call fn or pass it to a call; callbacks: also Promise, then and plain callbacks."""
-    statement = parent_functions(graph)
+def _passed(graph: PropertyGraph) -> DataFrame:
+    """package_id, fn, call, statement: functions passed to calls, and the statements that hold the results."""
+    found = hop(graph, start(graph, "fn"), "fn", "fn_obj", "REF", "obj")
+    found = hop(graph, label(graph, found, "fn_obj", OBJECT), "fn_obj", "call", "PDG", "ARG", types=[CALL])
+    return hop(graph, found, "call", "statement", "REF", "obj", reverse=True)
+
+
+def callbacks(graph: PropertyGraph) -> DataFrame:
+    """package_id, fn, caller, kind: functions that a caller passes to a Promise, to then or, by name, to another call (callback)."""
+    init = hop(graph, _passed(graph).select("package_id", "fn", "statement").distinct(), "statement", "expression", "AST", "init")
+    called = label(graph, init, "expression", "CallExpression")
+    promise = hop(graph, label(graph, init, "expression", "NewExpression"), "expression", "callee", "AST", "callee")
+    promise = label(graph, promise, "callee", "Identifier", where=F.col("identifier_name") == "Promise")
+    then = hop(graph, hop(graph, called, "expression", "callee", "AST", "callee", types=["MemberExpression"]), "callee", "property", "AST", "property")
+    then = label(graph, then, "property", where=F.col("identifier_name") == "then")
+    plain = label(graph, hop(graph, called, "expression", "arg", "AST", "arg"), "arg", "Identifier", keep={"name": "identifier_name"})
+    plain = plain.join(start(graph, "fn", keep={"name": "identifier_name"}), ["package_id", "fn", "name"], "left_semi")
+    kinds = [b.select("package_id", "fn", "statement", F.lit(kind).alias("kind")) for b, kind in ((promise, "promise"), (then, "then"), (plain, "callback"))]
+    return union(*kinds).join(parent_functions(graph), ["package_id", "statement"]).select("package_id", "fn", F.col("func").alias("caller"), "kind").distinct()
+
+
+def callers(graph: PropertyGraph) -> DataFrame:
+    """package_id, fn, caller: functions whose statements call fn or pass it to a call (those of callbacks among them)."""
+    statement = checkpointed(parent_functions(graph))
     direct = hop(graph, statement, "statement", "fn", "CG")
-    passed = hop(graph, start(graph, "fn"), "fn", "fn_obj", "REF", "obj")
-    passed = label(graph, hop(graph, label(graph, passed, "fn_obj", OBJECT), "fn_obj", "call", "PDG", "ARG"), "call", CALL)
-    passed = hop(graph, passed, "call", "statement", "REF", "obj", reverse=True)
-    made = hop(graph, label(graph, hop(graph, label(graph, statement, "statement", FUNCTION), "statement", "call", "REF", "obj"), "call", CALL), "call", "fn", "CG")
+    made = hop(graph, hop(graph, label(graph, statement, "statement", FUNCTION), "statement", "call", "REF", "obj", types=[CALL]), "call", "fn", "CG")
     names = ("package_id", "fn", F.col("func").alias("caller"))
-    branches = [direct.select(*names), passed.join(statement, ["package_id", "statement"]).select(*names), made.select(*names)]
-    if callbacks:
-        init = hop(graph, passed, "statement", "expression", "AST", "init")
-        promise = label(graph, hop(graph, label(graph, init, "expression", "NewExpression"), "expression", "callee", "AST", "callee"), "callee", "Identifier", where=F.col("identifier_name") == "Promise")
-        then = label(graph, hop(graph, label(graph, init, "expression", "CallExpression"), "expression", "callee", "AST", "callee"), "callee", "MemberExpression")
-        then = label(graph, hop(graph, then, "callee", "property", "AST", "property"), "property", where=F.col("identifier_name") == "then")
-        for found in (promise, then):
-            branches.append(found.join(statement, ["package_id", "statement"]).select(*names))
-    return union(*branches)
+    return union(direct.select(*names), _passed(graph).join(statement, ["package_id", "statement"]).select(*names), made.select(*names))
+
+
+#: How a server is recognised in a source text.
+SERVER, LISTEN = r"\bcreateServer\b", r'\.listen\((\d+|"(\d+)")\)'
 
 
 def server_ports(sources: DataFrame) -> DataFrame:
     """package_id, path, port of files that create a server and listen on a literal port."""
-    listen = r'\.listen\((\d+|"(\d+)")\)'
-    port = F.replace(F.regexp_extract("content", listen, 1), F.lit('"'), F.lit("")).try_cast("int")
-    return sources.where(F.col("content").rlike(r"\bcreateServer\b") & F.col("content").rlike(listen)).select("package_id", "path", port.alias("port"))
+    port = F.replace(F.regexp_extract("content", LISTEN, 1), F.lit('"'), F.lit("")).try_cast("int")
+    return sources.where(F.col("content").rlike(SERVER) & F.col("content").rlike(LISTEN)).select("package_id", "path", port.alias("port"))
 
 
 def call_paths(graph: PropertyGraph, targets: DataFrame, main_files: DataFrame | None = None, servers: DataFrame | None = None) -> DataFrame:
@@ -254,7 +265,7 @@ def call_paths(graph: PropertyGraph, targets: DataFrame, main_files: DataFrame |
 
 
 def vulnerability_kind(path: Column) -> Column:
-    """The class of a call path by its first step and its length."""
+    """The class of a call path by its first step and its length. The names are fixed values."""
     first, n = path[0]["type"], F.size(path)
     one = F.when(first == "Call", "VFunExported").when(first == "Method", "VFunPropOfExportedObj").when(first == "New", "VNewCall").when(first == "ServerInitialization", "VServerInitialization").when(first == "TopLevel", "VTopLevel")
     many = F.when(first == "New", "VNewCall").when(first.isin("Call", "Method"), "VFunRetByExport")

@@ -15,8 +15,8 @@ from pyspark.sql.types import StructType
 
 from .functions import text
 from .model import EDGES, NODES, PropertyGraph
-from .operators.closure import paths, reach, reached
-from .operators.match import exists, first_match, hop, label, missing, optional, single, start, union
+from .operators.closure import paths, reach, reached, shared_folder
+from .operators.match import ends, exists, first_match, hop, label, missing, optional, single, start, union
 from .plans.detect import vulnerability_types
 from .plans.lexical import program_graph
 from .sources.graph_files import read_graph, source_lines, write_graph
@@ -57,29 +57,30 @@ def version_edges(graph: PropertyGraph) -> DataFrame:
 def path_fixed_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(:Region)-[:AST]->(:Nation)-[:AST]->(:Customer), then its orders, which are in the customer's own package."""
     g = table_graph(spark, sf_dir)
-    found = hop(g, start(g, "r", "Region", keep={"region": "identifier_name"}), "r", "n", "AST", "child")
-    found = label(g, hop(g, found, "n", "c", "AST", "child"), "c", "Customer").select("region", "c")
-    orders = label(g, g.e("PDG", "SO").select("package_id", F.col("src").alias("c"), F.col("dst").alias("o")), "o", "Order").select("c")
+    found = hop(g, start(g, "r", "Region", keep={"region": "identifier_name"}), "r", "n", "AST", "child", types=["Nation"])
+    found = hop(g, found, "n", "c", "AST", "child", types=["Customer"]).select("region", "c")
+    orders = ends(g, g.e("PDG", "SO"), dst=["Order"]).select(F.col("src").alias("c"))
     return found.join(orders, "c").groupBy("region").agg(F.count("*").alias("n_orders"))
 
 
-@query("SELECT n_name AS nation, count(DISTINCT l_orderkey * 8 + l_linenumber) AS n_items FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+@query("SELECT n_name AS nation, count(DISTINCT l_orderkey * 1000 + l_linenumber) AS n_items FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 def path_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(:LineItem)<-[:DEP]-(:Supplier)<-[:AST]-(:Nation)."""
     g = table_graph(spark, sf_dir)
-    up = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "s", "AST", "child")
-    found = hop(g, start(g, "i", "LineItem"), "i", "s", "PDG", "DEP", reverse=True).select("i", "s").distinct()
-    found = found.join(label(g, up, "s", "Supplier").select("s", "nation"), "s")
+    up = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "s", "AST", "child", types=["Supplier"])
+    found = ends(g, g.e("PDG", "DEP"), ["Supplier"], ["LineItem"]).select(F.col("dst").alias("i"), F.col("src").alias("s"))
+    found = found.join(up.select("s", "nation"), "s")
     return found.select("nation", "i").distinct().groupBy("nation").agg(F.count("*").alias("n_items"))
 
 
-@query("SELECT n_name AS nation, count(DISTINCT l_orderkey * 8 + l_linenumber) AS n_items FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+@query("SELECT n_name AS nation, count(DISTINCT l_orderkey * 1000 + l_linenumber) AS n_items FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def star_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items whose customer and supplier hang below one nation."""
     g = table_graph(spark, sf_dir)
     tree = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "leaf", "AST", "child").select("n", "nation", "leaf")
-    found = hop(g, hop(g, start(g, "i", "LineItem"), "i", "o", "PDG", "SO", reverse=True).distinct(), "o", "c", "PDG", "SO", reverse=True)
-    found = hop(g, found, "i", "s", "PDG", "DEP", reverse=True).select("i", "c", "s").distinct()
+    found = ends(g, g.e("PDG", "SO"), ["Order"], ["LineItem"]).select("package_id", F.col("src").alias("o"), F.col("dst").alias("i"))
+    found = hop(g, found, "o", "c", "PDG", "SO", reverse=True, types=["Customer"])
+    found = hop(g, found, "i", "s", "PDG", "DEP", reverse=True, types=["Supplier"]).select("i", "c", "s")
     found = found.join(tree.withColumnRenamed("leaf", "c"), "c").join(tree.select("n", F.col("leaf").alias("s")), ["n", "s"])
     return found.select("nation", "i").distinct().groupBy("nation").agg(F.count("*").alias("n_items"))
 
@@ -88,7 +89,7 @@ def star_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def property_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their next versions that the same property leads to."""
     g = table_graph(spark, sf_dir)
-    into = lambda v, name: g.e("PDG", "SO").select("package_id", F.col("dst").alias(v), F.col("identifier_name").alias(name))
+    into = lambda v, name: ends(g, g.e("PDG", "SO"), dst=["Order"]).select("package_id", F.col("dst").alias(v), F.col("identifier_name").alias(name))
     found = version_edges(g).join(into("src", "priority"), ["package_id", "src"]).join(into("dst", "priority"), ["package_id", "dst", "priority"])
     return found.groupBy("priority").agg(F.count("*").alias("n"))
 
@@ -106,7 +107,7 @@ def optional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exists_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of which an item was returned."""
     g = table_graph(spark, sf_dir)
-    returned = exists(g.e("PDG", "DEP").select("package_id", F.col("src").alias("p"), F.col("dst").alias("i")), g.e("PDG", "SO", "R").select("package_id", F.col("dst").alias("i")), "i")
+    returned = exists(ends(g, g.e("PDG", "DEP"), src=["Part"]).select("package_id", F.col("src").alias("p"), F.col("dst").alias("i")), ends(g, g.e("PDG", "SO", "R"), dst=["LineItem"]).select("package_id", F.col("dst").alias("i")), "i")
     return start(g, "p", "Part").join(returned.select("p"), "p", "left_semi").select(key_of("p", "Part").alias("part"))
 
 
@@ -115,7 +116,7 @@ def not_exists_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without an urgent order."""
     g = table_graph(spark, sf_dir)
     own = start(g, "c", "Customer").select(key_of("c", "Customer").cast("string").alias("package_id"), "c")
-    return missing(own, g.e("PDG", "SO", "1-URGENT").select("package_id", F.col("src").alias("c")), "c").select(key_of("c", "Customer").alias("customer"))
+    return missing(own, ends(g, g.e("PDG", "SO", "1-URGENT"), dst=["Order"]).select("package_id", F.col("src").alias("c")), "c").select(key_of("c", "Customer").alias("customer"))
 
 
 # paths of any length -----------------------------------------------------------------------------
@@ -144,7 +145,7 @@ def varlen_0plus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def varlen_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and those one or two steps after them."""
     g = table_graph(spark, sf_dir)
-    e = g.e("CFG").where(F.col("package_id").startswith("user-")).select("package_id", "src", "dst")
+    e = ends(g, g.e("CFG"), src=["Event"]).select("package_id", "src", "dst")
     found = reach(e, e.select("package_id", F.col("src").alias("origin"), F.col("src").alias("node")), max_hops=2)
     return found.select(key_of("origin", "Event").alias("origin"), key_of("node", "Event").alias("reached"))
 
@@ -153,7 +154,7 @@ def varlen_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def varlen_filtered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps all of which lead to a click or view: the filter is in the closure's edges."""
     g = table_graph(spark, sf_dir)
-    e = label(g, g.e("CFG").where(F.col("package_id").startswith("user-")).select("package_id", "src", "dst"), "dst", where=F.col("identifier_name").isin("click", "view"))
+    e = label(g, ends(g, g.e("CFG"), src=["Event"]).select("package_id", "src", "dst"), "dst", "Event", where=F.col("identifier_name").isin("click", "view"))
     found = reach(e, e.select("package_id", F.col("src").alias("origin"), F.col("src").alias("node")))
     return found.groupBy(key_of("origin", "Event").alias("origin")).agg(F.count("*").alias("n"))
 
@@ -162,8 +163,8 @@ def varlen_filtered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def varlen_last_hop_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a signup over views; the last step may lead anywhere."""
     g = table_graph(spark, sf_dir)
-    free = g.e("CFG").where(F.col("package_id").startswith("user-")).select("package_id", "src", "dst")
-    views = label(g, free, "dst", where=F.col("identifier_name") == "view")
+    free = ends(g, g.e("CFG"), src=["Event"]).select("package_id", "src", "dst")
+    views = label(g, free, "dst", "Event", where=F.col("identifier_name") == "view")
     seeds = start(g, "origin", "Event", where=F.col("identifier_name") == "signup").withColumn("node", F.col("origin"))
     found = reach(views, seeds, min_hops=0).join(free.select("package_id", F.col("src").alias("node"), F.col("dst").alias("last")), ["package_id", "node"])
     return found.select(key_of("origin", "Event").alias("origin"), key_of("last", "Event").alias("reached")).distinct()
@@ -173,7 +174,7 @@ def varlen_last_hop_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of turns of which one follows the other."""
     g = table_graph(spark, sf_dir)
-    e = g.e("CFG").where(F.col("package_id").startswith("conv-")).select("package_id", "src", "dst")
+    e = ends(g, g.e("CFG"), src=["Turn"]).select("package_id", "src", "dst")
     found = reach(e, e.select("package_id", F.col("src").alias("origin"), F.col("src").alias("node")))
     return found.groupBy(F.substring_index("package_id", "-", -1).cast("long").alias("conv_id")).agg(F.count("*").alias("n_pairs"))
 
@@ -187,7 +188,7 @@ def confirm_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE """ + CHAIN + """, r AS (SELECT o_custkey AS c, o_orderkey AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000 UNION SELECT r.c, v.dst FROM r JOIN v ON v.src = r.k)
-SELECT c AS customer, count(DISTINCT l_orderkey * 8 + l_linenumber) AS n_sinks FROM r JOIN lineitem ON l_orderkey = k WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1""")
+SELECT c AS customer, count(DISTINCT l_orderkey * 1000 + l_linenumber) AS n_sinks FROM r JOIN lineitem ON l_orderkey = k WHERE l_returnflag = 'R' AND l_quantity >= 45 GROUP BY 1""")
 def taint_reach_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rich customers and the returned bulk items that they reach over any dependencies."""
     g = table_graph(spark, sf_dir)
@@ -199,14 +200,14 @@ def taint_reach_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE """ + CHAIN + """, ok AS (SELECT v.* FROM v JOIN orders ON o_orderkey = dst WHERE o_orderstatus <> 'P'),
 r AS (SELECT o_custkey AS c, o_orderkey AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 9000 AND o_orderpriority = '1-URGENT' UNION SELECT r.c, ok.dst FROM r JOIN ok ON ok.src = r.k)
-SELECT DISTINCT l_orderkey * 8 + l_linenumber AS item FROM r JOIN lineitem ON l_orderkey = k WHERE l_returnflag = 'R' AND l_quantity >= 45""")
+SELECT DISTINCT l_orderkey * 1000 + l_linenumber AS item FROM r JOIN lineitem ON l_orderkey = k WHERE l_returnflag = 'R' AND l_quantity >= 45""")
 def taint_reach_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned bulk items reached from urgent orders of rich customers, over versions that are not pending: passable edges first, then one closure of booleans."""
     g = table_graph(spark, sf_dir)
     rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").cast("string").alias("package_id"), node("Customer", F.col("c_custkey")).alias("src"))
-    seeds = g.e("PDG", "SO", "1-URGENT").join(rich, ["package_id", "src"], "left_semi").select("package_id", F.col("dst").alias("node"))
+    seeds = ends(g, g.e("PDG", "SO", "1-URGENT"), dst=["Order"]).join(rich, ["package_id", "src"], "left_semi").select("package_id", F.col("dst").alias("node"))
     versions = label(g, version_edges(g), "dst", "Order", where=F.col("identifier_name") != "P")
-    passable = versions.unionByName(label(g, g.e("PDG", "SO").select("package_id", "src", "dst"), "dst", "LineItem"))
+    passable = versions.unionByName(ends(g, g.e("PDG", "SO"), dst=["LineItem"]).select("package_id", "src", "dst"))
     found = reached(passable, seeds).withColumnRenamed("node", "sink")
     sinks = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(node("LineItem", item_key()).alias("sink"))
     return found.join(sinks, "sink", "left_semi").select(key_of("sink", "LineItem").alias("item")).distinct()
@@ -216,8 +217,8 @@ def taint_reach_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c)-[:SO urgent]->(o)-[:NV]->(next)-[:SO]->(item)."""
     g = table_graph(spark, sf_dir)
-    found = g.e("PDG", "SO", "1-URGENT").select("package_id", F.col("src").alias("c"), F.col("dst").alias("o"))
-    found = hop(g, hop(g, found, "o", "next", "PDG", "NV"), "next", "item", "PDG", "SO", keep={"flag": "identifier_name"})
+    found = ends(g, g.e("PDG", "SO", "1-URGENT"), dst=["Order"]).select("package_id", F.col("src").alias("c"), F.col("dst").alias("o"))
+    found = hop(g, hop(g, found, "o", "next", "PDG", "NV"), "next", "item", "PDG", "SO", keep={"flag": "identifier_name"}, types=["LineItem"])
     return found.groupBy("flag").agg(F.count("*").alias("n"))
 
 
@@ -225,16 +226,16 @@ def version_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parameter_shortcut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived edges: a part to the orders that an item joins it to."""
     g = table_graph(spark, sf_dir)
-    found = label(g, hop(g, start(g, "i", "LineItem"), "i", "o", "PDG", "SO", reverse=True), "o", "Order")
-    found = hop(g, found, "i", "p", "PDG", "DEP", reverse=True).where(F.col("p") >= TYPES["Part"] * UNIT)
-    return found.where(F.col("p") < (TYPES["Part"] + 1) * UNIT).select(key_of("p", "Part").alias("part"), key_of("o", "Order").alias("order_key")).distinct()
+    found = ends(g, g.e("PDG", "SO"), ["Order"], ["LineItem"]).select("package_id", F.col("src").alias("o"), F.col("dst").alias("i"))
+    found = hop(g, found, "i", "p", "PDG", "DEP", reverse=True, types=["Part"])
+    return found.select(key_of("p", "Part").alias("part"), key_of("o", "Order").alias("order_key")).distinct()
 
 
 @query("SELECT r_name || '/' || n_name || '/' || s_name AS path FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey")
 def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All walks from a region to a supplier, as a recursive query."""
     g = table_graph(spark, sf_dir)
-    edges = label(g, g.e("AST", "child").select("package_id", "src", "dst"), "dst", "Nation", "Supplier")
+    edges = ends(g, g.e("AST", "child"), dst=["Nation", "Supplier"]).select("package_id", "src", "dst")
     found = paths(spark, edges, start(g, "node", "Region"), 2).where("size(path) = 3")
     for i, (v, kind) in enumerate((("r", "Region"), ("n", "Nation"), ("s", "Supplier"))):
         found = label(g, found.withColumn(v, F.col("path")[i]), v, kind, keep={f"{v}_name": "identifier_name"})
@@ -247,16 +248,16 @@ def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS customer FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
 def union_branches_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
-    urgent = g.e("PDG", "SO", "1-URGENT").select(F.col("package_id").try_cast("long").alias("customer"))
-    returned = g.e("PDG", "SO", "R").select(F.col("package_id").try_cast("long").alias("customer"))
+    urgent = ends(g, g.e("PDG", "SO", "1-URGENT"), dst=["Order"]).select(F.col("package_id").try_cast("long").alias("customer"))
+    returned = ends(g, g.e("PDG", "SO", "R"), dst=["LineItem"]).select(F.col("package_id").try_cast("long").alias("customer"))
     return union(urgent, returned)
 
 
 @query("SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_orderkey FROM orders WHERE o_orderpriority = '2-HIGH' UNION SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def union_branches_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
-    by_name = [g.e("PDG", "SO", n).select(key_of("dst", "Order").alias("k")) for n in ("1-URGENT", "2-HIGH")]
-    return union(*by_name, g.e("PDG", "SO", "R").select(key_of("src", "Order").alias("k")))
+    by_name = [ends(g, g.e("PDG", "SO", n), dst=["Order"]).select(key_of("dst", "Order").alias("k")) for n in ("1-URGENT", "2-HIGH")]
+    return union(*by_name, ends(g, g.e("PDG", "SO", "R"), dst=["LineItem"]).select(key_of("src", "Order").alias("k")))
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 0 UNION SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION SELECT n_nationkey, n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_nationkey, n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal < 0")
@@ -264,9 +265,9 @@ def union_branches_4(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
     nation = start(g, "n", "Nation", keep={"name": "identifier_name"})
     below = lambda k: hop(g, start(g, "r", "Region", where=F.col("node_id") == TYPES["Region"] * UNIT + k), "r", "n", "AST", "child")
-    suppliers = label(g, hop(g, nation, "n", "s", "AST", "child"), "s", "Supplier")
+    suppliers = hop(g, nation, "n", "s", "AST", "child", types=["Supplier"])
     poor = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("tree").alias("package_id"), node("Customer", F.col("c_custkey")).alias("s"))
-    branches = [exists(nation, below(0), "n"), exists(nation, below(1), "n"), exists(nation, suppliers, "n"), exists(nation, exists(hop(g, nation, "n", "s", "AST", "child"), poor, "s"), "n")]
+    branches = [exists(nation, below(0), "n"), exists(nation, below(1), "n"), exists(nation, suppliers, "n"), exists(nation, exists(hop(g, nation, "n", "s", "AST", "child", types=["Customer"]), poor, "s"), "n")]
     return union(*(b.select(key_of("n", "Nation").cast("int").alias("id"), "name") for b in branches))
 
 
@@ -274,7 +275,7 @@ def union_branches_4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pattern that an order fits."""
     g = table_graph(spark, sf_dir)
-    by_flag = [g.e("PDG", "SO", flag).select(F.col("src").alias("o"), F.lit(kind).alias("kind")).distinct() for flag, kind in (("R", "returned"), ("A", "accepted"))]
+    by_flag = [ends(g, g.e("PDG", "SO", flag), dst=["LineItem"]).select(F.col("src").alias("o"), F.lit(kind).alias("kind")).distinct() for flag, kind in (("R", "returned"), ("A", "accepted"))]
     rest = start(g, "o", "Order").select("o", F.lit("none").alias("kind"))
     return first_match([*by_flag, rest], ["o"]).select(key_of("o", "Order").alias("k"), "kind")
 
@@ -282,7 +283,7 @@ def cascade_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_name AS nation, string_agg(s_name, ',' ORDER BY s_name) AS suppliers FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def collect_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
-    found = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "s", "AST", "child")
+    found = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "s", "AST", "child", types=["Supplier"])
     found = label(g, found, "s", "Supplier", keep={"supplier": "identifier_name"})
     return found.groupBy("nation").agg(F.array_join(F.array_sort(F.collect_list("supplier")), ",").alias("suppliers"))
 
@@ -290,7 +291,7 @@ def collect_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_custkey AS customer, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def collect_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
-    items = label(g, g.e("PDG", "SO").select("package_id", "dst", "identifier_name"), "dst", "LineItem")
+    items = ends(g, g.e("PDG", "SO"), dst=["LineItem"])
     return items.groupBy(F.col("package_id").try_cast("long").alias("customer")).agg(F.array_join(F.array_sort(F.collect_set("identifier_name")), ",").alias("flags"))
 
 
@@ -298,7 +299,7 @@ def collect_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transpose_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation to its segments, turned around."""
     g = table_graph(spark, sf_dir)
-    found = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "c", "AST", "child")
+    found = hop(g, start(g, "n", "Nation", keep={"nation": "identifier_name"}), "n", "c", "AST", "child", types=["Customer"])
     segments = table(spark, sf_dir, "customer").select(node("Customer", F.col("c_custkey")).alias("c"), "c_mktsegment")
     adjacency = found.join(segments, "c").groupBy("nation").agg(F.collect_set("c_mktsegment").alias("segments"))
     turned = adjacency.select("nation", F.explode("segments").alias("segment"))
@@ -314,7 +315,7 @@ def dedup_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_type_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """None: any; one: itself; more: a union."""
     g = table_graph(spark, sf_dir)
-    orders = label(g, g.e("PDG", "SO").select("package_id", "dst", "identifier_name"), "dst", "Order").select(F.col("package_id").try_cast("long").alias("customer"), "identifier_name")
+    orders = ends(g, g.e("PDG", "SO"), dst=["Order"]).select(F.col("package_id").try_cast("long").alias("customer"), "identifier_name")
     own = start(g, "c", "Customer").select(key_of("c", "Customer").alias("customer"))
     return own.join(orders, "customer", "left").groupBy("customer").agg(text.union_type(F.collect_set("identifier_name")).alias("type"))
 
@@ -374,12 +375,6 @@ def text_line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), F.coalesce(text.left_trimmed(F.col("line")), F.lit("")).alias("line"))
 
 
-@query(r"SELECT page_id, coalesce(TRY_CAST(regexp_extract(url, '[?&]page=(\d+)', 1) AS INTEGER), 0) AS number FROM pages")
-def regex_port(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.coalesce(F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("int"), F.lit(0)).alias("number"))
-
-
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<script[^>]*>')) AS n_scripts FROM pages")
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<script[^>]*>"), F.lit(0))).cast("long").alias("n_scripts"))
@@ -395,13 +390,6 @@ def script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.n("PDG_CALL").where("identifier_name = 'track'").groupBy(F.col("package_id").cast("long").alias("page_id")).agg(F.count("*").alias("n_calls"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') AS links FROM pages""")
-def file_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each page refers to, once each, sorted."""
-    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(links)), " ").alias("links"))
-
-
 @query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages")
 def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.base_name(F.col("url")).alias("base"))
@@ -413,31 +401,39 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_graph(spark, sf_dir).nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'node' AS kind, 'Nation' AS type, count(*) AS n FROM nation UNION ALL SELECT 'node', 'Region', count(*) FROM region UNION ALL SELECT 'edge', 'AST', count(*) FROM nation")
+@query(f"""WITH {CHAIN}, {STEPS}, i AS (SELECT l_orderkey * 1000 + l_linenumber AS k, l_partkey, l_suppkey, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+t AS (SELECT *, EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1) AS more FROM conversations c),
+r AS (SELECT 'Region' AS kind, r_regionkey AS k, r_name AS name FROM region UNION ALL SELECT 'Nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'Customer', c_custkey, c_name FROM customer UNION ALL SELECT 'Supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'Part', p_partkey, p_name FROM part
+UNION ALL SELECT 'Order', o_orderkey, o_orderstatus FROM orders UNION ALL SELECT 'LineItem', k, max(l_returnflag) FROM i GROUP BY k UNION ALL SELECT 'Event', event_id, event_type FROM events UNION ALL SELECT 'Turn', conv_id * 1000000 + turn, role FROM conversations
+UNION ALL SELECT 'AST child', n_nationkey, '' FROM nation UNION ALL SELECT 'AST child', c_custkey, '' FROM customer UNION ALL SELECT 'AST child', s_suppkey, '' FROM supplier UNION ALL SELECT 'PDG SO', o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'PDG SO', k, l_returnflag FROM i UNION ALL SELECT 'PDG NV', dst, '' FROM v
+UNION ALL SELECT 'PDG DEP', k, '' FROM i UNION ALL SELECT 'PDG DEP', k, '' FROM i UNION ALL SELECT 'CFG ', dst, '' FROM s UNION ALL SELECT 'CFG ', conv_id * 1000000 + turn + 1, '' FROM t WHERE more)
+SELECT kind, count(*) AS n, sum(k % 1000003)::BIGINT AS keys, sum(length(name))::BIGINT AS letters FROM r GROUP BY 1""")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top of the tree written to interchange files and read again."""
+    """The whole graph written to interchange files and read again: numbers, keys and names of each kind of node and edge (by its end)."""
     g = table_graph(spark, sf_dir)
     typed = lambda df, schema: df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
-    small = PropertyGraph(typed(g.n("Region", "Nation"), NODES), typed(label(g, g.e("AST", "child"), "dst", "Nation"), EDGES))
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/graphloom-checkpoints").rstrip("/")
-    folder = f"{shared}/csv-{uuid.uuid4().hex[:12]}"
-    write_graph(small, f"{folder}/nodes", f"{folder}/rels")
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    write_graph(PropertyGraph(typed(g.nodes, NODES), typed(g.edges, EDGES)), f"{folder}/nodes", f"{folder}/rels")
     back = read_graph(spark, f"{folder}/nodes", f"{folder}/rels")
-    count = lambda df, kind, c: df.groupBy(F.col(c).alias("type")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
-    return count(back.nodes, "node", "type").unionByName(count(back.edges, "edge", "rel_type"))
+    nodes = back.nodes.select(F.col("type").alias("kind"), F.col("node_id").alias("id"), "identifier_name")
+    edges = back.edges.select(F.concat_ws(" ", "rel_type", F.coalesce("relation_type", F.lit(""))).alias("kind"), F.col("dst").alias("id"), "identifier_name")
+    key, name = F.col("id") % UNIT % 1000003, F.length(F.coalesce("identifier_name", F.lit("")))
+    return nodes.unionByName(edges).groupBy("kind").agg(F.count("*").alias("n"), F.sum(key).alias("keys"), F.sum(name).cast("long").alias("letters"))
 
 
 @query("SELECT '  \"' || n_regionkey || '\" -> \"' || n_nationkey || '\" [label=\"' || n_name || '\"];' AS line FROM nation")
 def dot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as lines of a drawing."""
     g = table_graph(spark, sf_dir)
-    edges = label(g, g.e("AST", "child").select("package_id", "src", "dst"), "dst", "Nation", keep={"name": "identifier_name"})
+    edges = label(g, ends(g, g.e("AST", "child"), dst=["Nation"]).select("package_id", "src", "dst"), "dst", "Nation", keep={"name": "identifier_name"})
     q = F.lit('"')
     return edges.select(F.concat(F.lit('  "'), key_of("src", "Region").cast("string"), F.lit('" -> "'), key_of("dst", "Nation").cast("string"), F.lit('" [label="'), "name", q, F.lit("];")).alias("line"))
 
 
-@query("SELECT * FROM (VALUES ('eval', 'code-injection'), ('exec', 'command-injection'), ('readFile', 'path-traversal')) t(sink_name, vuln_type)")
+@query("WITH words(class, word, ord) AS (VALUES ('plain', 'STANDARD', 0), ('metal', 'STEEL', 1), ('metal', 'BRASS', 2), ('cheap', 'STEEL', 3), ('cheap', 'PROMO', 4)), c AS (SELECT word, arg_min(class, ord) AS class FROM words GROUP BY 1) SELECT p_partkey AS part, split_part(p_type, ' ', 1) AS first, class FROM part LEFT JOIN c ON word = split_part(p_type, ' ', 1)")
 def sink_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of each sink, the first that lists it."""
-    rows = [("code-injection", "eval", 0), ("command-injection", "exec", 1000), ("path-traversal", "readFile", 2000), ("path-traversal", "exec", 2001)]
-    return vulnerability_types(spark.createDataFrame(rows, "vuln_type string, sink string, ord int"))
+    """The class of the first word of each part's type, as that of a sink: the first of the list that has it."""
+    rows = [("plain", "STANDARD", 0), ("metal", "STEEL", 1), ("metal", "BRASS", 2), ("cheap", "STEEL", 3), ("cheap", "PROMO", 4)]
+    classes = vulnerability_types(spark.createDataFrame(rows, "vuln_type string, sink string, ord int"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("first"))
+    return parts.join(classes.withColumnsRenamed({"sink_name": "first", "vuln_type": "class"}), "first", "left").select("part", "first", "class")

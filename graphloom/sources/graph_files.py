@@ -73,7 +73,7 @@ def read_config(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def config_tables(config: DataFrame) -> dict[str, DataFrame]:
     kinds = config.select(F.posexplode(F.map_entries("sinks")).alias("a", "e")).select("a", F.col("e.key").alias("vuln_type"), F.posexplode("e.value").alias("b", "s"))
-    sinks = kinds.select("vuln_type", F.col("s.sink").alias("sink"), F.col("s.type").alias("kind"), F.coalesce("s.packages", F.array(F.struct(F.lit(None).cast("string").alias("package"), F.col("s.args").alias("args")))).alias("p"), (F.col("a") * 1000 + F.col("b")).alias("ord"))
+    sinks = kinds.select("vuln_type", F.col("s.sink").alias("sink"), F.col("s.type").alias("kind"), F.coalesce("s.packages", F.array(F.struct(F.lit(None).cast("string").alias("package"), F.col("s.args").alias("args")))).alias("p"), (F.col("a").cast("long") * (1 << 32) + F.col("b")).alias("ord"))
     sinks = sinks.select("vuln_type", "sink", "kind", F.explode("p").alias("p"), "ord").select("vuln_type", "sink", "kind", F.col("p.package").alias("package"), F.explode_outer("p.args").alias("arg"), "ord")
     signatures = config.select(F.explode("functions-signatures").alias("fn", "s")).select("fn", F.col("s.args_types").alias("args_types"), F.col("s.`rest?`").alias("rest"))
     prototypes = config.select(F.explode("prototypes").alias("kind", "m")).select("kind", F.explode("m").alias("method"))

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from graphloom.model import PropertyGraph
 from graphloom.operators.closure import paths, reach, reached
-from graphloom.operators.match import first_match, hop, label, missing, optional, single, start
+from graphloom.operators.match import ends, first_match, hop, label, missing, optional, single, start
 from graphloom.plans import detect, flow, param_types, protocol
-from graphloom.sources import graph_files
+from graphloom.sources import graph_files, samples
+from graphloom.sources.table_graph import table_graph
 from tests import graphs
 
 SINKS = [("code-injection", "eval", "function", None, 1, 0), ("command-injection", "exec", "package", "child_process", 1, 1000), ("path-traversal", "eval", "function", None, 1, 2000)]
@@ -65,6 +66,34 @@ def test_paths(spark):
     assert sorted(r.path for r in got.collect()) == [[1], [1, 2], [1, 2, 3], [1, 3]]
 
 
+def test_large_packages_take_few_rounds(spark):
+    """A long chain with a ladder and a star behind it, closed by all executors; all seeds of a shorter chain by doubling."""
+    chain = [("c", i, i + 1) for i in range(300)]
+    ladder = [("c", a, b) for i in range(300, 340, 2) for a in (i, i + 1) for b in (i + 2, i + 3)]
+    edges = chain + ladder + [("c", 10, 1000 + k) for k in range(50)] + [("c", 200, 150), ("d", 1, 2)]
+    df = spark.createDataFrame(edges, "package_id string, src long, dst long")
+    seeds = [("c", 7, 0), ("c", 8, 150), ("d", 1, 1)]
+    got = reach(df, spark.createDataFrame(seeds, "package_id string, origin long, node long"), 1, small=0)
+    assert rows(got) == closed(edges, seeds, 1, 9999)
+    short = spark.createDataFrame(chain[:40], "package_id string, src long, dst long")
+    own = short.select("package_id", F.col("src").alias("origin"), F.col("src").alias("node"))
+    assert reach(short, own, small=0).count() == 40 * 41 // 2
+
+
+def test_many_pairs_in_one_task(spark):
+    """Every pair of a chain of 1,500, and repeated seeds, lone seeds and another package beside it."""
+    chain = spark.range(1500).select(F.lit("c").alias("package_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    own = chain.select("package_id", F.col("src").alias("origin"), F.col("src").alias("node"))
+    lone = spark.createDataFrame([("c", 5, 99999), ("b", 1, 1), ("b", 1, 1)], "package_id string, origin long, node long")
+    assert reach(chain, own.unionByName(lone)).count() == 1500 * 1501 // 2
+    assert reach(chain, own.unionByName(own).unionByName(lone), 0).count() == 1500 * 1501 // 2 + 1500 + 2
+
+
+def test_ends_without_types(spark):
+    g = graphs.graph(spark, *graphs.exported_eval())
+    assert rows(ends(g, g.e("REF"), ["VariableDeclarator"], ["PDG_CALL"]), "src", "dst") == [(1, 9), (4, 9)]
+
+
 def test_match_operators(spark):
     g = graphs.graph(spark, *graphs.exported_eval())
     found = hop(g, start(g, "f", "VariableDeclarator", keep={"name": "identifier_name"}), "f", "o", "REF", "obj")
@@ -155,6 +184,33 @@ def test_call_path_over_many_callers(spark):
     assert [[s.fn_id for s in r.path] for r in got] == [[i]]
 
 
+def test_callbacks(spark):
+    """A function passed to a Promise, to then and to another call."""
+    nodes, edges = samples.PROGRAMS[3]
+    g = graphs.graph(spark, [(i, t, n, {"function_context": m["ctx"]} if "ctx" in m else {}) for i, t, n, m in nodes], [e[:5] for e in edges])
+    assert rows(protocol.callbacks(g), "fn", "caller", "kind") == [(10, 70, "callback"), (10, 70, "promise"), (10, 70, "then")]
+    assert (10, 70) in rows(protocol.callers(g), "fn", "caller")
+
+
+def test_keys_too_large_for_node_ids(spark, tmp_path):
+    """1,500 turns and line number 12 keep their own ids; a number beyond the factor is an error."""
+    import shutil
+
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "lineitem", "conversations"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    talk = [(c, t, "user", "x") for c in (1, 2) for t in range(1500)]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/conversations.parquet")
+    items = spark.read.parquet("file:///root/testdata/sf0.001/lineitem.parquet").limit(1)
+    items.withColumn("l_linenumber", F.lit(12).cast(items.schema["l_linenumber"].dataType)).unionByName(items).coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/lineitem.parquet")
+    g = table_graph(spark, f"file://{tmp_path}")
+    assert g.n("Turn").select("node_id").distinct().count() == 3000
+    assert ends(g, g.e("CFG"), ["Turn"]).count() == 2998
+    assert g.n("LineItem").select("node_id").distinct().count() == 2
+    spark.createDataFrame([(1, 10**6, "user", "x")], "conv_id long, turn int, role string, text string").coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/conversations.parquet")
+    with pytest.raises(Exception, match="too large"):
+        table_graph(spark, f"file://{tmp_path}").n("Turn").collect()
+
+
 def test_exported_property(spark):
     """exports.p = f."""
     nodes = [(1, "VariableDeclarator", "f"), (2, "FunctionExpression", None, {"location": graphs.location(1)}), (3, "PDG_OBJECT", "0.f-o1"), (4, "PDG_OBJECT", "0.exports.p-o3"), (5, "PDG_OBJECT", "0.exports-o2"), (6, "ExpressionStatement", None)]

@@ -40,8 +40,10 @@ def test_normal(spark):
 
 def test_summary(spark):
     g = graphs.graph(spark, *graphs.exported_eval())
-    got = packages.analyse(g, config(spark), with_types=True).collect()
+    timers = packages.Timers()
+    got = packages.analyse(g, config(spark), with_types=True, timers=timers).collect()
     assert len(got) == 1
+    assert [r.stage for r in timers.table(spark).collect()] == ["call_graph", "injection_detection", "proto_pollution_detection", "reconstruction"]
     assert json.loads(got[0].summary) == {"type": "VFunExported", "filename": "main.js", "vuln_type": "code-injection", "sink": "", "sink_lineno": 2, "source": "module.exports", "tainted_params": ["x"], "params_types": {"x": "any"}}
 
 
@@ -53,7 +55,16 @@ def test_parameter_json(spark):
     assert json.loads(got.params_types) == {"o": {"a": {"_union": [{"length": "any"}, "string", "array"]}}, "q": {"_union": ["number", "string"]}, "r": {"*": "any"}}
     polluted = spark.createDataFrame([("p", 1, "r", "object"), ("p", 1, "q", "value")], "package_id string, fn long, param string, role string")
     got = packages.parameter_json(types, ("charAt",), polluted).collect()[0]
-    assert json.loads(got.params_types) == {"o": {"a": {"_union": ["object", "array"]}}, "q": {"_union": ["number", "string"]}, "r": "object"}
+    assert json.loads(got.params_types) == {"o": {"a": {"_union": ["object", ["string", "string"], "string"]}}, "q": {"_union": ["number", "string"]}, "r": "object"}
+
+
+def test_numeric_keys_are_an_array(spark):
+    """Keys 0, 2 and 10, given in the order of their text: each at its index, any between; an only any; keys with other names."""
+    data = [("p", 1, "k", [], 0, []), *(("p", 1, "k", [n], 0, [t]) for n, t in (("0", "string"), ("10", "number"), ("2", "bool"))), ("p", 1, "m", [], 1, []), ("p", 1, "m", ["0"], 1, []), ("p", 1, "n", [], 2, []), ("p", 1, "n", ["1"], 2, []), ("p", 1, "n", ["b"], 2, [])]
+    types = spark.createDataFrame(data, "package_id string, fn long, param string, prefix array<string>, param_index int, types array<string>")
+    none = spark.createDataFrame([], "package_id string, fn long, param string, role string")
+    got = {r.param: json.loads(r.json) for r in packages.folded_parameters(types, (), none).collect()}
+    assert got == {"k": ["string", "any", "bool", *["any"] * 7, "number"], "m": "array", "n": {"_union": [{"1": "any", "b": "any"}, ["any", "any"]]}}
 
 
 def test_drawing(spark):
