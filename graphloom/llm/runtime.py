@@ -7,14 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.closure import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is named (tests), one under /tmp is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file:///tmp/graphloom-checkpoints"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; one is made only where none is named and all runs on this machine (tests)."""
+    return shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
