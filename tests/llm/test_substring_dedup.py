@@ -55,3 +55,31 @@ def test_factors(spark):
 
 def test_empty_table(spark):
     assert remove_duplicate_spans(empty(spark)).collect() == []
+
+
+def test_hot_minimisers_are_dealt_over_shards(spark, monkeypatch):
+    """A phrase in ever different surroundings, some of which are shared: blocks of it are cut in windows, with the same answers."""
+    import random
+
+    from graphloom.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT", 20)
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 4000)
+    rng = random.Random(9)
+    around = [[" ".join("w%d" % rng.randrange(10**6) for _ in range(9)) for _ in range(60)] for _ in range(2)]
+    rows = [(i, f"{rng.choice(around[0])} the very same five words {rng.choice(around[1])}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = remove_duplicate_spans(docs).drop("n_factors").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    texts = [t.encode() for _, t in rows]
+    first, n, key, content, whole = substring_dedup.blocks_of(substring_dedup.Words(texts))
+    hot = {int(k): 3 for k in key.view("int64")[:5]}
+    cut = substring_dedup._cut(first, n, key, content, whole, hot)
+    assert cut[1].sum() == n.sum() and (cut[1][cut[4] > 1] == 1).all() and len(cut[0]) > len(first)
+
+
+def test_factors_follow_one_document(spark):
+    """Two passages of document 1, in the other order: two factors, though the same document has both."""
+    a, b = " ".join("a%d" % i for i in range(20)), " ".join("b%d" % i for i in range(20))
+    got = {r.doc_id: r for r in remove_duplicate_spans(spark.createDataFrame([(1, f"{a} x {b}"), (2, f"{b} {a}"), (3, f"{a} x {b}")], "doc_id long, text string")).collect()}
+    assert (got[2].n_removed, got[2].n_factors) == (40, 2) and (got[3].n_removed, got[3].n_factors) == (41, 1)
