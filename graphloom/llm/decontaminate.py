@@ -16,8 +16,11 @@ have, before its first and after its last, count as different). An item of fewer
 Tokens are words in lower case (A-Z), without what is not a letter or digit at their ends;
 words of nothing else are left out.
 
-Scale: the documents are read once and never shuffled. The benchmark is collected only in
-blocks of at most ``block_bytes`` of text; a larger one takes more passes over the documents.
+Scale: the documents are never shuffled. The benchmark is collected only in blocks of at most
+``block_bytes`` of text. A larger one takes a pass over the documents for each block; every pass is
+written, and its block given up, before the next begins, so memory does not grow with the benchmark.
+Repetitive texts: places of a document around which the same tokens stand are one place, and equal
+stretches of a document are held against an item once.
 
 Cases: null or empty texts overlap with nothing; rows with a null doc_id are reported with
 it; repeated rows or items are reported by themselves, once for each document row and item_id.
@@ -26,6 +29,7 @@ it; repeated rows or items are reported by themselves, once for each document ro
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -41,6 +45,7 @@ MIN_TOKENS = 8
 MIN_OVERLAP = 13
 SPAN = 17
 SUBSTITUTED = 4  # at most in SPAN tokens
+FOLD = 4  # hits for each token of a document, from which on its equal places are folded
 BLOCK_BYTES = 4 << 20  # of text; its seeds take some 35 times as much memory
 HITS = "doc_id long, item_id long, at long, length long, matched long"
 _MULTIPLIER = U64(0xD6E8FEB86659FD93)
@@ -85,6 +90,32 @@ def _masks(n: int) -> list[str]:
     return ["".join("1" if i in pair else "0" for i in range(n)) for pair in (set(np.concatenate(two).tolist()) for two in combinations(blocks, 2))]
 
 
+class Sums:
+    """Hashes of any stretch of a sequence, by sums of its members times powers of an odd number."""
+
+    def __init__(self, values: np.ndarray):
+        power = np.full(len(values) + 1, _MULTIPLIER)
+        power[0] = U64(1)
+        self.inverse = np.full(len(values) + 1, U64(pow(int(_MULTIPLIER), -1, 1 << 64)))
+        self.inverse[0] = U64(1)
+        power, self.inverse = np.cumprod(power), np.cumprod(self.inverse)
+        self.total = np.concatenate((np.zeros(1, U64), np.cumsum(mix(values + U64(1)) * power[:-1])))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        end = np.maximum(begin, end)
+        return mix((self.total[end] - self.total[begin]) * self.inverse[begin] + (end - begin).astype(U64))
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """The place of the first of each different key, in rising order."""
+    order = np.lexsort(keys[::-1])
+    lead = np.ones(len(order), bool)
+    lead[1:] = False
+    for k in keys:
+        lead[1:] |= k[order][1:] != k[order][:-1]
+    return np.sort(order[lead])
+
+
 class Seeds:
     """The seeds of a block of benchmark items."""
 
@@ -107,23 +138,45 @@ class Seeds:
                 self.by_mask.append((mask, seed, at, filter_, U64(64 - bits)))
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different (document, item, shift) with a hit; shift: the document's token number less the item's."""
+        """(document, item, shift) with a hit, sorted; shift: the document's token number less the item's. Of the shifts at which a document has the same tokens beside an item, the first."""
         found = [np.empty((3, 0), np.int64)]
         # so many tokens that equal none stand before and after each document
         n, pad = np.diff(first), SUBSTITUTED
         padded = np.zeros(len(hashes) + 2 * pad * len(n), U64)
         padded[np.arange(len(hashes)) + pad + 2 * pad * np.repeat(np.arange(len(n)), n)] = hashes
         first = first + 2 * pad * np.arange(len(first))
+        sums, longest = None, int(np.diff(self.first).max(initial=0))
+
+        def stretch(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """A hash of a document's tokens between two places, which may lie beyond its ends."""
+            nonlocal sums
+            if sums is None:
+                sums = Sums(padded)
+            a, b = np.maximum(begin, first[doc]), np.minimum(end, first[doc + 1])
+            return sums.of(a, b) ^ mix((a - begin).astype(U64) + U64(1)) ^ mix((end - b).astype(U64) << U64(32))
+
         for mask, seed, at, filter_, shift in self.by_mask:
             own = _seeds(padded, mask)
             place = np.flatnonzero(filter_[(own >> shift).astype(np.int64)])
             doc = np.searchsorted(first, place, side="right") - 1
             place, doc = place[inner := place + len(mask) <= first[doc + 1]], doc[inner]
             lo, hi = (np.searchsorted(seed, own[place], side=s) for s in ("left", "right"))
+            many = np.bincount(doc, hi - lo, len(n)) > FOLD * (first[1:] - first[:-1])  # more hits than tokens
+            if many.any():
+                around = stretch(doc, place - longest, place + longest + len(mask))
+                around[~many[doc]] = np.arange((~many[doc]).sum(), dtype=U64)
+                one = _first_of(doc, around)
+                place, doc, lo, hi = place[one], doc[one], lo[one], hi[one]
             place, doc, item_at = np.repeat(place, hi - lo), np.repeat(doc, hi - lo), at[ragged(lo, hi - lo)]
             item = np.searchsorted(self.first, item_at, side="right") - 1
-            found.append(np.stack((doc, item, (place - first[doc] - pad) - (item_at - self.first[item]))))
-        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+            triple = np.stack((doc, item, (place - first[doc] - pad) - (item_at - self.first[item])))
+            found.append(triple[:, _first_of(*triple)] if triple.shape[1] else triple)
+        doc, item, shift = np.concatenate(found, axis=1)
+        order = np.lexsort((shift, item, doc))
+        doc, item, shift = doc[order], item[order], shift[order]
+        begin = first[doc] + pad + shift
+        one = _first_of(doc, item, stretch(doc, begin, begin + np.diff(self.first)[item])) if len(doc) else order
+        return doc[one], item[one], shift[one]
 
     def overlap(self, own: np.ndarray, item: int, shift: int) -> tuple[int, int, int]:
         """First token in the document, tokens and equal tokens of the run with the most equal ones, at least three quarters, of the two laid side by side."""
@@ -162,11 +215,20 @@ def _blocks(benchmark: DataFrame, block_bytes: int, min_tokens: int) -> Iterator
         yield Seeds(table.column("item_id").to_pylist(), [x or b"" for x in table.column("text").to_pylist()], min_tokens)
 
 
+def _with_last(seeds: Iterator[Seeds]) -> Iterator[tuple[Seeds, bool]]:
+    """Each block, one at a time, and whether it is the last."""
+    own = next(seeds, None)
+    while own is not None:
+        following = next(seeds, None)
+        yield own, following is None
+        own = following
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERLAP, min_tokens: int = MIN_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, first word, tokens and equal tokens of the best overlap, for each document and item that have one."""
-    spark, out = docs.sparkSession, None
+    spark, passes = docs.sparkSession, []
     texts = runtime.texts_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    for seeds in _blocks(benchmark, block_bytes, min_tokens):
+    for seeds, last in _with_last(_blocks(benchmark, block_bytes, min_tokens)):
         held = spark.sparkContext.broadcast(seeds)
 
         def hits(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -176,13 +238,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERL
                 yield pa.record_batch([pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([held.value.ids[r[1]] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3, 4))], names=["doc_id", "item_id", "at", "length", "matched"])
 
         found = texts.mapInArrow(hits, HITS)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], HITS) if out is None else out
+        if not last:
+            found = runtime.stored(found, "overlaps")
+            held.destroy()
+        passes.append(found)
+    return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], HITS)
 
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = MIN_OVERLAP, min_tokens: int = MIN_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs that overlap with no item; blocks follow each other in one stage."""
-    for seeds in _blocks(benchmark, block_bytes, min_tokens):
+    """The rows of docs that overlap with no item."""
+    for seeds, last in _with_last(_blocks(benchmark, block_bytes, min_tokens)):
         held = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def clean(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -192,6 +257,9 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = M
                 yield from table.filter(pa.array(keep)).to_batches()
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if not last:
+            docs = runtime.stored(docs, "no-overlaps")
+            held.destroy()
     return docs
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from graphloom.llm.decontaminate import MIN_TOKENS, Seeds, _overlaps, overlaps, without_overlaps
 from tests.llm.common import empty, odd, prose
@@ -77,3 +78,25 @@ def test_one_substitution_near_the_start(spark):
     docs = spark.createDataFrame([(1, " ".join([*item[:2], "other", *item[3:]]))], "doc_id long, text string")
     got = overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.length, r.matched) for r in got] == [(15, 14)]
+
+
+def found(docs, items):
+    seeds = Seeds(list(range(len(items))), [" ".join(x).encode() for x in items], MIN_TOKENS)
+    return {(d, i): (at, n, equal) for d, i, at, n, equal in _overlaps(seeds, [" ".join(x).encode() for x in docs], 13)}
+
+
+def test_repetitive_texts_against_brute_force():
+    rng = random.Random(3)
+    items = [["a"] * 30, ["a", "b"] * 12, [rng.choice("ab") for _ in range(24)], ["a"] * 12 + ["c"] + ["a"] * 12]
+    docs = [["a"] * 90, ["a", "b"] * 50, ["b"] * 40 + ["a"] * 14, ["c", *["a"] * 11] * 6, [rng.choice("ab") for _ in range(80)], ["a"] * 3]
+    want = {(d, i): brute(doc, item) for d, doc in enumerate(docs) for i, item in enumerate(items)}
+    got = found(docs, items)
+    enough = {k: n for k, n in want.items() if n >= 13}
+    assert {k: v[2] for k, v in got.items()} == enough
+
+
+def test_a_million_equal_tokens():
+    began = time.perf_counter()
+    got = found([["a"] * 1_000_000, [*"xyz"] * 100_000], [["a"] * 1000, [*"xyz"] * 300])
+    assert got == {(0, 0): (0, 1000, 1000), (1, 1): (0, 900, 900)}
+    assert time.perf_counter() - began < 60
