@@ -5,14 +5,14 @@ the byte) goes to ``records``; its payload goes to ``payloads`` under its SHA-25
 payloads of at least ``REVISIT_FROM`` bytes, that with the smallest page_id is a response and the others are
 revisits that name it; smaller payloads are always responses, though their bytes too are stored once.
 ``read`` checks every stored payload against its digest and joins it to the headers, of which it parses what it
-returns; ``reconstruct`` puts the original records together.
+returns; ``reconstruct`` puts the original records together, of which a revisit has no payload of its own.
 
 Scale: digests are computed where pages are read. Payloads are shuffled once, by digest and page_id, so copies
 of one payload are spread, and only the stored copy of each leaves that step. The join of headers with digests
 carries no payload; its smaller side is a table of its own, so that Spark can split a digest that very many
 records share. No Python runs.
 
-Cases: a null html is an empty payload. Records with a null page_id are responses, and are nobody's smallest.
+Cases: a null html is an empty payload. Records with a null page_id are responses, named by their digest, and are nobody's smallest.
 Rows that repeat the smallest page_id of their payload are all responses. Line breaks in a url are percent-encoded,
 a null url has no target field. A payload that does not match its digest makes ``read`` fail. Other columns are not read.
 """
@@ -39,7 +39,7 @@ def _header(kind: Column, page_id: Column, url: Column, digest: Column, size: Co
 
     fields = [
         field("WARC-Type", kind),
-        field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))),
+        field("WARC-Record-ID", F.coalesce(F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">")), F.concat(F.lit("<urn:sha256:"), digest, F.lit(">")))),
         field("WARC-Date", F.lit(DATE)),
         field("WARC-Target-URI", target),
         field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
@@ -93,9 +93,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """header, payload of every original record; a revisit gets the payload of the record it names."""
-    payloads = verified_payloads(spark, folder).select("checked", "payload")
-    return spark.read.parquet(f"{folder}/records").join(payloads, F.col("digest") == F.col("checked")).select("header", "payload")
+    """header, payload, resolved of every original record: header and payload are its bytes, so a revisit's payload is empty; resolved is that of the record it names, or its own."""
+    payloads = verified_payloads(spark, folder).select("checked", F.col("payload").alias("resolved"))
+    again = _field(F.col("header").cast("string"), "WARC-Type") == "revisit"
+    rows = spark.read.parquet(f"{folder}/records").join(payloads, F.col("digest") == F.col("checked"))
+    return rows.select("header", F.when(again, F.lit("").cast("binary")).otherwise(F.col("resolved")).alias("payload"), "resolved")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

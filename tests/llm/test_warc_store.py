@@ -31,12 +31,17 @@ def test_payloads_are_stored_once(spark, archive):
 
 
 def test_reconstruct(spark, archive):
+    """Records to the byte: the WARC length is that of the HTTP header and the record's own payload, which a revisit does not have."""
     rows = warc_store.reconstruct(spark, archive).collect()
-    assert sorted(bytes(r.payload).decode() for r in rows) == sorted(h or "" for _, _, h, _ in PAGES)
+    assert sorted(bytes(r.resolved).decode() for r in rows) == sorted(h or "" for _, _, h, _ in PAGES)
+    assert sum("WARC-Type: revisit" in bytes(r.header).decode() for r in rows) > 0
     for r in rows:
         head = bytes(r.header).decode()
-        assert head.startswith("WARC/1.1\r\nWARC-Type: re") and head.endswith("\r\n\r\n") and hashlib.sha256(bytes(r.payload)).hexdigest() in head
-        assert f"Content-Length: {len(r.payload)}\r\n\r\n" in head
+        assert head.startswith("WARC/1.1\r\nWARC-Type: re") and head.endswith("\r\n\r\n") and hashlib.sha256(bytes(r.resolved)).hexdigest() in head
+        fields, http, _ = head.split("\r\n\r\n")
+        assert bytes(r.payload) == (b"" if "WARC-Type: revisit" in fields else bytes(r.resolved))
+        assert f"\r\nContent-Length: {len(http) + 4 + len(r.payload)}" in fields and f"Content-Length: {len(r.resolved)}" in http
+        assert fields.count("\r\nWARC-Record-ID: <urn:") == 1
 
 
 def test_damage_is_found(spark):
