@@ -24,7 +24,7 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers, dates, addresses and tokens become pseudonyms."""
-    return pseudonyms.pseudonymised(docs)
+    return pseudonyms.pseudonymised(docs, pseudonyms.key_of(spark))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

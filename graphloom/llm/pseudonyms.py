@@ -5,9 +5,10 @@ Feistel network over two halves of that range, with keyed BLAKE2b rounds and cyc
 permutes it. So a value becomes another valid value of its format, and equal values (also
 those written with other separators) get equal pseudonyms in every document.
 
-kinds: card (13-19 digits, Luhn), iban (modulo 97), ssn (valid area, group and serial), phone
-(international, or NANP with or without parentheses; bare ddd-ddd-dddd or ddd.ddd.dddd with
-a valid area code), ipv4 (octets up to 255), ipv6 (whole or with ::), date (calendar dates 1900-2099, ISO also
+kinds: card (13-19 digits, Luhn), iban (in capitals, modulo 97), ssn (valid area, group and serial), phone
+(international with +, or NANP with or without parentheses and country code; bare ddd-ddd-dddd or ddd.ddd.dddd with
+a valid area code; a number is its country code and its national number, however they are separated,
+and a NANP number is the same with and without +1), ipv4 (octets up to 255), ipv6 (whole or with ::), date (calendar dates 1900-2099, ISO also
 before a time, day/month/year, or month/day/year where only that is a date), email (characters keep
 their class), token (32-64 hex digits). What looks like one but is not valid stays as it is.
 
@@ -33,7 +34,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from . import runtime
 
-KEY = b"graphloom example key: pass your own"
+#: For the example query only: whoever has the key can undo the pseudonyms.
+EXAMPLE_KEY = b"graphloom example key: pass your own"
 ROUNDS = 10
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
@@ -115,8 +117,12 @@ def _card(value: str, key: bytes) -> str | None:
     digits = _digits(value)
     if luhn(digits) or len(set(digits)) == 1:
         return None
-    body = digits[0] + str(permute(int(digits[1:-1]), 10 ** (len(digits) - 2), key, b"card%d" % len(digits))).zfill(len(digits) - 2)  # the issuing network stays
-    return _refill(value, body + str(-luhn(body + "0") % 10))
+    head, n = digits[0], len(digits) - 2  # the issuing network stays
+    while True:  # one digit over and over is no card
+        body = head + str(permute(int(digits[1:-1]), 10**n, key, b"card%d" % len(digits))).zfill(n)
+        digits = body + str(-luhn(body + "0") % 10)
+        if len(set(digits)) > 1:
+            return _refill(value, digits)
 
 
 def _mod97(code: str) -> int:
@@ -145,13 +151,21 @@ def _ssn(value: str, key: bytes) -> str | None:
             return _refill(value, digits)
 
 
+#: Country codes of one and of two digits; all others have three.
+_ONE, _TWO = ("1", "7"), ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+
+
 def _phone(value: str, key: bytes) -> str | None:
-    country = re.match(r"\+\d{1,3}(?=\D)", value)
-    head = country[0] if country else ""
-    digits = _digits(value[len(head) :])
-    if not 7 <= len(digits) <= 14:
+    digits = _digits(value)
+    n = 1 if digits[0] in _ONE else 2 if digits[:2] in _TWO else 3
+    country, national = digits[:n], digits[n:].removeprefix("0" if "(0)" in value else "")
+    if not 6 <= len(national) <= 14:
         return None
-    return head + _refill(value[len(head) :], str(permute(int(digits), 10 ** len(digits), key, b"phone" + _digits(head).encode())).zfill(len(digits)))
+    if country == "1" and len(national) == 10:
+        new = _nanp_digits(national, key)
+    else:
+        new = str(permute(int(national), 10 ** len(national), key, b"phone" + country.encode())).zfill(len(national))
+    return _refill(value, country + "0" * (len(digits) - n - len(national)) + new)
 
 
 def _ipv4(value: str, key: bytes) -> str | None:
@@ -175,15 +189,18 @@ def _area_ok(digits: str) -> bool:
     return digits[0] > "1" and digits[1:3] != "11"
 
 
-def _nanp(value: str, key: bytes) -> str:
+def _nanp_digits(digits: str, key: bytes) -> str:
     """A valid area code becomes a valid one, another becomes another."""
-    at = 0 if value[0] == "(" else len(value) - 12  # a leading 1 stays
-    digits = _digits(value[at:])
     valid = _area_ok(digits)
     while True:
         digits = str(permute(int(digits), 10**10, key, b"phone")).zfill(10)
         if _area_ok(digits) == valid:
-            return value[:at] + _refill(value[at:], digits)
+            return digits
+
+
+def _nanp(value: str, key: bytes) -> str:
+    at = 0 if value[0] == "(" else len(value) - 12  # a leading 1 stays
+    return value[:at] + _refill(value[at:], _nanp_digits(_digits(value[at:]), key))
 
 
 def _bare(value: str, key: bytes) -> str | None:
@@ -225,12 +242,12 @@ _BY_KIND: dict[str, Callable[[str, bytes], str | None]] = {"card": _card, "iban"
 
 
 @lru_cache(maxsize=1 << 16)
-def pseudonym(kind: str, value: str, key: bytes = KEY) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The value's pseudonym; None for a value that is not valid."""
     return _BY_KIND[kind](value, key)
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, int]:
+def replace(text: str, key: bytes) -> tuple[str, int]:
     """The text with pseudonyms, and how many values it had."""
     n = 0
 
@@ -243,7 +260,7 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, int]:
     return PATTERN.sub(new, text), n
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
     """docs with pseudonyms in text, and in the column named by count how many; columns and rows stay."""
     names = docs.columns
 
@@ -265,6 +282,12 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, count: str | None = None) -
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The key in spark.graphloom.pseudonymKey; only where none is set, that of the example."""
+    named = spark.conf.get("spark.graphloom.pseudonymKey", None)
+    return named.encode() if named else EXAMPLE_KEY
+
+
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms for its values, and their number."""
-    return pseudonymised(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
+    return pseudonymised(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), count="n_values")

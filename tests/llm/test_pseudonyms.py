@@ -6,10 +6,24 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.pseudonyms import _mod97, luhn, permute, pseudonym, pseudonymised, replace
+from graphloom.llm import pseudonyms
+from graphloom.llm.pseudonyms import _mod97, luhn, permute
+from graphloom.llm.pseudonyms import EXAMPLE_KEY as KEY
 from tests.llm.common import empty, odd
 
 
+def replace(text, key=KEY):
+    return pseudonyms.replace(text, key)
+
+
+def pseudonym(kind, value, key=KEY):
+    return pseudonyms.pseudonym(kind, value, key)
+
+
+def pseudonymised(docs, key=KEY, **more):
+    return pseudonyms.pseudonymised(docs, key, **more)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 400), st.binary(min_size=1, max_size=8))
 def test_permutes(size, key):
@@ -85,3 +99,61 @@ def test_phones_are_linked():
 @pytest.mark.parametrize("text", ["at 10:00:00", "std::add", "a::b", "dead::beef", "911-123-4567", "123-456-7890", "1.2.3.4.5", "2001-02-28Tx", "13/31/1999", "::1"])
 def test_other_forms_that_stay(text):
     assert replace(text) == (text, 0)
+
+
+def digits(text):
+    return "".join(c for c in text if c.isdigit())
+
+
+@pytest.mark.parametrize(
+    "forms",
+    [
+        ["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "+1.415.555.2671", "(415) 555-2671", "415-555-2671", "1-415-555-2671", "415.555.2671"],
+        ["+442079460958", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+44-20-7946-0958"],
+        ["+35312345678", "+353 1 234 5678"],
+        ["+79161234567", "+7 916 123-4567", "+7 (916) 123 4567"],
+    ],
+)
+def test_one_pseudonym_for_one_number(forms):
+    """Country and national number, however they are written."""
+    country = {"+1": "1", "+4": "44", "+3": "353", "+7": "7"}[forms[0][:2]]
+    new = set()
+    for form in forms:
+        out, n = replace(f"call {form} now")
+        assert n == 1 and out != f"call {form} now"
+        value = out[5:-4].replace("(0)", "")
+        assert re.sub(r"\d", "9", value) == re.sub(r"\d", "9", form.replace("(0)", ""))
+        new.add(digits(value).removeprefix(country) if form[0] == "+" or form[0] == "1" else digits(value))
+    assert len(new) == 1
+
+
+def test_us_dates_do_not_stay():
+    new, n = replace("born 03/14/2020.")
+    assert n == 1 and new != "born 03/14/2020." and datetime.datetime.strptime(new, "born %m/%d/%Y.")
+
+
+def test_cards_against_brute_force(monkeypatch):
+    """All valid cards of 13 digits in a small range: valid, different, never one digit over and over; walked where the permutation gives that."""
+    bodies = [f"4{i:011d}" for i in range(0, 3000, 7)]
+    cards = [b + str(-luhn(b + "0") % 10) for b in bodies]
+    new = [pseudonym("card", c) for c in cards]
+    assert len(set(new)) == len(cards) and all(luhn(c) == 0 and c[0] == "4" and len(c) == 13 for c in new)
+    same = iter([0, 5])
+    monkeypatch.setattr(pseudonyms, "permute", lambda x, size, key, tweak: next(same))
+    assert pseudonyms._card("0000000000018", b"k") == "0000000000059"
+
+
+def test_dates_and_numbers_are_permutations():
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(n) for n in range(400)]
+    assert len({pseudonym("date", d.isoformat()) for d in days}) == 400
+    assert all(pseudonym("date", d.isoformat()) == datetime.datetime.strptime(pseudonym("date", d.strftime("%d.%m.%Y")), "%d.%m.%Y").date().isoformat() for d in days[:50])
+    assert len({pseudonym("ssn", f"123-45-{n:04d}") for n in range(1, 500)}) == 499
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(TypeError):
+        pseudonyms.pseudonymised(empty(spark))
+    assert pseudonyms.key_of(spark) == KEY
+    spark.conf.set("spark.graphloom.pseudonymKey", "own")
+    assert pseudonyms.key_of(spark) == b"own"
+    spark.conf.unset("spark.graphloom.pseudonymKey")
