@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | Non
     """Trees for labels.quality over the documents' statistics; None without rows of both kinds."""
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = runtime.texts_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    joined = runtime.texts_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")  # one text for a doc_id
     got = joined.mapInArrow(_sample_features, "quality int, x array<double>").toPandas()
     if got.quality.nunique() < 2:
         return None

@@ -55,6 +55,22 @@ def test_monotone():
     assert ((free.score(x) > 0) == (y > 0)).mean() > 0.9
 
 
+def test_scores_against_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 4))
+    trees = quality.fit_trees(x, (x[:, 0] + x[:, 2] > 1).astype(float), falling=(1,), n_trees=7)
+    x[:20] = np.round(x[:20], 1)
+    x[20:24] = [[0.0] * 4, [1.0] * 4, [np.inf] * 4, [-np.inf] * 4]
+    for row, got in zip(x.tolist(), trees.score(x).tolist()):
+        want = trees.start
+        for feature, threshold, value in zip(trees.feature.tolist(), trees.threshold.tolist(), trees.value.tolist()):
+            node = 0
+            for _ in range(trees.depth):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            want += value[node - len(feature)]
+        assert abs(got - want) < 1e-9
+
+
 def test_no_labels_and_empty(spark):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert quality.fit(odd(spark), labels) is None
