@@ -16,6 +16,7 @@ labels of both kinds the base rule alone decides.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -170,15 +171,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray, falling: tuple[int, ...] = (), n_tre
 def _sample_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, texts in chunks(batches):
         x = statistics(texts)[1]
-        yield pa.record_batch([table.column("quality").combine_chunks(), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], names=["quality", "x"])
+        own = [zlib.crc32(t) for t in texts]
+        yield pa.record_batch([table.column("doc_id").combine_chunks().cast(pa.int64()), table.column("quality").combine_chunks(), pa.array(own, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "own", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trees for labels.quality over the documents' statistics; None without rows of both kinds."""
     rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = runtime.texts_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")  # one text for a doc_id
-    got = joined.mapInArrow(_sample_features, "quality int, x array<double>").toPandas()
+    joined = runtime.texts_of(docs, "doc_id").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    features = joined.mapInArrow(_sample_features, "doc_id long, quality int, own long, x array<double>")
+    got = features.groupBy("doc_id", "quality").agg(F.min(F.struct("own", "x")).alias("r")).select("quality", "r.x").toPandas()  # one text for a doc_id
     if got.quality.nunique() < 2:
         return None
     x, y = np.stack(got.x.to_numpy()), (got.quality.to_numpy() > 0).astype(float)
