@@ -8,17 +8,20 @@ shingles is at least ``threshold``.
    band with probability (1 - 0.8^4)^32 < 1e-7. Classes that share a band are tied to the
    band's smallest class (a star, never all pairs), and the stars' connected components
    are the candidate groups: no link leaves a group.
-3. Inside a group the MinHash values of every pair are compared 16 at a time. With m of n
-   values equal and a uniform prior, the similarity's posterior is Beta(m + 1, n - m + 1);
-   a pair whose posterior chance of reaching the threshold is under ``tolerance`` is
-   dropped. What is left is verified with the exact shingle sets.
-4. A group of more than ``BLOCK`` classes is cut in blocks, and each pair of blocks is a
-   task of its own, so that no task holds a whole group. A task returns its classes' numbers
-   of links and a spanning forest of the links, never the pairs; the forests' connected
-   components are the classes of near-duplicates.
+3. A group of more than ``BLOCK`` classes is cut in blocks, and each pair of blocks is a
+   task of its own, so that no task holds a whole group. A task holds the stored MinHash
+   values (512 bytes for a class), not the texts, and compares those of its pairs 16 at a
+   time. With m of n values equal and a uniform prior, the similarity's posterior is
+   Beta(m + 1, n - m + 1); a pair whose posterior chance of reaching the threshold is under
+   ``tolerance`` is dropped. A task returns the classes that have a pair left, not the pairs.
+4. Only the texts of those go to their tasks, where the pairs left are verified with the
+   exact shingle sets. A task returns its classes' numbers of links and a spanning forest of
+   the links, never the pairs; the forests' connected components are the classes of
+   near-duplicates.
 
 Comparing the different texts of one group costs time quadratic in their number (spread
-over the block pairs), rows and memory linear in it times the number of blocks.
+over the block pairs). Its MinHash values are shipped once for each of its blocks, its texts
+once for each block in which they have a pair left.
 
 Cases: a text of one to four words has one shingle, all of it. A text without words (null
 too) is linked to nothing. Rows with a null doc_id get a null class_id and no links. Rows
@@ -36,11 +39,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
+from pyspark.sql.types import BinaryType
 
 from . import runtime
 from .components import connected_components
-from .textops import CHUNK_BYTES, Rolling, U64, Words, chunks, inside, mix, ragged
+from .textops import CHUNK_BYTES, Rolling, U64, Words, chunks, inside, ragged
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -96,21 +99,21 @@ def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, texts in chunks(batches):
         words = Words(texts)
         signature = signatures(*shingles(words), len(texts))
-        band = np.empty((len(texts), BANDS), U64)
-        for b in range(BANDS):
-            h = np.full(len(texts), b + 1, U64)
-            for r in range(ROWS):
-                h = mix(h * U64(0x9E3779B97F4A7C15) + signature[:, b * ROWS + r])
-            band[:, b] = h
-        some = words.count > 0
-        content = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if s else None for t, s in zip(texts, some.tolist())]
-        bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)), pa.array(band[some].reshape(-1).view(np.int64)))
+        some = (words.count > 0).tolist()
+        content = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() if s else None for t, s in zip(texts, some)]
+        values = [v.tobytes() if s else None for v, s in zip(signature, some)]
         kept = [c for c in table.column_names if c != "text"]
-        yield pa.record_batch([*(table.column(c).combine_chunks() for c in kept), pa.array(content, pa.binary()), bands], names=[*kept, "content", "bands"])
+        yield pa.record_batch([*(table.column(c).combine_chunks() for c in kept), pa.array(content, pa.binary()), pa.array(values, pa.binary())], names=[*kept, "content", "signature"])
+
+
+def _bands() -> Column:
+    """The hash of each band of a signature, with the band's number."""
+    width = 4 * ROWS
+    return F.array(*[F.xxhash64(F.lit(b), F.substring("signature", 1 + b * width, width)) for b in range(BANDS)])
 
 
 def _whole_tasks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by task, in tables of whole tasks and about CHUNK_BYTES of text at least."""
+    """Rows sorted by task, in tables of whole tasks and about CHUNK_BYTES at least."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -168,10 +171,38 @@ def _overlaps_dense(doc: np.ndarray, code: np.ndarray, n_docs: int) -> np.ndarra
     return out.astype(np.int64)
 
 
-def linked_pairs(words: Words, a: np.ndarray, b: np.ndarray, threshold: float, least: list[int]) -> np.ndarray:
-    """Which of the pairs of documents a[i], b[i] are linked."""
-    doc, shingle = shingles(words)
-    signature = signatures(doc, shingle, len(words.texts))
+def _split_tasks(table: pa.Table) -> Iterator[pa.Table]:
+    """Large tasks alone, small ones together."""
+    task = table.column("task").to_numpy()
+    starts = np.append(np.flatnonzero(np.diff(task, prepend=task[0] - 1)), len(task))
+    n = np.diff(starts)
+    big = n >= DENSE_FROM
+    lo = 0
+    for i in range(len(n)):
+        if big[i] or starts[i + 1] - starts[lo] > 4096:
+            if starts[i] > starts[lo]:
+                yield table.slice(starts[lo], starts[i] - starts[lo])
+            lo = i
+        if big[i]:
+            yield table.slice(starts[i], n[i])
+            lo = i + 1
+    if lo < len(n):
+        yield table.slice(starts[lo])
+
+
+def _pairs(task: np.ndarray, rep: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs to compare of rows sorted by task: of different blocks where a task has two, of different classes always."""
+    starts = np.flatnonzero(np.diff(task, prepend=task[0] - 1))
+    size = np.diff(np.append(starts, len(task)))
+    after = np.repeat(np.cumsum(size), size) - np.arange(len(task)) - 1
+    a, b = np.repeat(np.arange(len(task)), after), ragged(np.arange(len(task)) + 1, after)
+    across = np.repeat(np.minimum.reduceat(block, starts) < np.maximum.reduceat(block, starts), size)
+    own = ((block[a] != block[b]) | ~across[a]) & (rep[a] != rep[b])
+    return a[own], b[own]
+
+
+def left_pairs(signature: np.ndarray, a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
+    """The numbers of the pairs a[i], b[i] that the comparison of MinHash values leaves."""
     alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
     for i, m in enumerate(least):
         part = slice(i * STEP, (i + 1) * STEP)
@@ -179,6 +210,13 @@ def linked_pairs(words: Words, a: np.ndarray, b: np.ndarray, threshold: float, l
             p = alive[lo : lo + (1 << 16)]
             equal[p] += (signature[a[p], part] == signature[b[p], part]).sum(axis=1)
         alive = alive[equal[alive] >= m]
+    return alive
+
+
+def linked_pairs(words: Words, a: np.ndarray, b: np.ndarray, threshold: float, least: list[int]) -> np.ndarray:
+    """Which of the pairs of documents a[i], b[i] are linked."""
+    doc, shingle = shingles(words)
+    alive = left_pairs(signatures(doc, shingle, len(words.texts)), a, b, least)
     linked = np.zeros(len(a), bool)
     if not len(alive):
         return linked
@@ -212,32 +250,30 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _verified(threshold: float, tolerance: float):
-    least = minimum_matches(threshold, tolerance)
+def _compared(least: list[int]):
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_tasks(batches):
+            for part in _split_tasks(table):
+                task, rep, block = (part.column(c).to_numpy() for c in ("task", "rep", "block"))
+                signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(len(task), -1)
+                a, b = _pairs(task, rep, block)
+                some = np.zeros(len(task), bool)
+                alive = left_pairs(signature, a, b, least)
+                some[a[alive]] = some[b[alive]] = True
+                keep = np.flatnonzero(some)
+                again = (np.diff(task[keep]) == 0) & (np.diff(rep[keep]) == 0)  # a doc_id with two texts
+                keep = np.delete(keep, np.flatnonzero(again) + 1)
+                yield pa.record_batch([pa.array(task[keep]), pa.array(rep[keep]), pa.array(block[keep])], names=["task", "rep", "block"])
+
+    return compared
 
+
+def _verified(threshold: float, least: list[int]):
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_tasks(batches):
             for part in _split_tasks(table):
                 yield links_of(part)
 
-    def _split_tasks(table: pa.Table) -> Iterator[pa.Table]:
-        """Large tasks alone, small ones together up to CHUNK_BYTES of text."""
-        task = table.column("task").to_numpy()
-        starts = np.append(np.flatnonzero(np.diff(task, prepend=task[0] - 1)), len(task))
-        n = np.diff(starts)
-        big = n >= DENSE_FROM
-        lo = 0
-        for i in range(len(n)):
-            if big[i] or starts[i + 1] - starts[lo] > 4096:
-                if starts[i] > starts[lo]:
-                    yield table.slice(starts[lo], starts[i] - starts[lo])
-                lo = i
-            if big[i]:
-                yield table.slice(starts[i], n[i])
-                lo = i + 1
-        if lo < len(n):
-            yield table.slice(starts[lo])
-
     def links_of(table: pa.Table) -> pa.RecordBatch:
         rep, block, copies, task = (table.column(c).to_numpy() for c in ("rep", "block", "copies", "task"))
         texts, seen = table.column("text").to_pylist(), {}
@@ -245,13 +281,7 @@ def _verified(threshold: float, tolerance: float):
         if len(first) < len(texts):  # rows that repeat a document
             rep, block, copies, task, texts = rep[first], block[first], copies[first], task[first], [texts[i] for i in first]
         words = Words([t or b"" for t in texts])
-        starts = np.flatnonzero(np.diff(task, prepend=task[0] - 1))
-        size = np.diff(np.append(starts, len(task)))
-        a = np.repeat(np.arange(len(task)), np.repeat(np.cumsum(size), size) - np.arange(len(task)) - 1)
-        b = ragged(np.arange(len(task)) + 1, np.repeat(np.cumsum(size), size) - np.arange(len(task)) - 1)
-        across = np.repeat([len(set(block[s : s + n].tolist())) > 1 for s, n in zip(starts, size)], size)
-        own = ((block[a] != block[b]) | ~across[a]) & (rep[a] != rep[b])
-        a, b = a[own], b[own]
+        a, b = _pairs(task, rep, block)
         linked = linked_pairs(words, a, b, threshold, least) if len(a) else np.zeros(0, bool)
         a, b = a[linked], b[linked]
         links = np.bincount(a, copies[b], len(task)).astype(np.int64) + np.bincount(b, copies[a], len(task)).astype(np.int64)
@@ -272,21 +302,24 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = T
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     asked_of = runtime.texts_of(docs, doc_id, *more)
     names = asked_of.drop("text").columns
-    sketch = runtime.stored(asked_of.mapInArrow(_sketches, asked_of.drop("text").schema.add("content", BinaryType()).add("bands", ArrayType(LongType()))), "jaccard-sketches")
+    sketch = runtime.stored(asked_of.mapInArrow(_sketches, asked_of.drop("text").schema.add("content", BinaryType()).add("signature", BinaryType())), "jaccard-sketches")
     known = sketch.where("doc_id is not null and content is not null")
-    classes = runtime.stored(known.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "jaccard-classes")
-    band = classes.select("rep", F.explode("bands").alias("band"))
+    classes = runtime.stored(known.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("signature").alias("signature")), "jaccard-classes")
+    band = classes.select("rep", F.explode(_bands()).alias("band"))
     center = band.groupBy("band").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("band", "center")
     ties = band.join(center, "band").where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
     groups = connected_components(ties)
     blocks = groups.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks")).checkpoint()  # a table, so that Spark can split a large group's rows in the join
-    asked = groups.join(blocks, "component").withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
-    texts = runtime.texts_of(docs, doc_id).withColumnRenamed("doc_id", "rep").join(asked, "rep")
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    texts = texts.withColumn("task", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))).select("task", "rep", "block", "copies", "text")
-    work = texts.repartition(runtime.shuffle_partitions(docs.sparkSession), "task").sortWithinPartitions("task", "rep")
-    verified = runtime.stored(work.mapInArrow(_verified(threshold, tolerance), "rep long, root long, links long"), "jaccard-links")
+    members = groups.join(blocks, "component").withColumnRenamed("node", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
+    sketched = members.join(classes.select("rep", "signature"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    sketched = sketched.withColumn("task", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))).select("task", "rep", "block", "signature")
+    least, partitions = minimum_matches(threshold, tolerance), runtime.shuffle_partitions(docs.sparkSession)
+    work = sketched.repartition(partitions, "task").sortWithinPartitions("task", "rep")
+    asked = runtime.stored(work.mapInArrow(_compared(least), "task long, rep long, block int"), "jaccard-candidates")
+    copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
+    texts = runtime.texts_of(docs, doc_id).withColumnRenamed("doc_id", "rep").join(asked.join(copies, "rep"), "rep").select("task", "rep", "block", "copies", "text")
+    work = texts.repartition(partitions, "task").sortWithinPartitions("task", "rep")
+    verified = runtime.stored(work.mapInArrow(_verified(threshold, least), "rep long, root long, links long"), "jaccard-links")
     final = connected_components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     answer = classes.select("content", "rep", "copies").join(final.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
