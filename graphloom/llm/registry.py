@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, ngram_lm, packing, pseudonyms, quality, substring_dedup, toxicity, warc_store
+from . import byte_bpe, chat, decontaminate, jaccard_join, ngram_lm, packing, pseudonyms, quality, substring_dedup, toxicity, warc_store
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc_store.op8_warc,
     "op9_pii_pseudonyms": pseudonyms.op9_pii_pseudonyms,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_byte_bpe": byte_bpe.op12_byte_bpe,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,

@@ -178,3 +178,31 @@ def packed_by(shard: np.ndarray, n: int, *arrays: np.ndarray) -> list[pa.Array]:
     """For arrays sorted by shard: columns with one binary value for each of n shards."""
     offsets = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=n))))
     return [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * a.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))]) for a in arrays]
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """Whether the bytes of each span of a are those of the span of b of the same length."""
+    same = np.ones(len(length), bool)
+    for lo in range(0, len(length), block):
+        s = slice(lo, lo + block)
+        n = length[s]
+        filled = np.flatnonzero(n)
+        if len(filled):
+            equal = a[ragged(a_start[s][filled], n[filled])] == b[ragged(b_start[s][filled], n[filled])]
+            same[lo + filled] = np.logical_and.reduceat(equal, np.concatenate(([0], np.cumsum(n[filled])[:-1])))
+    return same
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, from 0, equal exactly where the bytes are; and a span with each number."""
+    _, first, number = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
+    number = number.reshape(-1)
+    model = first[number]
+    length = end - start
+    other = np.flatnonzero((length != length[model]) | ~same_spans(data, start, data, start[model], np.minimum(length, length[model])))
+    if len(other):  # two contents with one hash
+        seen: dict[bytes, int] = {}
+        for i in other:
+            number[i] = seen.setdefault(data[start[i] : end[i]].tobytes(), len(first) + len(seen))
+        first = np.concatenate((first, np.array([other[np.flatnonzero(number[other] == len(first) + k)[0]] for k in range(len(seen))], first.dtype)))
+    return number, first
