@@ -255,7 +255,7 @@ WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, tran
 p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
-g AS (SELECT lang, len, unnest(list_transform(generate_series(1, len(w) - len + 1), i -> array_to_string(w[i:i + len - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(len) WHERE len(w) >= len),
+g AS (SELECT lang, len, unnest(list_transform(generate_series(1, len(w) - len + 1), lambda i: array_to_string(w[i:i + len - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(len) WHERE len(w) >= len),
 f AS (SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
 c AS (SELECT lang, len, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= {LEAST}),
 k AS (SELECT c.*, unnest(generate_series(1, len - 1)) AS k FROM c),
