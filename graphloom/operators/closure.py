@@ -15,6 +15,7 @@ The per-package row counts decide which way is taken; the result is the same.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -47,6 +48,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: for many rounds, as the optimiser's constraints grow over checkpoints."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole_packages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of some packages each, all rows of them, from rows sorted by package."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and sum(b.num_rows for b in held) > _BATCH:
+            last = held[-1].column("package_id")[-1].as_py()
+            names = batch.column("package_id").to_pylist()
+            n = next((i for i, x in enumerate(names) if x != last), len(names))
+            held.append(batch.slice(0, n))
+            if n == len(names):
+                continue
+            yield pa.Table.from_batches(held)
+            held, batch = [], batch.slice(n)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows with all of a package in one task, in a row."""
+    return rows.repartition("package_id").sortWithinPartitions("package_id")
+
+
 def _walk(batches: Iterable[pa.RecordBatch], min_hops: int, max_hops: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by package: edges and seeds (seed)."""
 
@@ -108,27 +141,12 @@ def _walk(batches: Iterable[pa.RecordBatch], min_hops: int, max_hops: int) -> It
             known[bit] = True
             yield from out(origins[origin, 0], origins[origin, 1], nodes[node, 1])
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held and sum(b.num_rows for b in held) > _BATCH:
-            last = held[-1].column("package_id")[-1].as_py()
-            names = batch.column("package_id").to_pylist()
-            n = next((i for i, x in enumerate(names) if x != last), len(names))
-            held.append(batch.slice(0, n))
-            if n == len(names):
-                continue
-            yield from close(pa.Table.from_batches(held))
-            held, batch = [], batch.slice(n)
-        held.append(batch)
-    if held:
-        yield from close(pa.Table.from_batches(held))
+    for table in whole_packages(batches):
+        yield from close(table)
 
 
 def _small(rows: DataFrame, min_hops: int, max_hops: int) -> DataFrame:
-    dealt = rows.repartition("package_id").sortWithinPartitions("package_id")
-    return dealt.mapInArrow(lambda batches: _walk(batches, min_hops, max_hops), "package_id string, origin long, node long")
+    return dealt(rows).mapInArrow(lambda batches: _walk(batches, min_hops, max_hops), "package_id string, origin long, node long")
 
 
 def _frontiers(step: DataFrame, seeds: DataFrame, min_hops: int, max_hops: int) -> DataFrame:

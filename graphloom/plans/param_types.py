@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from ..operators.closure import checkpointed, reach, reached
+from ..operators.closure import SMALL, checkpointed, reach
 from ..operators.match import exists, hop, label, start, union
+from ..operators.regular import prefixes
 from .flow import CALL, OBJECT
 
 #: Operators that only numbers take.
@@ -22,13 +23,12 @@ def parameter_name(object_name: Column) -> Column:
     return F.when(object_name.contains("argv"), "argv").otherwise(F.get(F.split(F.get(F.split(object_name, r"\."), F.lit(1)), "-"), F.lit(0)))
 
 
-def parameter_trees(graph: PropertyGraph, functions: DataFrame) -> DataFrame:
-    """package_id, fn, param, param_index, prefix, ids: objects that each parameter leads to without entering calls, by the properties read on the way up to the first dependency.
+def parameter_prefixes(graph: PropertyGraph, functions: DataFrame, small: int = SMALL) -> DataFrame:
+    """package_id, fn, param, param_index, prefix, node: an object that a parameter leads to without entering calls, and the properties read on the way up to the first dependency.
 
-    functions: (package_id, fn). Also over an object that a || of the parameter makes. Followed to the end, however long:
-    a round for each property read on the way, not for each edge; a property edge on a cycle adds to a prefix once.
+    functions: (package_id, fn). Also over an object that a || of the parameter makes. On a cycle of property reads an
+    object is opened under its first prefix, others are leaves (see regular.prefixes); a property without a name is *.
     """
-    edges = checkpointed(graph.e("PDG").where(~F.coalesce(F.col("relation_type") == "ARG", F.lit(False))).select("package_id", F.col("src").alias("node"), F.col("dst").alias("next"), "relation_type", "identifier_name", "edge_id"))
     param = hop(graph, functions.select("package_id", "fn"), "fn", "node", "REF", "param", keep={"param_index": "param_index", "is_this": "is_this"})
     param = label(graph, param, "node", OBJECT, keep={"object_name": "identifier_name"}).where("not coalesce(is_this, false)")
     param = param.select("package_id", "fn", parameter_name(F.col("object_name")).alias("param"), "param_index", "node").where("param <> 'this'")
@@ -38,33 +38,18 @@ def parameter_trees(graph: PropertyGraph, functions: DataFrame) -> DataFrame:
     one = hop(graph, param, "node", "other", "PDG", "DEP")
     two = hop(graph, hop(graph, param, "node", "between", "PDG", "ARG"), "between", "other", "PDG", "DEP").drop("between")
     others = exists(union(one, two), made, "other").drop("node").withColumnRenamed("other", "node")
-    key = ["package_id", "fn", "param", "param_index"]
-    state = checkpointed(union(param, others).select(*key, "node", F.array().cast("array<string>").alias("prefix"), F.array().cast("array<bigint>").alias("taken")))
-    pairs = lambda df: df.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst"))
-    from_ = lambda df, c: df.select("package_id", F.col(c).alias("origin"), F.col(c).alias("node")).distinct()
-    near = checkpointed(reached(pairs(edges), state, 0))
-    edges = checkpointed(edges.join(near, ["package_id", "node"], "left_semi"))
-    same, read, onward = (edges.where(c) for c in ("not coalesce(relation_type in ('SO', 'DEP'), false)", "relation_type = 'SO'", "relation_type = 'DEP'"))
-    # a property read on a cycle adds to a prefix once
-    open_ = pairs(edges.where("not (relation_type <=> 'DEP')"))
-    back = reach(open_, from_(read, "next"), 0).select("package_id", F.col("origin").alias("next"), "node")
-    cyclic = read.join(back, ["package_id", "next", "node"], "left_semi").select("package_id", "edge_id", F.lit(True).alias("cyclic")).distinct()
-    read = checkpointed(read.join(cyclic, ["package_id", "edge_id"], "left"))
-    # what is reached without a property or dependency, and after the first dependency over anything
-    spread = checkpointed(reach(pairs(same), from_(state, "node").unionByName(from_(read, "next")), 0)).select("package_id", F.col("origin").alias("node"), F.col("node").alias("spread"))
-    after = checkpointed(reach(pairs(edges), from_(onward, "next"), 0)).select("package_id", F.col("origin").alias("next"), F.col("node").alias("end"))
-    found = []
-    while not state.isEmpty():
-        at = state.join(spread, ["package_id", "node"]).select(*key, "prefix", "taken", F.col("spread").alias("node")).distinct()
-        state = checkpointed(at)
-        beyond = state.join(onward.select("package_id", "node", "next").distinct(), ["package_id", "node"]).join(after, ["package_id", "next"])
-        found.append(checkpointed(state.select(*key, "prefix", "node").unionByName(beyond.select(*key, "prefix", F.col("end").alias("node"))).distinct()))
-        again = F.coalesce("cyclic", F.lit(False))
-        deeper = state.join(read, ["package_id", "node"]).where(~(again & F.array_contains("taken", F.col("edge_id"))))
-        deeper = deeper.select(*key, F.col("next").alias("node"), F.array_append("prefix", F.col("identifier_name")).alias("prefix"), F.when(again, F.array_append("taken", F.col("edge_id"))).otherwise(F.col("taken")).alias("taken"))
-        state = checkpointed(deeper.distinct())
-    known = reduce(DataFrame.unionByName, found) if found else state
-    return known.groupBy("package_id", "fn", "param", "prefix").agg(F.min("param_index").alias("param_index"), F.array_sort(F.collect_set("node")).alias("ids"))
+    origin = F.struct("fn", "param", "param_index")
+    seeds = union(param, others).select("package_id", F.to_json(origin).alias("origin"), "node")
+    kind = F.when(F.col("relation_type") == "SO", "read").when(F.col("relation_type") == "DEP", "end").otherwise("stay")
+    edges = graph.e("PDG").where(~F.coalesce(F.col("relation_type") == "ARG", F.lit(False))).select("package_id", "src", "dst", kind.alias("kind"), F.col("identifier_name").alias("name"))
+    found = prefixes(edges, seeds, small).withColumn("o", F.from_json("origin", "fn long, param string, param_index int"))
+    return found.select("package_id", "o.fn", "o.param", "o.param_index", "prefix", "node")
+
+
+def parameter_trees(graph: PropertyGraph, functions: DataFrame, small: int = SMALL) -> DataFrame:
+    """package_id, fn, param, param_index, prefix, ids: the objects under each prefix (see parameter_prefixes), in order."""
+    found = parameter_prefixes(graph, functions, small)
+    return found.groupBy("package_id", "fn", "param", "prefix").agg(F.min("param_index").alias("param_index"), F.array_sort(F.collect_set("node")).alias("ids"))
 
 
 def names_of(graph: PropertyGraph, trees: DataFrame) -> DataFrame:
