@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from json import dumps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from .flow import flow_of
 
 #: Where an entry file is looked for after package.json, in order.
 ENTRIES = ("index.js", "lib/index.js", "src/index.js", "dist/index.js")
+_NUMBER = re.compile(r"[0-9]+").fullmatch
 _REQUIRE = r"""(?:\brequire\s*\(\s*|\bfrom\s+|\bimport\s+)(['"])(\.{1,2}/[^'"\n]+|\.{1,2})\1"""
 
 
@@ -99,54 +103,79 @@ def dependency_text(files: DataFrame) -> DataFrame:
 POLLUTING, TEXT = '{"_union":["polluted_object2","polluted_object3"]}', '{"_union":["object",["string","string"],"string"]}'
 
 
-def _array(children: Column) -> Column:
-    """Numeric keys as an array: each value at its index, any between; an only any is "array"."""
-    at = lambda c: c["name"].cast("decimal(38,0)")
-    items = F.array_sort(F.transform(F.filter(children, lambda c: c["name"].rlike(r"^\d+$")), lambda c: F.struct(at(c).alias("at"), c["json"].alias("json"))))
-    start = F.struct(F.lit("").alias("text"), F.lit(-1).cast("decimal(38,0)").alias("last"))
-
-    def add(acc: Column, c: Column) -> Column:
-        gap = F.repeat(F.lit('"any",'), (c["at"] - acc["last"] - 1).cast("int"))
-        return F.struct(F.concat(acc["text"], F.when(acc["text"] == "", "").otherwise(","), gap, c["json"]).alias("text"), c["at"].alias("last"))
-
-    text = F.concat(F.lit("["), F.aggregate(items, start, add)["text"], F.lit("]"))
-    return F.when(text == '["any"]', F.lit('"array"')).otherwise(text)
+#: Keys of an array that are further apart are not filled one by one.
+GAP = 64
+
+
+def _union(*parts: str) -> str:
+    return '{"_union":[' + ",".join(parts) + "]}"
+
+
+def _array(children: list[tuple[str, str]]) -> str:
+    """Numeric keys as an array: each value at its index, "any" between; a gap of over GAP is one item {"_any": its length}; an only any is "array"."""
+    items, last = [], -1
+    for at, json in sorted((int(name), json) for name, json in children if _NUMBER(name)):
+        gap = at - last - 1
+        items += [f'{{"_any":{gap}}}'] if gap > GAP else ['"any"'] * gap
+        items.append(json)
+        last = at
+    return '"array"' if items == ['"any"'] else "[" + ",".join(items) + "]"
+
+
+def _folded_node(children: list[tuple[str, str]], role: str | None, for_pollution: bool, methods: frozenset[str]) -> str:
+    """The JSON of a node from its properties (name, JSON), by name."""
+    names = {name for name, _ in children}
+    whole = "{" + ",".join(f"{dumps(name, ensure_ascii=False)}:{json}" for name, json in children) + "}"
+    if not for_pollution:
+        return _union(whole, '"string"', '"array"') if "length" in names else whole
+    loose = bool(names & {"*", "length"})
+    indexed = {n for n in names if _NUMBER(n)}
+    rest = names - indexed - {"*", "length"}
+    if loose and role == "object":
+        return '"object"'
+    if loose and role == "value":
+        return POLLUTING
+    if indexed:
+        return _union(whole, _array(children)) if rest else _array(children)
+    if "length" in names and rest <= methods:
+        return TEXT
+    return '{"_union":["object","array"]}' if loose else whole
+
+
+def _folded(rows: list[tuple[list[str], str]], role: str | None, for_pollution: bool, methods: frozenset[str]) -> str:
+    """The JSON of a parameter from its prefixes and their own types; role holds at the root."""
+    below: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    json = '"any"'
+    for prefix, own in sorted(((tuple(p), j) for p, j in rows), key=lambda r: (-len(r[0]), r)):
+        children = below.pop(prefix, None)
+        json = own if children is None else _folded_node(sorted(children), None if prefix else role, for_pollution, methods)
+        if prefix:
+            below.setdefault(prefix[:-1], []).append((prefix[-1], json))
+    return '"object"' if for_pollution and role == "object" and json == '"any"' else json
 
 
 def folded_parameters(types: DataFrame, string_methods: tuple[str, ...] = (), polluted: DataFrame | None = None) -> DataFrame:
     """package_id, fn, param, param_index, json from inferred types (package_id, fn, param, prefix, param_index, types).
 
-    Trees are folded from their leaves. polluted (package_id, fn, param, role in 'object', 'value'): for prototype
-    pollution, the polluted object and the polluting values; without it a node with length may be a string or array too.
+    Trees are folded from their leaves, a parameter at a time: its JSON is one value of one row anyway. polluted
+    (package_id, fn, param, role in 'object', 'value'): for prototype pollution, the polluted object and the polluting
+    values; without it a node with length may be a string or array too.
     """
-    key = ["package_id", "fn", "param", "prefix"]
-    union = lambda *parts: F.concat(F.lit('{"_union":['), *parts, F.lit("]}"))
-    role = F.lit(None).cast("string")
-    rows = types.select(*key, "param_index", param_types.folded(F.col("types")).alias("json"))
-    if polluted is not None:
-        rows = rows.join(polluted.groupBy("package_id", "fn", "param").agg(F.min("role").alias("role")), ["package_id", "fn", "param"], "left")
-        role = F.when(F.size("prefix") == 0, F.col("role"))
-    rows = checkpointed(rows.withColumn("role", role))
-    for depth in range(rows.agg(F.max(F.size("prefix"))).first()[0] or 0, 0, -1):  # each level is written, as the next reads it twice
-        name = F.element_at("prefix", -1)
-        deep = rows.where(F.size("prefix") == depth)
-        child = deep.groupBy("package_id", "fn", "param", F.slice("prefix", 1, depth - 1).alias("prefix")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "json"))).alias("children"))
-        rows = rows.where(F.size("prefix") < depth).join(child, key, "left")
-        names = F.transform("children", lambda c: c["name"])
-        whole = F.concat(F.lit("{"), F.array_join(F.transform("children", lambda c: F.concat(F.lit('"'), c["name"], F.lit('":'), c["json"])), ","), F.lit("}"))
-        if polluted is None:
-            json = F.when(F.array_contains(names, "length"), union(whole, F.lit(',"string","array"'))).otherwise(whole)
-        else:
-            loose = F.array_contains(names, "*") | F.array_contains(names, "length")
-            indexed = F.exists(names, lambda n: n.rlike(r"^\d+$"))
-            only = F.forall(names, lambda n: n.isin("*", "length") | n.rlike(r"^\d+$"))
-            texts = F.array_contains(names, "length") & F.forall(names, lambda n: n.isin("*", "length", *string_methods))
-            json = F.when(loose & (F.col("role") == "object"), F.lit('"object"')).when(loose & (F.col("role") == "value"), F.lit(POLLUTING))
-            json = json.when(indexed, F.when(only, _array(F.col("children"))).otherwise(union(whole, F.lit(","), _array(F.col("children"))))).when(texts, F.lit(TEXT)).when(loose, F.lit('{"_union":["object","array"]}')).otherwise(whole)
-        rows = checkpointed(rows.withColumn("json", F.when(F.col("children").isNotNull(), json).otherwise(F.col("json"))).drop("children"))
+    key, methods, for_pollution = ["package_id", "fn", "param"], frozenset(string_methods), polluted is not None
+    root = F.when(F.size("prefix") == 0, F.col("param_index"))
+    rows = types.groupBy(*key).agg(F.max(root).alias("param_index"), F.collect_list(F.struct("prefix", param_types.folded(F.col("types")).alias("json"))).alias("nodes"))
     if polluted is not None:
-        rows = rows.withColumn("json", F.when((F.col("json") == '"any"') & (F.col("role") == "object"), '"object"').otherwise(F.col("json")))
-    return rows.where(F.size("prefix") == 0).select("package_id", "fn", "param", "param_index", "json")
+        rows = rows.join(polluted.groupBy(*key).agg(F.min("role").alias("role")), key, "left")
+    else:
+        rows = rows.withColumn("role", F.lit(None).cast("string"))
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, roles = batch.column("nodes").to_pylist(), batch.column("role").to_pylist()
+            texts = [_folded([(n["prefix"], n["json"]) for n in nodes], role, for_pollution, methods) for nodes, role in zip(lists, roles, strict=True)]
+            yield pa.record_batch([*(batch.column(c) for c in (*key, "param_index")), pa.array(texts, pa.string())], names=[*key, "param_index", "json"])
+
+    return rows.mapInArrow(fold, "package_id string, fn long, param string, param_index int, json string")
 
 
 def parameter_json(types: DataFrame, string_methods: tuple[str, ...] = (), polluted: DataFrame | None = None) -> DataFrame:

@@ -350,7 +350,7 @@ UNION SELECT pa.v, pa.name, false, CASE WHEN l.sub = 'number' THEN 'number' WHEN
 UNION SELECT v, name, false, 'number' FROM pa WHERE kind = 'BinaryExpression' AND sub IN ('*', '-', '/', '**', '%', '>', '<', '>=', '<=')
 UNION SELECT v, name, true, 'string' FROM pa WHERE kind = 'TemplateLiteral'
 UNION SELECT pa.v, pa.name, false, 'string' FROM pa JOIN ch c ON c.v = pa.v AND c.id = pa.id AND c.role = 'callee' WHERE pa.kind IN ('CallExpression', 'NewExpression') AND pa.role = 'arg' AND pa.ai = 1 AND c.type = 'Identifier' AND c.name IN (SELECT sink FROM sinks)
-UNION SELECT pa.v, pa.name, false, 'string' FROM pa JOIN ch c ON c.v = pa.v AND c.id = pa.id AND c.role = 'callee' AND c.type = 'MemberExpression' JOIN ch q ON q.v = pa.v AND q.id = c.child AND q.role = 'property' AND q.type = 'Identifier' AND q.name IN (SELECT sink FROM sinks) WHERE pa.kind IN ('CallExpression', 'NewExpression') AND pa.role = 'arg' AND pa.ai = 1
+UNION SELECT pa.v, pa.name, false, 'string' FROM pa JOIN ch c ON c.v = pa.v AND c.id = pa.id AND c.role = 'callee' AND c.type = 'MemberExpression' JOIN ch q ON q.v = pa.v AND q.id = c.child AND q.role = 'property' AND q.type = 'Identifier' AND q.name IN (SELECT sink FROM sinks) WHERE pa.kind = 'CallExpression' AND pa.role = 'arg' AND pa.ai = 1
 UNION SELECT v, name, false, 'string' FROM pa WHERE kind = 'MemberExpression' AND sub = 'computed' AND role = 'property')"""
 
 
@@ -390,13 +390,40 @@ def rule_parameter_types_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.folded_parameters(_inferred(corpus(spark, sf_dir), samples.config(spark))).select("package_id", "fn", "param", "json")
 
 
-@rule("""SELECT v, fn, param, json FROM (VALUES (4, 10, 'o', '{"_union":["object","array"]}'), (5, 10, 'o', '{"_union":["object","array"]}'), (8, 10, 'o', '{"a":{"_union":["object",["string","string"],"string"]},"b":"function"}'), (8, 10, 'k', '["any","any","any","any","any","any","any","any","any","any","any"]')) t(v, fn, param, json)""")
+#: Which parameters of a function the pollution of a package goes through, by name.
+ROLES = [("o", "object"), ("z", "value"), ("a", "value")]
+_LEAF = """leaf AS (SELECT v, fn, param, prefix, string_split(prefix, '/')[2:] AS way, CASE WHEN contains(types, ',') THEN '{"_union":["' || replace(types, ',', '","') || '"]}' ELSE '"' || types || '"' END AS json FROM inferred)"""
+
+
+def _fold_sql(below: str, level: int) -> str:
+    """The nodes of a level from those below it: each by the rules for its properties."""
+    kids = f"kids{level} AS (SELECT v, fn, param, way[:{level}] AS way, list(struct_pack(name := way[{level + 1}], json := json) ORDER BY way[{level + 1}]) AS c FROM {below} WHERE len(way) = {level + 1} GROUP BY 1, 2, 3, 4)"
+    names = "list_transform(k.c, lambda x: x.name)"
+    digits = f"list_filter({names}, lambda x: regexp_full_match(x, '[0-9]+'))"
+    rest = f"list_filter({names}, lambda x: NOT regexp_full_match(x, '[0-9]+|[*]|length'))"
+    gap = f"""CASE WHEN gap > {packages.GAP} THEN '{{"_any":' || gap || '}},' ELSE repeat('"any",', gap::BIGINT) END"""
+    item = f"""(SELECT string_agg({gap} || json, ',' ORDER BY nth) FROM (SELECT nth, json, nth - coalesce(lag(nth) OVER (ORDER BY nth), -1) - 1 AS gap FROM (SELECT try_cast(x.name AS HUGEINT) AS nth, x.json AS json FROM (SELECT unnest(k.c) AS x) WHERE regexp_full_match(x.name, '[0-9]+'))))"""
+    array = f"""CASE WHEN '[' || {item} || ']' = '["any"]' THEN '"array"' ELSE '[' || {item} || ']' END"""
+    whole = """'{' || array_to_string(list_transform(k.c, lambda x: '"' || x.name || '":' || x.json), ',') || '}'"""
+    loose = f"(list_contains({names}, '*') OR list_contains({names}, 'length'))"
+    json = f"""CASE WHEN k.c IS NULL THEN l.json WHEN {loose} AND {level} = 0 AND r.role = 'object' THEN '"object"' WHEN {loose} AND {level} = 0 AND r.role = 'value' THEN '{packages.POLLUTING}'
+  WHEN len({digits}) > 0 AND len({rest}) > 0 THEN '{{"_union":[' || {whole} || ',' || {array} || ']}}' WHEN len({digits}) > 0 THEN {array} WHEN list_contains({names}, 'length') AND len(list_filter({rest}, lambda x: x <> 'charAt')) = 0 THEN '{packages.TEXT}'
+  WHEN {loose} THEN '{{"_union":["object","array"]}}' ELSE {whole} END"""
+    return f"{kids}, fold{level} AS (SELECT l.v, l.fn, l.param, l.way, {json} AS json FROM leaf l LEFT JOIN kids{level} k ON k.v = l.v AND k.fn = l.fn AND k.param = l.param AND k.way = l.way LEFT JOIN roles r ON r.param = l.param WHERE len(l.way) = {level})"
+
+
+@rule(
+    f"""WITH RECURSIVE {_TREE}, {_NAMES}, {_USES}, {_INFERRED}, {_LEAF}, roles(param, role) AS (VALUES {", ".join(f"('{p}', '{r}')" for p, r in ROLES)}),
+{_fold_sql("leaf", 1)}, both_ AS (SELECT v, fn, param, way, json FROM fold1 UNION ALL SELECT v, fn, param, way, json FROM leaf WHERE len(way) = 0), {_fold_sql("both_", 0)}
+SELECT f.v, f.fn, f.param, CASE WHEN f.json = '"any"' AND r.role = 'object' THEN '"object"' ELSE f.json END AS json FROM fold0 f LEFT JOIN roles r ON r.param = f.param"""
+)
 def rule_simplified_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As JSON for prototype pollution: sparse numeric keys are an array, padded; length alone may be an object, strings or a string."""
+    """As JSON for prototype pollution: numeric keys are an array, gaps filled or counted; length alone may be an object, strings or a string; polluted objects and values."""
     g = corpus(spark, sf_dir)
-    polluted = spark.createDataFrame([], "package_id string, fn long, param string, role string")
-    found = packages.folded_parameters(_inferred(g, samples.config(spark)), ("charAt",), polluted)
-    return found.where("param in ('o', 'k')").select("package_id", "fn", "param", "json")
+    found = _inferred(g, samples.config(spark))
+    roles = spark.createDataFrame(ROLES, "param string, role string")
+    polluted = found.select("package_id", "fn", "param").distinct().join(F.broadcast(roles), "param")
+    return packages.folded_parameters(found, ("charAt",), polluted).select("package_id", "fn", "param", "json")
 
 
 @rule("SELECT DISTINCT a.v, val.id AS value, p.name AS param_name FROM obj h JOIN pdg s0 ON s0.v = h.v AND s0.s = h.id AND s0.name = '*' JOIN obj sl ON sl.v = h.v AND sl.id = s0.d JOIN pdg_r w ON w.v = h.v AND w.a = sl.id JOIN obj ao ON ao.v = h.v AND ao.id = w.b JOIN pdg a ON a.v = h.v AND a.s = ao.id AND a.r = 'ARG' JOIN cal c ON c.v = h.v AND c.id = a.d JOIN cgr g ON g.v = h.v AND g.s = c.id JOIN ref ON ref.v = h.v AND ref.s = g.d AND ref.r = 'param' JOIN obj p ON p.v = h.v AND p.id = ref.d JOIN pdg_r u ON u.v = h.v AND u.a = p.id JOIN obj val ON val.v = h.v AND val.id = u.b WHERE contains(h.name, 'arguments-')")

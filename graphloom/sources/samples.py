@@ -118,8 +118,8 @@ def _types() -> tuple[list, list]:
     """function f(x, n, o, z, s, a, k, t): uses of each kind, properties and sparse numeric keys; arguments and results."""
     n = [(20 + i, OBJ, f"12.{p}-o{i}") for i, p in enumerate("xnozsakt")] + [(28, OBJ, "12.this-o8")]
     e = [(10, 20 + i, "REF", "param", None, {"pi": i}) for i in range(8)] + [(10, 28, "REF", "param", None, {"this": True}), (99, 20, "PDG", "TAINT")]
-    n += [(30, OBJ, "12.o.a-o9"), (31, OBJ, "12.o.a.length-o10"), (32, OBJ, "12.k.0-o11"), (33, OBJ, "12.k.2-o12"), (34, OBJ, "12.k.10-o13"), (35, OBJ, "12.o.b-o14"), (36, OBJ, "12.m-o15"), (37, OBJ, "12.m.c-o16"), (38, "ExpressionStatement"), (39, "AssignmentExpression"), (40, "LogicalExpression"), (41, FN, "alias", {"ctx": 12}), (99, "TAINT_SOURCE", "TAINT_SOURCE")]
-    e += [(22, 30, "PDG", "SO", "a"), (30, 31, "PDG", "SO", "length"), (26, 32, "PDG", "SO", "0"), (26, 33, "PDG", "SO", "2"), (26, 34, "PDG", "SO", "10"), (22, 35, "PDG", "SO", "b"), (23, 36, "PDG", "DEP", "z"), (36, 37, "PDG", "SO", "c"), (38, 36, "REF", "obj"), (38, 39, "AST", "expression"), (39, 40, "AST", "right"), (41, 20, "REF", "obj")]
+    n += [(30, OBJ, "12.o.a-o9"), (31, OBJ, "12.o.a.length-o10"), (32, OBJ, "12.k.0-o11"), (33, OBJ, "12.k.2-o12"), (34, OBJ, "12.k.10-o13"), (44, OBJ, "12.k.400000000-o30"), (45, OBJ, "12.k.3000000000-o31"), (46, OBJ, "12.a.0-o32"), (47, OBJ, "12.a.q-o33"), (35, OBJ, "12.o.b-o14"), (36, OBJ, "12.m-o15"), (37, OBJ, "12.m.c-o16"), (38, "ExpressionStatement"), (39, "AssignmentExpression"), (40, "LogicalExpression"), (41, FN, "alias", {"ctx": 12}), (99, "TAINT_SOURCE", "TAINT_SOURCE")]
+    e += [(22, 30, "PDG", "SO", "a"), (30, 31, "PDG", "SO", "length"), (26, 32, "PDG", "SO", "0"), (26, 33, "PDG", "SO", "2"), (26, 34, "PDG", "SO", "10"), (26, 44, "PDG", "SO", "400000000"), (26, 45, "PDG", "SO", "3000000000"), (25, 46, "PDG", "SO", "0"), (25, 47, "PDG", "SO", "q"), (22, 35, "PDG", "SO", "b"), (23, 36, "PDG", "DEP", "z"), (36, 37, "PDG", "SO", "c"), (38, 36, "REF", "obj"), (38, 39, "AST", "expression"), (39, 40, "AST", "right"), (41, 20, "REF", "obj")]
 
     def use(i: int, kind: str, operator: str | None, name: str, role: str, position: int | None = None) -> None:
         n.extend([(i, kind, None, {"sub": operator} if operator else {}), (i + 1, "Identifier", name)])
@@ -161,6 +161,9 @@ def _types() -> tuple[list, list]:
     use(320, "CallExpression", None, "c", "arg", 1)  # p.exec(c)
     child(320, 323, "callee", "MemberExpression")
     child(323, 324, "property", "Identifier", "exec")
+    use(326, "NewExpression", None, "o", "arg", 1)  # new p.exec(o) says nothing
+    child(326, 328, "callee", "MemberExpression")
+    child(328, 329, "property", "Identifier", "exec")
     use(330, "MemberExpression", "computed", "n", "property")
     # arguments[0] -> u(arguments[0]); w = u(x)
     n += [(340, OBJ, "12.arguments-o20"), (341, OBJ, "12.arguments.*-o21"), (342, CALL, "12.CALL->u-o22"), (343, OBJ, "12.w-o23"), (360, OBJ, "352.b-o24"), (361, OBJ, "352.b-o25")]

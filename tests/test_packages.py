@@ -83,3 +83,28 @@ def test_arrivals(spark, tmp_path):
     q.awaitTermination(120)
     assert rows(spark.read.parquet(out), "package_id", "sink_lineno") == [("x", 2)]
     assert graph_files.read_parquet is not None
+
+
+T = "package_id string, fn long, param string, prefix array<string>, param_index int, types array<string>"
+
+
+def test_numeric_keys_of_any_size(spark):
+    """One package's keys cost what they hold, whatever they are; others are not harmed."""
+    keys = ["0", "2", "70", "3000000", "400000000", "3000000000", "9" * 40]
+    data = [("p", 1, "o", [], 0, [])] + [("p", 1, "o", [k], 0, ["number"]) for k in keys] + [("q", 1, "o", [], 0, []), ("q", 1, "o", ["0"], 0, [])]
+    none = spark.createDataFrame([], "package_id string, fn long, param string, role string")
+    got = {r.package_id: json.loads(r.json) for r in packages.folded_parameters(spark.createDataFrame(data, T), (), none).collect()}
+    gap = lambda a, b: {"_any": b - a - 1}
+    assert got["q"] == "array"
+    assert got["p"] == ["number", "any", "number", gap(2, 70), "number", gap(70, 3_000_000), "number", gap(3_000_000, 400_000_000), "number", gap(400_000_000, 3_000_000_000), "number", gap(3_000_000_000, int(keys[-1])), "number"]
+
+
+def test_folding_odd_names_roles_and_depth(spark):
+    data = [("p", 1, "o", [], 0, []), ("p", 1, "o", ['a"b'], 0, ["string"]), ("p", 1, "o", ["é\\"], 0, []), ("p", 1, "d", [], 1, []), *(("p", 1, "d", ["n"] * k, 1, ["number"]) for k in range(1, 200))]
+    data += [("p", 1, "v", [], 2, []), ("p", 1, "v", ["length"], 2, []), ("p", 1, "w", [], None, []), ("p", 1, "w", ["1"], None, ["bool"]), ("p", 1, "w", ["x"], None, []), ("p", 1, "x", [], 4, []), ("p", 1, "x", ["length"], 4, []), ("p", 1, "x", ["charAt"], 4, ["function"])]
+    polluted = spark.createDataFrame([("p", 1, "v", "value"), ("p", 1, "o", "object")], "package_id string, fn long, param string, role string")
+    got = {r.param: (r.param_index, r.json) for r in packages.folded_parameters(spark.createDataFrame(data, T), ("charAt",), polluted).collect()}
+    assert json.loads(got["o"][1]) == {'a"b': "string", "é\\": "any"}
+    assert got["d"][1].count('"n"') == 199 and got["d"][0] == 1
+    assert got["v"][1] == packages.POLLUTING and got["x"][1] == packages.TEXT
+    assert got["w"] == (None, '{"_union":[{"1":"bool","x":"any"},["any","bool"]]}')
