@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import PropertyGraph
 from ..operators.closure import reach, reached
 from ..operators.match import exists, hop, label, optional, single, start, union
+from ..operators.witness import shortest_paths
 from .flow import OBJECT, Flow, declared_params, flow_of, parameter_edges
 
 DETECTIONS = ("package_id", "filename", "vuln_type", "sink", "sink_lineno", "sink_function")
@@ -54,6 +55,20 @@ def injections(graph: PropertyGraph, sinks: DataFrame, lines: DataFrame | None =
     return located(_sink_places(graph, found).join(vulnerability_types(sinks), "sink_name", "left"), lines)
 
 
+def injection_witnesses(graph: PropertyGraph, sinks: DataFrame, lines: DataFrame | None = None, flow: Flow | None = None) -> DataFrame:
+    """Detections of injections (bottom_up), each sink with a shortest path of edge_ids from a parameter that an attacker controls, in the column path."""
+    flow = flow or flow_of(graph)
+    params = exists(declared_params(graph), flow.confirmed, "node").select("package_id", F.lit(0).cast("long").alias("origin"), "node").distinct()
+    edges = graph.e("PDG").select("package_id", "edge_id", "src", "dst").join(flow.edges, ["package_id", "src", "dst"], "left_semi")
+    goals = start(graph, "node", "TAINT_SINK").withColumn("origin", F.lit(0).cast("long"))
+    ways = shortest_paths(edges, params, goals).select("package_id", F.col("node").alias("sink"), "path")
+    places = _sink_places(graph, ways.select("package_id", "sink")).join(vulnerability_types(sinks), "sink_name", "left").join(ways, ["package_id", "sink"])
+    rows = places.select("package_id", "statement", "vuln_type", "location", "sink", "path")
+    found = located(rows, lines)
+    key = ["package_id", "sink_function"]
+    return found.join(rows.select("package_id", F.col("statement").alias("sink_function"), F.col("sink").alias("sink_node"), "path").distinct(), key)
+
+
 # prototype pollution ---------------------------------------------------------------------------
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from ..operators.closure import checkpointed, reach
+from ..operators.closure import SMALL, checkpointed, reach, written
+from ..operators.components import strong_components
+from ..operators.witness import shortest_paths
 from . import detect, param_types, protocol
 from .flow import flow_of
 
@@ -93,6 +95,34 @@ def dependency_closure(files: DataFrame, roots: DataFrame) -> DataFrame:
     return ids.join(reach(edges, seeds, min_hops=0).select("package_id", "node"), ["package_id", "node"]).select("package_id", "path")
 
 
+def dependency_levels(files: DataFrame, small: int = SMALL) -> DataFrame:
+    """package_id, path, component, level: scripts that need each other in a circle are one component, named by its first path; what a file needs comes before it in the order of levels."""
+    scripts = files.where(F.col("path").endswith(".js")).select("package_id", "path").distinct()
+    node = lambda c: F.xxhash64(c)
+    edges = file_dependencies(files).select("package_id", node("path").alias("src"), node("dependency").alias("dst"))
+    ids = scripts.select("package_id", "path", node("path").alias("node"))
+    found = strong_components(edges, ids, small).join(ids, ["package_id", "node"])
+    first = found.groupBy("package_id", "component").agg(F.min("path").alias("first"))
+    return found.join(first, ["package_id", "component"]).select("package_id", "path", F.col("first").alias("component"), "level")
+
+
+def dependency_paths(files: DataFrame, roots: DataFrame, small: int = SMALL) -> DataFrame:
+    """package_id, path, way: for each file that the roots (package_id, path) need, the files on a shortest way from a root to it, without the root; of equally long ways the first by the names on it."""
+    needs = file_dependencies(files)
+    names = needs.select("package_id", F.col("path").alias("name")).unionByName(needs.select("package_id", F.col("dependency").alias("name"))).unionByName(roots.select("package_id", F.col("path").alias("name"))).distinct()
+    ids = written(names.withColumn("node", F.row_number().over(Window.partitionBy("package_id").orderBy("name")).cast("long")))
+    of = lambda df, c, to: df.join(ids.select("package_id", F.col("name").alias(c), F.col("node").alias(to)), ["package_id", c])
+    # an edge has the number of the file that it leads to, so that ways are compared by the names on them
+    edges = of(of(needs, "path", "src"), "dependency", "dst").select("package_id", F.col("dst").alias("edge_id"), "src", "dst")
+    seeds = written(of(roots, "path", "node").select("package_id", F.lit(0).cast("long").alias("origin"), "node").distinct())
+    found = shortest_paths(edges, seeds, ids.withColumn("origin", F.lit(0).cast("long")), small)
+    steps = found.select("package_id", F.col("node").alias("goal"), F.posexplode("path").alias("at", "node"))
+    steps = steps.join(ids, ["package_id", "node"]).groupBy("package_id", "goal").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("steps"))
+    rows = found.join(steps.withColumnRenamed("goal", "node"), ["package_id", "node"], "left").join(ids, ["package_id", "node"])
+    way = F.coalesce(F.transform("steps", lambda s: s["name"]), F.array().cast("array<string>"))
+    return rows.select("package_id", F.col("name").alias("path"), way.alias("way"))
+
+
 def dependency_text(files: DataFrame) -> DataFrame:
     """package_id, line: each file and what it needs."""
     rows = file_dependencies(files).groupBy("package_id", "path").agg(F.array_sort(F.collect_set("dependency")).alias("needs"))

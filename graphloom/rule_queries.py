@@ -104,12 +104,17 @@ first_way AS (SELECT v, target, fn, arg_min(suffix, (len(seen), suffix)) AS suff
 way AS (SELECT DISTINCT f.v, f.target, b.path || f.suffix AS path FROM first_way f JOIN begins b ON b.v = f.v AND b.fn = f.fn)"""
 
 
+def rule_sql(body: str) -> str:
+    """A statement over the tables above that gives v and a query's other columns, for each supplier."""
+    return f"{_COMMON}, result AS ({body}) SELECT s_suppkey::VARCHAR AS package_id, result.* EXCLUDE (v) FROM result JOIN supplier ON s_suppkey % {len(samples.PROGRAMS)} = v"
+
+
 def rule(body: str, one: Callable[[SparkSession, str], DataFrame] | None = None):
     """Registers a query with its SQL, a statement over the tables above that gives v and the query's other columns."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        SQL[f.__name__] = f"{_COMMON}, result AS ({body}) SELECT s_suppkey::VARCHAR AS package_id, result.* EXCLUDE (v) FROM result JOIN supplier ON s_suppkey % {len(samples.PROGRAMS)} = v"
+        SQL[f.__name__] = rule_sql(body)
         return f
 
     return add

@@ -182,7 +182,20 @@ def _cycle() -> tuple[list, list]:
     return _program([(10, "f", 1, 80), (50, "g", 4, 80)], n, e)
 
 
-PROGRAMS = [_direct(), _through(True), _through(False), _caller(), _pollution(), _passed(), _returned(), _class(), _types(), _cycle()]
+def _branches() -> tuple[list, list]:
+    """function f() { let x, y; while (..) { if (..) x = 1; else y = 2; } let z }."""
+    n, e = [], []
+    for i, name in ((14, "x"), (16, "y"), (32, "z")):
+        n.append((i, FN, name, {"ctx": 12}))
+    for i, name in ((22, "x"), (26, "y")):
+        n += [(i, "ExpressionStatement", None, {"ctx": 12}), (i + 1, "AssignmentExpression"), (i + 2, "Identifier", name)]
+        e += [(i, i + 1, "AST", "expression"), (i + 1, i + 2, "AST", "left")]
+    n += [(18, "WhileStatement", None, {"ctx": 12}), (20, "IfStatement", None, {"ctx": 12}), (30, "CFG_IF_END")]
+    e += [(a, b, "CFG") for a, b in ((12, 14), (14, 16), (16, 18), (18, 20), (20, 22), (22, 30), (20, 26), (26, 30), (30, 18), (18, 32))]
+    return _program([(10, "f", 1)], n, e)
+
+
+PROGRAMS = [_direct(), _through(True), _through(False), _caller(), _pollution(), _passed(), _returned(), _class(), _types(), _cycle(), _branches()]
 
 #: Classes of sinks: class, sink, place in the list.
 SINKS = [("code-injection", "eval", 0), ("command-injection", "exec", 1000), ("path-traversal", "readFile", 2000), ("path-traversal", "exec", 2001)]
