@@ -22,6 +22,7 @@ import datetime
 import ipaddress
 import math
 import re
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -283,11 +284,21 @@ def pseudonymised(docs: DataFrame, key: bytes, count: str | None = None) -> Data
 
 
 def key_of(spark: SparkSession) -> bytes:
-    """The key in spark.graphloom.pseudonymKey; only where none is set, that of the example."""
+    """The key in spark.graphloom.pseudonymKey; without one an error, as a public key hides nothing."""
     named = spark.conf.get("spark.graphloom.pseudonymKey", None)
-    return named.encode() if named else EXAMPLE_KEY
+    if not named:
+        raise ValueError("set spark.graphloom.pseudonymKey to a secret key")
+    return named.encode()
+
+
+def key_or_example(spark: SparkSession) -> bytes:
+    """As key_of, for the query and the pipeline over made-up tables: without a key that of the example is taken, with a warning."""
+    if spark.conf.get("spark.graphloom.pseudonymKey", None):
+        return key_of(spark)
+    warnings.warn("spark.graphloom.pseudonymKey is not set: the pseudonyms use a public key and can be undone by anyone", stacklevel=2)
+    return EXAMPLE_KEY
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms for its values, and their number."""
-    return pseudonymised(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), count="n_values")
+    return pseudonymised(runtime.table(spark, sf_dir, "documents").select("doc_id", "text"), key_or_example(spark), count="n_values")

@@ -157,3 +157,15 @@ def test_a_key_is_needed(spark):
     spark.conf.set("spark.graphloom.pseudonymKey", "own")
     assert pseudonyms.key_of(spark) == b"own"
     spark.conf.unset("spark.graphloom.pseudonymKey")
+
+
+def test_no_key_is_an_error_but_for_the_example(spark):
+    with pytest.raises(ValueError, match="secret key"):
+        pseudonyms.key_of(spark)
+    with pytest.warns(UserWarning, match="public key"):
+        assert pseudonyms.key_or_example(spark) == pseudonyms.EXAMPLE_KEY
+    spark.conf.set("spark.graphloom.pseudonymKey", "mine")
+    try:
+        assert pseudonyms.key_of(spark) == pseudonyms.key_or_example(spark) == b"mine"
+    finally:
+        spark.conf.unset("spark.graphloom.pseudonymKey")
