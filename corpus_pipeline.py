@@ -23,8 +23,8 @@ def benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Numbers, dates, addresses and tokens become pseudonyms."""
-    return pseudonyms.pseudonymised(docs, pseudonyms.key_of(spark))
+    """Numbers, dates, addresses and tokens become pseudonyms, by the key in spark.graphloom.pseudonymKey (without one a warning, and the example's key)."""
+    return pseudonyms.pseudonymised(docs, pseudonyms.key_or_example(spark))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
