@@ -153,10 +153,6 @@ def test_dates_and_numbers_are_permutations():
 def test_a_key_is_needed(spark):
     with pytest.raises(TypeError):
         pseudonyms.pseudonymised(empty(spark))
-    assert pseudonyms.key_of(spark) == KEY
-    spark.conf.set("spark.graphloom.pseudonymKey", "own")
-    assert pseudonyms.key_of(spark) == b"own"
-    spark.conf.unset("spark.graphloom.pseudonymKey")
 
 
 def test_no_key_is_an_error_but_for_the_example(spark):
