@@ -11,7 +11,7 @@ from .model import PropertyGraph
 from .operators.dataflow import reaching_definitions
 from .operators.match import ends, label
 from .operators.regular import many, matches, maybe, seq, step
-from .plans import dataflow, detect, packages
+from .plans import aliases, dataflow, detect, packages
 from .queries import key_of
 from .rule_queries import _NEEDS, page_files, rule_sql
 from .sources import samples
@@ -156,3 +156,29 @@ SELECT DISTINCT w.v, w.fn, k.s AS statement FROM w JOIN e k ON k.v = w.v AND k.d
 def rule_regular_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and the sinks to which a parameter leads, by the pattern param, any dependencies but arguments, sink."""
     return dataflow.sinks_of_parameters(corpus(spark, sf_dir))
+
+
+_STATEMENTS = """names AS (SELECT v, name, min(id) AS x FROM n WHERE type IN ('Identifier', 'VariableDeclarator') AND name IS NOT NULL GROUP BY 1, 2),
+val AS (SELECT n.v, n.id, CASE n.type WHEN 'Identifier' THEN names.x ELSE n.id END AS x FROM n LEFT JOIN names ON names.v = n.v AND names.name = n.name WHERE n.type IN ('Identifier', 'MemberExpression', 'ObjectExpression')),
+mem AS (SELECT DISTINCT m.v, m.id, val.x AS owner, CASE WHEN p.type = 'Literal' THEN regexp_replace(p.raw, '^[''"]|[''"]$', '', 'g') WHEN m.sub = 'computed' THEN '*' ELSE coalesce(p.name, '*') END AS prop FROM n m JOIN ast o ON o.v = m.v AND o.s = m.id AND o.r = 'object' JOIN val ON val.v = m.v AND val.id = o.d AND val.x IS NOT NULL LEFT JOIN ast a ON a.v = m.v AND a.s = m.id AND a.r = 'property' LEFT JOIN n p ON p.v = m.v AND p.id = a.d WHERE m.type = 'MemberExpression'),
+asg AS (SELECT l.v, l.d AS lft, val.x AS src FROM n JOIN ast l ON l.v = n.v AND l.s = n.id AND l.r = 'left' JOIN ast r ON r.v = n.v AND r.s = n.id AND r.r = 'right' JOIN val ON val.v = n.v AND val.id = r.d WHERE n.type = 'AssignmentExpression' AND val.x IS NOT NULL),
+cp AS (SELECT i.v, names.x AS t, val.x AS s FROM n d JOIN ast i ON i.v = d.v AND i.s = d.id AND i.r = 'init' JOIN val ON val.v = d.v AND val.id = i.d JOIN names ON names.v = d.v AND names.name = d.name WHERE d.type = 'VariableDeclarator' AND val.x IS NOT NULL
+  UNION SELECT asg.v, names.x, asg.src FROM asg JOIN n l ON l.v = asg.v AND l.id = asg.lft AND l.type = 'Identifier' JOIN names ON names.v = l.v AND names.name = l.name),
+wt AS (SELECT asg.v, mem.owner AS t, mem.prop, asg.src AS s FROM asg JOIN mem ON mem.v = asg.v AND mem.id = asg.lft), cell0 AS (SELECT v, id AS o, '' AS prop, id AS x FROM n WHERE false)"""
+
+
+def _round(i: int) -> str:
+    """What variables may be by the cells of the round before, then the cells by what variables may be."""
+    return f"""pt{i} AS (SELECT v, id AS x, id AS o FROM n WHERE type = 'ObjectExpression' UNION SELECT * FROM ld{i} UNION SELECT cp.v, cp.t, w.o FROM pt{i} w JOIN cp ON cp.v = w.v AND cp.s = w.x),
+cell{i} AS (SELECT DISTINCT wt.v, b.o, wt.prop, w.o AS x FROM wt JOIN pt{i} b ON b.v = wt.v AND b.x = wt.t JOIN pt{i} w ON w.v = wt.v AND w.x = wt.s),
+ld{i + 1} AS (SELECT DISTINCT mem.v, mem.id AS x, c.x AS o FROM mem JOIN pt{i} b ON b.v = mem.v AND b.x = mem.owner JOIN cell{i} c ON c.v = mem.v AND c.o = b.o AND (mem.prop = c.prop OR '*' IN (mem.prop, c.prop)))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_STATEMENTS}, ld1 AS (SELECT v, o AS x, x AS o FROM cell0), {", ".join(map(_round, range(1, 8)))}
+SELECT DISTINCT p.v, names.name, NULL::BIGINT AS holder, NULL::VARCHAR AS property, p.o AS object FROM pt7 p JOIN names ON names.v = p.v AND names.x = p.x UNION SELECT v, NULL, o, prop, x FROM cell7""",
+    over_programs=True,
+)
+def rule_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What variables and properties may be, through aliases and nested properties."""
+    return aliases.may_be(corpus(spark, sf_dir))

@@ -195,7 +195,43 @@ def _branches() -> tuple[list, list]:
     return _program([(10, "f", 1)], n, e)
 
 
-PROGRAMS = [_direct(), _through(True), _through(False), _caller(), _pollution(), _passed(), _returned(), _class(), _types(), _cycle(), _branches()]
+def _objects() -> tuple[list, list]:
+    """const a = {}, b = {}; a.p = b; const c = a; c.p.q = {}; const d = b.q; const e = a[k]; e['r'] = d; const g = b.r; let h; h = g; g.s = a; const i = h.s.p."""
+    n, e = [], []
+
+    def node(kind: str, name: str | None = None, more: dict | None = None, **children: int) -> int:
+        i = 400 + len(n)
+        n.append((i, kind, name, more or {}))
+        e.extend((i, child, "AST", role) for role, child in children.items())
+        return i
+
+    word = lambda name: node("Identifier", name)
+    member = lambda owner, name: node("MemberExpression", object=owner, property=word(name))
+    declare = lambda name, value: node(FN, name, init=value)
+    assign = lambda left, right: node("AssignmentExpression", left=left, right=right)
+    declare("a", node("ObjectExpression"))
+    declare("b", node("ObjectExpression"))
+    assign(member(word("a"), "p"), word("b"))
+    declare("c", word("a"))
+    assign(member(member(word("c"), "p"), "q"), node("ObjectExpression"))
+    declare("d", member(word("b"), "q"))
+    declare("e", node("MemberExpression", None, {"sub": "computed"}, object=word("a"), property=word("k")))
+    assign(node("MemberExpression", None, {"sub": "computed"}, object=word("e"), property=node("Literal", None, {"raw": "'r'"})), word("d"))
+    declare("g", member(word("b"), "r"))
+    node(FN, "h")
+    assign(word("h"), word("g"))
+    assign(member(word("g"), "s"), word("a"))
+    declare("i", member(member(word("h"), "s"), "p"))
+    return _program([], n, e)
+
+
+def _beside(one: tuple[list, list], other: tuple[list, list]) -> tuple[list, list]:
+    """Two programs in one package; the ids of the other are 1000 more."""
+    more = lambda m: {**m, "ctx": m["ctx"] + 1000} if "ctx" in m else m
+    return one[0] + [(i + 1000, t, name, more(m)) for i, t, name, m in other[0]], one[1] + [(x + 1000, y + 1000, *rest) for x, y, *rest in other[1]]
+
+
+PROGRAMS = [_direct(), _through(True), _through(False), _caller(), _beside(_pollution(), _objects()), _passed(), _returned(), _beside(_class(), _branches()), _types(), _cycle()]
 
 #: Classes of sinks: class, sink, place in the list.
 SINKS = [("code-injection", "eval", 0), ("command-injection", "exec", 1000), ("path-traversal", "readFile", 2000), ("path-traversal", "exec", 2001)]
