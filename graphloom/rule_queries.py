@@ -15,6 +15,7 @@ from .model import PropertyGraph
 from .operators.match import start
 from .plans import detect, flow, packages, param_types, protocol
 from .sources import samples
+from .sources.graph_files import source_lines
 from .sources.samples import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,7 +192,10 @@ def rule_injection_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(detect.injections(corpus(spark, sf_dir), samples.config(spark)["sinks"], query="intra"))
 
 
-@rule("WITH ok AS (SELECT v, node FROM declared JOIN confirmed USING (v, node)) " + _INJECTIONS.format("flow_t", "ok"))
+_INJECTION = "WITH ok AS (SELECT v, node FROM declared JOIN confirmed USING (v, node)) " + _INJECTIONS.format("flow_t", "ok")
+
+
+@rule(_INJECTION)
 def rule_injection_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(detect.injections(corpus(spark, sf_dir), samples.config(spark)["sinks"]))
 
@@ -220,16 +224,33 @@ def rule_pollution_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(detect.pollutions(corpus(spark, sf_dir), query="intra")).distinct()
 
 
-@rule(
+_POLLUTION = (
     """WITH held AS (SELECT d.v, w.b AS node FROM declared d JOIN confirmed USING (v, node) JOIN flow_r w ON w.v = d.v AND w.a = d.node),
 q AS (SELECT p.* FROM pat p WHERE (p.property1 IN (SELECT node FROM exported x WHERE x.v = p.v) AND p.property2 IN (SELECT node FROM exported x WHERE x.v = p.v) AND p.value IN (SELECT node FROM exported x WHERE x.v = p.v)) OR (p.property1 IN (SELECT node FROM held x WHERE x.v = p.v) AND p.property2 IN (SELECT node FROM held x WHERE x.v = p.v) AND p.value IN (SELECT node FROM held x WHERE x.v = p.v)))
 SELECT DISTINCT q.v, 'prototype-pollution' AS vuln_type, y.line AS sink_lineno, stm.statement AS sink_function FROM q """
     + _STATEMENT
 )
+
+
+@rule(_POLLUTION)
 def rule_pollution_bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _located(detect.pollutions(corpus(spark, sf_dir))).distinct()
 
 
+def main_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """package_id, path, content: a file of six lines for each package."""
+    text = "\n".join(f"  statement {i}" + "\r" * (i % 2) for i in range(1, 7))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey is not null").select(F.col("s_suppkey").cast("string").alias("package_id"), F.lit("main.js").alias("path"), F.lit(text).alias("content"))
+
+
+@rule(f"""WITH inj AS ({_INJECTION}), pol AS ({_POLLUTION}) SELECT DISTINCT v, CASE WHEN sink_lineno IS NOT NULL THEN 'main.js' END AS filename, vuln_type, CASE WHEN sink_lineno <= 6 THEN 'statement ' || sink_lineno ELSE '' END AS sink, sink_lineno, sink_function
+FROM (SELECT v, vuln_type, sink_lineno, sink_function FROM inj UNION SELECT v, vuln_type, sink_lineno, sink_function FROM pol)""")
+def rule_analyse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of a corpus as a whole: every detection with its file and the line of source that it stands in, where the file has it."""
+    g = corpus(spark, sf_dir)
+    return packages.analyse(g, samples.config(spark), source_lines(main_sources(spark, sf_dir)))
+
+
 # how a function is reached ---------------------------------------------------------------------
 
 
