@@ -221,11 +221,13 @@ def taint_summaries(graph: PropertyGraph, found: DataFrame, config: dict[str, Da
     owner = protocol.parent_functions(graph).withColumnRenamed("statement", "sink_function")
     hits = checkpointed(found.join(owner, ["package_id", "sink_function"]))
     servers = None if sources is None else protocol.server_ports(sources)
-    traversal = hits.where("vuln_type = 'path-traversal'")
     targets = lambda df: df.select("package_id", F.col("func").alias("target")).distinct()
-    calls = protocol.call_paths(graph, targets(hits.where("not (vuln_type <=> 'path-traversal')"))).withColumn("traversal", F.lit(False))
-    calls = calls.unionByName(protocol.call_paths(graph, targets(traversal), servers=servers).withColumn("traversal", F.lit(True)))
-    ways = checkpointed(protocol.summaries(calls.drop("traversal")).withColumnRenamed("target", "func").distinct())
+    if servers is None:
+        calls = protocol.call_paths(graph, targets(hits))
+    else:  # only files' contents are reached by a request
+        traversal = F.coalesce(F.col("vuln_type") == "path-traversal", F.lit(False))
+        calls = protocol.call_paths(graph, targets(hits.where(~traversal))).unionByName(protocol.call_paths(graph, targets(hits.where(traversal)), servers=servers))
+    ways = checkpointed(protocol.summaries(calls).withColumnRenamed("target", "func").distinct())
     functions = ways.select("package_id", F.explode("path").alias("c")).select("package_id", F.col("c.fn_id").alias("fn")).where("fn is not null").distinct()
     trees = checkpointed(param_types.parameter_trees(graph, functions))
     types = param_types.inferred(graph, trees, config["sinks"], config["signatures"], config["prototypes"])
@@ -241,8 +243,8 @@ def taint_summaries(graph: PropertyGraph, found: DataFrame, config: dict[str, Da
     inner = F.aggregate(F.reverse(F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0)))), F.lit(""), lambda acc, s: F.concat(F.lit(',"returns":{'), text(s), acc, F.lit("}")))
     way = way.withColumn("protocol", F.concat(text(F.col("steps")[0]), inner)).withColumn("port", F.col("steps")[0]["port"])
     rows = hits.join(way, ["package_id", "func"])
-    q = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
-    head = F.concat(F.lit('{"type":'), q("type"), F.lit(',"filename":'), q("filename"), F.lit(',"vuln_type":'), q("vuln_type"), F.lit(',"sink":'), q("sink"), F.lit(',"sink_lineno":'), F.col("sink_lineno").cast("string"), F.lit(","), F.col("protocol"))
+    q = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)), F.lit("null"))
+    head = F.concat(F.lit('{"type":'), q("type"), F.lit(',"filename":'), q("filename"), F.lit(',"vuln_type":'), q("vuln_type"), F.lit(',"sink":'), q("sink"), F.lit(',"sink_lineno":'), F.coalesce(F.col("sink_lineno").cast("string"), F.lit("null")), F.lit(","), F.col("protocol"))
     client = F.when(F.col("port").isNotNull(), F.concat(F.lit(',"client":{"type":"GET","port":'), F.col("port").cast("string"), F.lit("}"))).otherwise("")
     return rows.select(*detect.DETECTIONS, "type", "source", F.concat(head, client, F.lit("}")).alias("summary")).distinct()
 

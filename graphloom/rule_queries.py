@@ -404,13 +404,16 @@ def rule_inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inferred(corpus(spark, sf_dir), samples.config(spark)).select("package_id", "fn", "param", _prefix(), F.array_join("types", ",").alias("types"))
 
 
-@rule(
+_PARAMETER_JSON = (
     f"""WITH RECURSIVE {_TREE}, {_NAMES}, {_USES}, {_INFERRED}, leaf AS (SELECT v, fn, param, prefix, CASE WHEN contains(types, ',') THEN '{{"_union":["' || replace(types, ',', '","') || '"]}}' ELSE '"' || types || '"' END AS json FROM inferred),
 deep AS (SELECT v, fn, param, prefix[2:] AS key, json FROM leaf WHERE len(string_split(prefix, '/')) = 2),
 deep2 AS (SELECT v, fn, param, split_part(prefix, '/', 2) AS key, '{{' || string_agg('"' || split_part(prefix, '/', 3) || '":' || json, ',' ORDER BY split_part(prefix, '/', 3)) || '}}' AS whole, bool_or(split_part(prefix, '/', 3) = 'length') AS long FROM leaf WHERE len(string_split(prefix, '/')) = 3 GROUP BY 1, 2, 3, 4),
 inner_ AS (SELECT l.v, l.fn, l.param, d.key, CASE WHEN e2.long THEN '{{"_union":[' || e2.whole || ',"string","array"]}}' ELSE coalesce(e2.whole, d.json) END AS json FROM leaf l LEFT JOIN deep d ON d.v = l.v AND d.fn = l.fn AND d.param = l.param LEFT JOIN deep2 e2 ON e2.v = l.v AND e2.fn = l.fn AND e2.param = l.param AND e2.key = d.key WHERE l.prefix = '')
 SELECT i.v, i.fn, i.param, CASE WHEN count(key) = 0 THEN any_value(l.json) ELSE '{{' || string_agg('"' || key || '":' || i.json, ',' ORDER BY key) || '}}' END AS json FROM inner_ i JOIN leaf l ON l.v = i.v AND l.fn = i.fn AND l.param = i.param AND l.prefix = '' GROUP BY 1, 2, 3"""
 )
+
+
+@rule(_PARAMETER_JSON)
 def rule_parameter_types_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each parameter's type as JSON, folded from its properties."""
     return packages.folded_parameters(_inferred(corpus(spark, sf_dir), samples.config(spark))).select("package_id", "fn", "param", "json")
@@ -465,6 +468,28 @@ def rule_value_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("package_id", "value", F.array_join(F.array_sort(F.transform("args", lambda x: x.cast("string"))), ",").alias("args"))
 
 
+@rule(
+    f"""WITH RECURSIVE inj AS ({_INJECTION}), pol AS ({_POLLUTION}), pj AS ({_PARAMETER_JSON}), found AS (SELECT v, vuln_type, sink_lineno, sink_function FROM inj UNION SELECT v, vuln_type, sink_lineno, sink_function FROM pol),
+walk2 AS (SELECT DISTINCT d.v, p.func AS target, p.func AS fn, '' AS suffix, [p.func] AS seen FROM found d JOIN parent p ON p.v = d.v AND p.statement = d.sink_function UNION ALL SELECT w.v, w.target, u.nxt, u.step || w.suffix, list_append(w.seen, u.nxt) FROM walk2 w JOIN ups u ON u.v = w.v AND u.fn = w.fn WHERE NOT list_contains(w.seen, u.nxt) AND NOT EXISTS (SELECT 1 FROM begins b WHERE b.v = w.v AND b.fn = w.fn)),
+way2 AS (SELECT DISTINCT f.v, f.target, b.path || f.suffix AS path FROM (SELECT v, target, fn, arg_min(suffix, (len(seen), suffix)) AS suffix FROM walk2 GROUP BY 1, 2, 3) f JOIN begins b ON b.v = f.v AND b.fn = f.fn),
+pos AS (SELECT f.v, f.id AS fn, split_part(split_part(o.name, '.', 2), '-', 1) AS param, min(ref.pi) AS pi FROM fn f JOIN ref ON ref.v = f.v AND ref.s = f.id AND ref.r = 'param' JOIN obj o ON o.v = f.v AND o.id = ref.d GROUP BY 1, 2, 3),
+args AS (SELECT v, fn, '[' || string_agg('"' || param || '"', ',' ORDER BY pi) || ']' AS params, '{{' || string_agg('"' || param || '":' || json, ',' ORDER BY pi) || '}}' AS types FROM pj JOIN pos USING (v, fn, param) GROUP BY 1, 2),
+kept AS (SELECT DISTINCT v, target, CASE WHEN len(s) = 2 AND s[1] LIKE 'TopLevel:%' THEN s[2:] ELSE s END AS s FROM (SELECT v, target, string_split(path, '>') AS s FROM way2)),
+step AS (SELECT v, target, s, i, split_part(s[i], ':', 1) AS f, nullif(split_part(s[i], ':', 2), '') AS prop, split_part(s[i], ':', 3) AS name, split_part(s[i], ':', 4)::BIGINT AS fn FROM (SELECT *, unnest(generate_series(1, len(s))) AS i FROM kept)),
+said AS (SELECT *, CASE WHEN i = 1 THEN CASE f WHEN 'Call' THEN 'module.exports' WHEN 'Method' THEN 'module.exports.' || prop WHEN 'New' THEN 'new module.exports' || coalesce('.' || prop, '') WHEN 'TopLevel' THEN name END ELSE CASE f WHEN 'Call' THEN '' WHEN 'Method' THEN '.' || prop WHEN 'New' THEN 'new' ELSE 'unknown' END END AS source FROM step),
+one AS (SELECT said.*, '"source":"' || source || '","tainted_params":' || coalesce(params, '[]') || ',"params_types":' || coalesce(types, '{{}}') AS text FROM said LEFT JOIN args USING (v, fn)),
+whole AS (SELECT v, target, s, max(CASE WHEN i = 1 THEN f END) AS f, max(CASE WHEN i = 1 THEN source END) AS source, string_agg(text, ',"returns":{{' ORDER BY i) || repeat('}}', count(*) - 1) AS text, count(*) AS n FROM one GROUP BY 1, 2, 3),
+kinds AS (SELECT *, CASE WHEN n = 1 THEN CASE f WHEN 'Call' THEN 'VFunExported' WHEN 'Method' THEN 'VFunPropOfExportedObj' WHEN 'New' THEN 'VNewCall' WHEN 'TopLevel' THEN 'VTopLevel' END WHEN f = 'New' THEN 'VNewCall' WHEN f IN ('Call', 'Method') THEN 'VFunRetByExport' ELSE 'unknown' END AS type FROM whole)
+SELECT DISTINCT k.v, d.sink_function, k.type, k.source, '{{"type":"' || k.type || '","filename":' || CASE WHEN d.sink_lineno IS NULL THEN 'null' ELSE '"main.js"' END || ',"vuln_type":' || coalesce('"' || d.vuln_type || '"', 'null') || ',"sink":"' || CASE WHEN d.sink_lineno <= 6 THEN 'statement ' || d.sink_lineno ELSE '' END || '","sink_lineno":' || coalesce(d.sink_lineno::VARCHAR, 'null') || ',' || k.text || '}}' AS summary
+FROM found d JOIN parent p ON p.v = d.v AND p.statement = d.sink_function JOIN kinds k ON k.v = d.v AND k.target = p.func"""
+)
+def rule_taint_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection with the way to reach it: the calls from outside, one within the other, their parameters and the types of these."""
+    g = corpus(spark, sf_dir)
+    found = packages.analyse(g, samples.config(spark), source_lines(main_sources(spark, sf_dir)), with_types=True)
+    return found.select("package_id", "sink_function", "type", "source", "summary")
+
+
 # the corpus as a whole ---------------------------------------------------------------------------
 
 
