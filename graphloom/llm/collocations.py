@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import runtime
-from .textops import LARGE_CHUNK, U64, chunks, hash_spans, lower_ascii, mix
+from .textops import U64, chunks, hash_spans, lower_ascii, mix
 
 LEAST, SHARE, TOP = 10, 50, 2000
 FIRST, FURTHER = 2, 8  # candidates looked at in the first round, times TOP, and how many times more in each next one
@@ -139,7 +139,7 @@ def _word_counts(docs: DataFrame, seed: int) -> DataFrame:
     """lang, h1, word, n; clash: another word has h1 too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in chunks(batches, limit=LARGE_CHUNK):
+        for table, texts in chunks(batches):
             c = _Chunk(table, texts, seed)
             first, n = c.grouped(np.arange(len(c.start)))
             raw = c.data.tobytes()
@@ -155,7 +155,7 @@ def _phrase_counts(docs: DataFrame, seed: int, often: Broadcast, frontier: Broad
     words = 2 if frontier is None else 3
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in chunks(batches, limit=LARGE_CHUNK):
+        for table, texts in chunks(batches):
             c = _Chunk(table, texts, seed)
             every = np.arange(len(c.start))
             known = often.value.has(c.bits(every))
