@@ -1,18 +1,20 @@
-"""Queries of witness paths, components, regular paths and dataflow, over the tables and the corpus of programs, with their SQL."""
+"""Queries of witness paths, components, regular paths, dataflow and dominators, over the tables and the corpus of programs, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import text
 from .model import PropertyGraph
 from .operators.dataflow import reaching_definitions
+from .operators.dominators import dominators, versions
 from .operators.match import ends, label
 from .operators.regular import many, matches, maybe, seq, step
 from .plans import aliases, dataflow, detect, packages
-from .queries import key_of
+from .queries import key_of, table
 from .rule_queries import _NEEDS, page_files, rule_sql
 from .sources import samples
 from .sources.samples import corpus
@@ -109,6 +111,52 @@ def turn_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*_place("node", "turn")).distinct()
 
 
+# states of users ------------------------------------------------------------------------------------
+
+_STATES = """ev AS (SELECT user_id AS u, ts, event_id, event_type, min(event_id) OVER (PARTITION BY user_id, event_type, json_extract(props, '$.k')::BIGINT // 10) AS s FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL),
+nx AS (SELECT u, s, lead(s) OVER (PARTITION BY u ORDER BY ts, event_id) AS d, row_number() OVER (PARTITION BY u ORDER BY ts, event_id) AS i FROM ev), ed AS (SELECT DISTINCT u, s, d FROM nx WHERE d IS NOT NULL), node AS (SELECT DISTINCT u, s FROM nx),
+r AS (SELECT a.u, n.s AS x, a.s AS v FROM nx a JOIN node n ON n.u = a.u AND n.s <> a.s WHERE a.i = 1 UNION SELECT r.u, r.x, ed.d FROM r JOIN ed ON ed.u = r.u AND ed.s = r.v WHERE ed.d <> r.x),
+dom AS (SELECT a.u, a.s AS x, b.s AS v FROM node a JOIN node b ON b.u = a.u AND b.s <> a.s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.u = a.u AND r.x = a.s AND r.v = b.s)),
+depth AS (SELECT n.u, n.s AS x, count(dom.x) AS n FROM node n LEFT JOIN dom ON dom.u = n.u AND dom.v = n.s GROUP BY 1, 2)"""
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A user's events of one type and band of k are a state, named by the first event_id. Edges from each event's state to the next one's; each user's first state; the type of each state."""
+    events = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null and ts is not null")
+    band = F.floor(text.json_int(F.col("props"), "$.k") / 10)
+    events = events.select(F.col("user_id").cast("string").alias("package_id"), "ts", "event_id", "event_type", F.to_json(F.struct("event_type", band.alias("band"))).alias("kind"), F.to_date("ts").alias("day"))
+    named = events.groupBy("package_id", "kind").agg(F.min("event_id").alias("node"), F.first("event_type").alias("variable"))
+    events = events.join(named.select("package_id", "kind", "node"), ["package_id", "kind"])
+    # the next event of a day in a window for each day, so that no user's events are all in one task; then that of the next day
+    follows = events.withColumn("next", F.lead("node").over(Window.partitionBy("package_id", "day").orderBy("ts", "event_id")))
+    days = events.groupBy("package_id", "day").agg(F.min_by("node", F.struct("ts", "event_id")).alias("first"))
+    days = days.withColumns({"later": F.lead("first").over(Window.partitionBy("package_id").orderBy("day")), "number": F.row_number().over(Window.partitionBy("package_id").orderBy("day"))})
+    over_night = follows.where("next is null").join(days, ["package_id", "day"]).select("package_id", F.col("node").alias("src"), F.col("later").alias("dst"))
+    edges = follows.select("package_id", F.col("node").alias("src"), F.col("next").alias("dst")).unionByName(over_night).where("dst is not null")
+    return edges.distinct(), days.where("number = 1").select("package_id", F.col("first").alias("node")), named.select("package_id", "node", "variable")
+
+
+@query(f"WITH RECURSIVE {_STATES} SELECT n.u AS user_id, n.s AS state, arg_max(dom.x, depth.n) AS idom FROM node n LEFT JOIN dom ON dom.u = n.u AND dom.v = n.s LEFT JOIN depth ON depth.u = dom.u AND depth.x = dom.x GROUP BY 1, 2")
+def event_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which state a user must have been in last, whatever way they came to a state."""
+    edges, roots, _ = _states(spark, sf_dir)
+    return dominators(edges, roots).select(F.col("package_id").cast("long").alias("user_id"), F.col("node").alias("state"), "idom")
+
+
+@query(
+    f"""WITH RECURSIVE {_STATES}, df AS (SELECT DISTINCT e.u, a.x, e.d AS w FROM ed e JOIN (SELECT u, x, v FROM dom UNION ALL SELECT u, s, s FROM node) a ON a.u = e.u AND a.v = e.s WHERE NOT EXISTS (SELECT 1 FROM dom y WHERE y.u = e.u AND y.x = a.x AND y.v = e.d)),
+def AS (SELECT DISTINCT u, s, event_type AS variable FROM ev WHERE event_type IS NOT NULL),
+phi AS (SELECT df.u, df.w AS s, variable FROM def JOIN df ON df.u = def.u AND df.x = def.s UNION SELECT df.u, df.w, variable FROM phi JOIN df ON df.u = phi.u AND df.x = phi.s),
+made AS (SELECT *, false AS is_join FROM def UNION ALL SELECT *, true FROM phi),
+cand AS (SELECT dom.u, dom.v, variable, made.s AS version, is_join, 2 * depth.n + (NOT is_join)::INT AS p FROM dom JOIN made ON made.u = dom.u AND made.s = dom.x JOIN depth ON depth.u = dom.u AND depth.x = dom.x UNION ALL SELECT phi.u, phi.s, variable, phi.s, true, 2 * n FROM phi JOIN depth ON depth.u = phi.u AND depth.x = phi.s)
+SELECT u AS user_id, v AS state, variable, arg_max(version, p) AS version, arg_max(is_join, p) AS is_join FROM cand GROUP BY 1, 2, 3"""
+)
+def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each state says something anew for its type: the one version of each type that a state sees, and whether ways meet there."""
+    found = versions(*_states(spark, sf_dir))
+    return found.select(F.col("package_id").cast("long").alias("user_id"), F.col("node").alias("state"), "variable", "version", "is_join")
+
+
 # programs -------------------------------------------------------------------------------------------
 
 
