@@ -8,9 +8,12 @@ the index shard of its minimiser and carries 32 bits for each of its windows;
 minimiser and window bits together identify a window by 96 bits. The shard
 answers each window with a place (document and word) in the smallest document that holds it.
 
-A document is then parsed greedily, from left to right, into factors: a factor starts at the
+A document is then parsed from left to right into factors: a factor starts at the
 first window not yet parsed that has a place in a smaller document, and is extended as long as
-the next windows are found at the next words of that document. A factor is never shorter than
+the next windows have their places at the next words of that document. As each window has one place, a
+factor ends where a still smaller document holds the next window, even if its own document goes on: it
+is not always the longest match, and ``n_factors`` can be above that of a parse that knows all places; the
+words removed are the same. A factor is never shorter than
 ``window`` words. Where one ends, the windows that straddle its boundary are looked at in turn,
 and those that any smaller document holds start factors of their own, which may overlap the last
 one. Words under a factor are duplicates.
@@ -21,7 +24,9 @@ grows with the input. Equal blocks of a chunk of text are sent once
 (with the smallest document) and the other holders are answered on the spot, so
 a passage that a third of all documents hold reaches its shard once a chunk. A minimiser that would
 fill a good part of a shard by itself, in ever different surroundings, is dealt over more shards by
-its windows' bits, one entry for each window.
+its windows' bits, one entry for each window. Such minimisers are found in a sample of all blocks, drawn by
+the hash of their words and document, so it makes no difference how they are spread over chunks; the sample decides
+only where entries go, not what is found.
 
 Cases: null texts have no words. Rows with a null doc_id lose nothing and are
 no reference. Rows that repeat a doc_id are equals (neither is smaller). Order
@@ -46,7 +51,7 @@ WINDOW = 13
 ANCHOR = 5
 SHARD_BYTES = 24 << 20  # of text
 HOT = 1 << 15  # blocks of a minimiser, from which on it is dealt over shards
-HOT_HERE = 16  # of a chunk, from which on they are counted
+COUNTED = 128  # blocks of a minimiser with HOT of them that are in the sample: its count is right to about a tenth
 INDEX = "shard int, anchor binary, windows binary, window binary, holders binary, doc binary, tag binary, at binary, known_doc binary, known_tag binary, known_at binary, known_windows binary, known_ref binary, known_ref_at binary"
 RUNS = "doc_id long, tag int, at int, n_windows int, ref long, ref_at int"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long"
@@ -88,18 +93,20 @@ def blocks_of(words: Words, window: int = WINDOW, anchor: int = ANCHOR) -> tuple
     return edge, end - edge, grams[at[edge]], values.spans(edge, end + window - 1), values.windows(window)
 
 
-def _loads(window: int, anchor: int):
-    """Bytes of text (with a null key), and the blocks of each minimiser that many blocks of a chunk have."""
+def _loads(window: int, anchor: int, every: int):
+    """Bytes of text (with a null key), and how many of the chunks' different blocks have each minimiser, of one in every."""
 
     def loads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
-        for _, texts in chunks(batches, limit=LARGE_CHUNK):
+        for table, texts in chunks(batches, limit=LARGE_CHUNK):
             size += sum(map(len, texts))
-            first, _, key, content, _ = blocks_of(Words(texts), window, anchor)
-            key = key[np.unique(content, return_index=True)[1]]  # equal blocks are sent once
-            keys, n = np.unique(key, return_counts=True)
-            many = n >= HOT_HERE
-            yield pa.record_batch([pa.array(keys[many].view(np.int64)), pa.array(n[many])], names=["key", "n"])
+            words = Words(texts)
+            first, _, key, content, _ = blocks_of(words, window, anchor)
+            at = np.unique(content, return_index=True)[1]  # equal blocks are sent once
+            ids = table.column("doc_id").to_numpy()[np.searchsorted(words.first, first[at], side="right") - 1]
+            drawn = at[mix(content[at] ^ mix(ids.astype(np.int64).view(U64))) % U64(every) == 0]
+            keys, n = np.unique(key[drawn], return_counts=True)
+            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n * every)], names=["key", "n"])
         yield pa.record_batch([pa.array([None], pa.int64()), pa.array([size])], names=["key", "n"])
 
     return loads
@@ -214,7 +221,7 @@ def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Runs of consecutive windows of a document that stand in a row in a smaller one: doc_id, tag, at (word), n_windows, ref, ref_at."""
     texts = runtime.texts_of(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"))
-    loads = texts.mapInArrow(_loads(window, anchor), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") > HOT)).collect()
+    loads = texts.mapInArrow(_loads(window, anchor, max(1, HOT // COUNTED)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("key").isNull() | (F.col("n") > HOT)).collect()
     shards = max(1, *(-(-r["n"] // SHARD_BYTES) for r in loads if r["key"] is None), runtime.shuffle_partitions(docs.sparkSession))
     hot = {r["key"]: -(-r["n"] // HOT) for r in loads if r["key"] is not None}
     entries = texts.mapInArrow(_index_entries(shards, hot, window, anchor), INDEX)

@@ -83,3 +83,29 @@ def test_factors_follow_one_document(spark):
     a, b = " ".join("a%d" % i for i in range(20)), " ".join("b%d" % i for i in range(20))
     got = {r.doc_id: r for r in remove_duplicate_spans(spark.createDataFrame([(1, f"{a} x {b}"), (2, f"{b} {a}"), (3, f"{a} x {b}")], "doc_id long, text string")).collect()}
     assert (got[2].n_removed, got[2].n_factors) == (40, 2) and (got[3].n_removed, got[3].n_factors) == (41, 1)
+
+
+def test_hot_minimisers_spread_thin_are_counted():
+    """A phrase 15 times in each of many chunks, in ever different surroundings: the sample finds it and nothing else."""
+    import random
+
+    import pyarrow as pa
+
+    from graphloom.llm.substring_dedup import _loads
+
+    rng = random.Random(3)
+
+    def counts(phrase, chunk, every):
+        around = lambda: " ".join("w%d" % rng.randrange(10**9) for _ in range(8))
+        batch = pa.record_batch([pa.array(range(chunk * 15, chunk * 15 + 15), pa.int64()), pa.array([f"{around()} {phrase} {around()}" for _ in range(15)])], names=["doc_id", "text"])
+        return [(k, n) for out in _loads(13, 5, every)([batch]) for k, n in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+
+    # a phrase whose hash is small enough to be the minimiser of windows around it
+    phrase, hot = next((f"the very same words {i}", k) for i in range(100) for k, n in counts(f"the very same words {i}", 0, 1) if k is not None and n == 15)
+    total = {}
+    for chunk in range(400):
+        for k, n in counts(phrase, chunk, 16):
+            total[k] = total.get(k, 0) + n
+    assert total.pop(None) > 0
+    assert abs(total.pop(hot) / 6000 - 1) < 0.25
+    assert max(total.values()) <= 16 * 4
