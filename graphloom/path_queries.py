@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .model import PropertyGraph
+from .operators.closure import shared_folder
 from .operators.dataflow import reaching_definitions
 from .operators.dominators import dominators, versions
 from .operators.match import ends, label
@@ -19,6 +21,7 @@ from .rule_queries import _NEEDS, page_files, rule_sql
 from .sources import samples
 from .sources.samples import corpus
 from .sources.table_graph import TURNS, TYPES, UNIT, table_graph
+from .streaming.stored import EDGES, change_closure, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,6 +160,21 @@ def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("package_id").cast("long").alias("user_id"), F.col("node").alias("state"), "variable", "version", "is_join")
 
 
+@query(
+    f"""WITH RECURSIVE {_STATES.split("r AS (")[0].rstrip().rstrip(",")}, kept AS (SELECT * FROM ed WHERE (s + d) % 5 <> 0 OR (s + d) % 10 = 0), c AS (SELECT u, s, d FROM kept UNION SELECT c.u, c.s, kept.d FROM c JOIN kept ON kept.u = c.u AND kept.s = c.d)
+SELECT u AS user_id, s AS state, d AS reached FROM c"""
+)
+def event_closure_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which states lead to which, kept up to date: two thirds of the steps arrive, then the others while a fifth is withdrawn, then half of that comes back."""
+    edges, _, _ = _states(spark, sf_dir)
+    folder, number = f"{shared_folder(spark)}/updates-{uuid.uuid4().hex}", F.col("src") + F.col("dst")
+    change = lambda rows, withdrawn: rows.withColumn("withdrawn", F.lit(withdrawn))
+    change_closure(spark, folder, 0, change(edges.where(number % 3 != 0), False))
+    change_closure(spark, folder, 1, change(edges.where(number % 3 == 0), False).unionByName(change(edges.where(number % 5 == 0), True)))
+    change_closure(spark, folder, 2, change(edges.where(number % 10 == 0), False))
+    return stored(spark, folder, "closure", EDGES).select(F.col("package_id").cast("long").alias("user_id"), F.col("src").alias("state"), F.col("dst").alias("reached"))
+
+
 # programs -------------------------------------------------------------------------------------------
 
 
