@@ -16,6 +16,7 @@ from .operators.dominators import dominators, versions
 from .operators.match import ends, label
 from .operators.regular import many, matches, maybe, seq, step
 from .plans import aliases, dataflow, detect, packages
+from .plans.flow import call_graph
 from .queries import key_of, table
 from .rule_queries import _NEEDS, page_files, rule_sql
 from .sources import samples
@@ -248,3 +249,22 @@ SELECT DISTINCT p.v, names.name, NULL::BIGINT AS holder, NULL::VARCHAR AS proper
 def rule_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What variables and properties may be, through aliases and nested properties."""
     return aliases.may_be(corpus(spark, sf_dir))
+
+
+@query(
+    """WITH RECURSIVE free AS (SELECT * FROM n WHERE type <> 'Literal' AND coalesce(name, '') <> 'f'),
+fe AS (SELECT e.* FROM e JOIN free a ON a.v = e.v AND a.id = e.s JOIN free b ON b.v = e.v AND b.id = e.d WHERE e.rel NOT IN ('AST', 'FD')),
+w AS (SELECT v, id FROM free WHERE type IN ('TAINT_SOURCE', 'CFG_F_START') UNION SELECT w.v, fe.d FROM w JOIN fe ON fe.v = w.v AND fe.s = w.id),
+x AS (SELECT free.*, CASE WHEN c.v IS NOT NULL THEN 'darkviolet' WHEN type LIKE 'CFG%' THEN 'red' WHEN type LIKE 'PDG%' THEN 'darkgreen' WHEN type LIKE 'TAINT%' THEN 'goldenrod4' ELSE 'blue' END AS colour FROM free JOIN w ON w.v = free.v AND w.id = free.id LEFT JOIN (SELECT DISTINCT v, callee FROM cg) c ON c.v = free.v AND c.callee = free.id),
+y AS (SELECT fe.*, CASE rel WHEN 'CFG' THEN 'red' WHEN 'PDG' THEN 'darkgreen' WHEN 'CG' THEN 'goldenrod3' ELSE 'black' END AS colour FROM fe JOIN w ON w.v = fe.v AND w.id = fe.s)
+SELECT DISTINCT v, 0 AS part, 'digraph {' AS line FROM w UNION ALL SELECT DISTINCT v, 3, '}' FROM w
+UNION ALL SELECT v, 1, '  ' || id || ' [label="' || concat_ws(' ', id::VARCHAR, type, name) || '" color=' || colour || ' fontcolor=' || colour || '];' FROM x
+UNION ALL SELECT v, 2, '  ' || s || ' -> ' || d || ' [label="' || concat_ws(':', rel, r, name) || '" color=' || colour || ' fontcolor=' || colour || ' style=' || CASE WHEN rel IN ('REF', 'SINK') THEN 'dashed' ELSE 'solid' END || '];' FROM y""",
+    over_programs=True,
+)
+def rule_drawing_from_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the control flow and the taint source lead to, without syntax and literals, without what has the name f; functions that are called are marked."""
+    graph = corpus(spark, sf_dir)
+    called = call_graph(graph).select("package_id", F.col("callee").alias("node"))
+    starts = graph.n("TAINT_SOURCE", "CFG_F_START").select("package_id", F.col("node_id").alias("node"))
+    return packages.drawing_from(graph, starts, ("AST", "FD", "Literal"), ("f",), called)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from ..operators.closure import SMALL, checkpointed, reach, written
+from ..operators.closure import SMALL, checkpointed, reach, reached, written
 from ..operators.components import strong_components
 from ..operators.witness import shortest_paths
 from . import detect, param_types, protocol
@@ -274,3 +274,37 @@ def drawing(graph: PropertyGraph, ignore: tuple[str, ...] = ()) -> DataFrame:
     drawn = graph.edges.where(~F.col("rel_type").isin(*ignore)) if ignore else graph.edges
     edges = drawn.select("package_id", F.lit(2).alias("part"), F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"), F.lit(" [label="), quoted(F.concat_ws(":", "rel_type", "relation_type", "identifier_name")), F.lit("];")).alias("line"))
     return head.unionByName(nodes).unionByName(edges).unionByName(packages.select("package_id", F.lit(3).alias("part"), F.lit("}").alias("line")))
+
+
+# fixed values: colours of edges by rel_type, of nodes by what their type starts with, and the edges drawn dashed
+EDGE_COLOURS = {"AST": "blue", "CFG": "red", "SUB": "darkgreen", "PDG": "darkgreen", "CG": "goldenrod3"}
+NODE_COLOURS = {"CFG": "red", "PDG": "darkgreen", "TAINT": "goldenrod4"}
+DASHED = ("REF", "SINK")
+
+
+def drawing_from(graph: PropertyGraph, starts: DataFrame, ignore: tuple[str, ...] = (), ignore_functions: tuple[str, ...] = (), exported: DataFrame | None = None) -> DataFrame:
+    """package_id, part, line: DOT text, in colours, of what starts (package_id, node) lead to.
+
+    Edges of a rel_type in ignore are not followed, nodes of a type in ignore or with a name in ignore_functions neither drawn
+    nor entered. exported (package_id, node) are marked. A package in which nothing is drawn has no lines.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit("'")), F.lit('"'))
+    chosen = lambda c, of, other: F.coalesce(*(F.when(c == k, F.lit(v)) for k, v in of.items()), F.lit(other))
+    within = lambda c, names: F.coalesce(F.col(c).isin(*names), F.lit(False)) if names else F.lit(False)
+    free = graph.nodes.where(~within("type", ignore) & ~within("identifier_name", ignore_functions))
+    own = checkpointed(free.select("package_id", F.col("node_id").alias("node"), "type", "identifier_name"))
+    ids = own.select("package_id", "node")
+    end = lambda c: ids.withColumnRenamed("node", c)
+    edges = graph.edges.where(~within("rel_type", ignore)).join(end("src"), ["package_id", "src"], "left_semi").join(end("dst"), ["package_id", "dst"], "left_semi")
+    seeds = starts.select("package_id", "node").distinct().join(ids, ["package_id", "node"], "left_semi")
+    drawn = checkpointed(reached(edges, seeds, min_hops=0).distinct())
+    marked = (drawn.where("false") if exported is None else exported).select("package_id", "node", F.lit(True).alias("exported")).distinct()
+    node = own.join(drawn, ["package_id", "node"]).join(marked, ["package_id", "node"], "left")
+    colour = F.when(F.col("exported"), F.lit("darkviolet")).otherwise(chosen(F.substring_index("type", "_", 1), NODE_COLOURS, "blue"))
+    nodes = node.select("package_id", F.lit(1).alias("part"), F.concat(F.lit("  "), F.col("node").cast("string"), F.lit(" [label="), quoted(F.concat_ws(" ", F.col("node").cast("string"), "type", "identifier_name")), F.lit(" color="), colour, F.lit(" fontcolor="), colour, F.lit("];")).alias("line"))
+    shade = chosen(F.col("rel_type"), EDGE_COLOURS, "black")
+    style = F.when(within("rel_type", DASHED), F.lit("dashed")).otherwise("solid")
+    arrows = edges.join(drawn.withColumnRenamed("node", "src"), ["package_id", "src"], "left_semi")
+    arrows = arrows.select("package_id", F.lit(2).alias("part"), F.concat(F.lit("  "), F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"), F.lit(" [label="), quoted(F.concat_ws(":", "rel_type", "relation_type", "identifier_name")), F.lit(" color="), shade, F.lit(" fontcolor="), shade, F.lit(" style="), style, F.lit("];")).alias("line"))
+    packages = drawn.select("package_id").distinct()
+    return packages.select("package_id", F.lit(0).alias("part"), F.lit("digraph {").alias("line")).unionByName(nodes).unionByName(arrows).unionByName(packages.select("package_id", F.lit(3).alias("part"), F.lit("}").alias("line")))

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from graphloom.model import PropertyGraph
 from graphloom.plans import packages
 from graphloom.sources import graph_files
 from graphloom.streaming.arrivals import detect_arrivals
@@ -108,3 +109,26 @@ def test_folding_odd_names_roles_and_depth(spark):
     assert got["d"][1].count('"n"') == 199 and got["d"][0] == 1
     assert got["v"][1] == packages.POLLUTING and got["x"][1] == packages.TEXT
     assert got["w"] == (None, '{"_union":[{"1":"bool","x":"any"},["any","bool"]]}')
+
+
+def test_drawing_from_start_nodes(spark):
+    """The walk does not enter what is ignored, goes round a cycle once, and draws nothing of what it does not come to."""
+    n = [("p", 1, "TAINT_SOURCE", None), ("p", 2, "PDG_OBJECT", 'a"b'), ("p", 3, "Literal", "x"), ("p", 4, "VariableDeclarator", "skip"), ("p", 5, "VariableDeclarator", "behind"), ("p", 6, "CFG_F_START", "far"), ("p", 7, None, "untyped"), ("q", 1, "TAINT_SOURCE", "skip")]
+    e = [("p", i, a, b, rel, None, None) for i, (a, b, rel) in enumerate([(1, 2, "PDG"), (2, 1, "REF"), (2, 3, "PDG"), (2, 4, "PDG"), (4, 5, "PDG"), (6, 2, "CFG"), (2, 7, "CG"), (1, 5, "AST"), (2, 2, None), (2, 9, "PDG")])]
+    g = PropertyGraph(spark.createDataFrame(n, "package_id string, node_id long, type string, identifier_name string"), spark.createDataFrame(e, "package_id string, edge_id long, src long, dst long, rel_type string, relation_type string, identifier_name string"))
+    starts = spark.createDataFrame([("p", 1), ("p", 1), ("q", 1), ("r", 1), ("p", None)], "package_id string, node long")
+    exported = spark.createDataFrame([("p", 7)], "package_id string, node long")
+    got = rows(packages.drawing_from(g, starts, ("AST", "Literal"), ("skip",), exported))
+    assert {p for p, _, _ in got} == {"p"}
+    assert [line for _, part, line in got if part == 1] == [
+        '  1 [label="1 TAINT_SOURCE" color=goldenrod4 fontcolor=goldenrod4];',
+        """  2 [label="2 PDG_OBJECT a'b" color=darkgreen fontcolor=darkgreen];""",
+        '  7 [label="7 untyped" color=darkviolet fontcolor=darkviolet];',
+    ]
+    assert [line for _, part, line in got if part == 2] == [
+        '  1 -> 2 [label="PDG" color=darkgreen fontcolor=darkgreen style=solid];',
+        '  2 -> 1 [label="REF" color=black fontcolor=black style=dashed];',
+        '  2 -> 2 [label="" color=black fontcolor=black style=solid];',
+        '  2 -> 7 [label="CG" color=goldenrod3 fontcolor=goldenrod3 style=solid];',
+    ]
+    assert rows(packages.drawing_from(g, starts.where("false"))) == []
