@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .model import PropertyGraph
-from .operators.closure import shared_folder
+from .operators.closure import shared_folder, written
 from .operators.dataflow import reaching_definitions
 from .operators.dominators import dominators, versions
 from .operators.match import ends, label
@@ -167,7 +167,7 @@ SELECT u AS user_id, s AS state, d AS reached FROM c"""
 )
 def event_closure_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which states lead to which, kept up to date: two thirds of the steps arrive, then the others while a fifth is withdrawn, then half of that comes back."""
-    edges, _, _ = _states(spark, sf_dir)
+    edges = written(_states(spark, sf_dir)[0])
     folder, number = f"{shared_folder(spark)}/updates-{uuid.uuid4().hex}", F.col("src") + F.col("dst")
     change = lambda rows, withdrawn: rows.withColumn("withdrawn", F.lit(withdrawn))
     change_closure(spark, folder, 0, change(edges.where(number % 3 != 0), False))
