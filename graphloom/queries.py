@@ -107,8 +107,9 @@ def optional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exists_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of which an item was returned."""
     g = table_graph(spark, sf_dir)
-    returned = exists(ends(g, g.e("PDG", "DEP"), src=["Part"]).select("package_id", F.col("src").alias("p"), F.col("dst").alias("i")), ends(g, g.e("PDG", "SO", "R"), dst=["LineItem"]).select("package_id", F.col("dst").alias("i")), "i")
-    return start(g, "p", "Part").join(returned.select("p"), "p", "left_semi").select(key_of("p", "Part").alias("part"))
+    # rows of items may share a key, so the flag is taken from the row that names the part
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.lit("tree").alias("package_id"), node("Part", F.col("l_partkey")).alias("p"))
+    return exists(start(g, "p", "Part"), returned, "p").select(key_of("p", "Part").alias("part"))
 
 
 @query("SELECT c_custkey AS customer FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
