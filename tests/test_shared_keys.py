@@ -33,7 +33,7 @@ def shared(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["exists_pattern"])
+@pytest.mark.parametrize("name", ["exists_pattern", "taint_reach_intra"])
 def test_rows_that_share_a_key(spark, shared, name):
     """A flag counts for the row that has it, an item that is there twice once, and a part's item needs no order."""
     folder, con = shared
