@@ -16,14 +16,16 @@ but relative to its shorter context. Every key is found by a successor search in
 
 Smoothing is interpolated absolute discounting, by the same ``discount`` on both levels and in every shard, down
 to the add-one unigram. The smoothed log10 probabilities and back-off weights are quantised to 8 bits, uniformly
-between a shard's least and largest.
+between 0 and the least that so many tokens allow, so the codes do not depend on how the trie is cut.
 
-A word with more than ``SHARD`` training tokens is cut in groups by the hash of what follows it, each
-in a shard of its own choosing with the group's share folded in, so no shard depends on one word;
-such words are fewer than the shards, and their list is all the driver holds besides sums.
+A word with more than ``SHARD`` training tokens is cut in groups by the hash of what is before it, each
+in a shard of its own choosing, so no shard depends on one word. What follows such a word after any first word is
+counted before, in shards by the hash of the third: its counts are the same in every group, and a group that
+lacks a third word asks there. Such words are fewer than the shards, and their list, with the number of
+different words after each, is all the driver holds besides sums.
 
 Scale: one shuffle of words, one of packed trigrams (about 10 bytes for each that differs in its
-chunk). Levels are written to the shared folder and mapped, not loaded: a task pages in what it asks
+chunk), one of the packed pairs that begin with such a word. Levels are written to the shared folder and mapped, not loaded: a task pages in what it asks
 for. Writing is idempotent, a lost executor costs its tasks alone.
 
 Cases: null and empty texts have one token, the end. Null doc_ids are scored, neither learned from nor
@@ -54,6 +56,8 @@ KEY_BITS = 64  # three word numbers of a chunk are packed in one key, if they fi
 VOCABULARY_SHARD = 1 << 22
 END = U64(0x1F0E2D3C4B5A6978)  # stands for the end's hash
 TRIGRAMS = "shard int, second binary, first binary, third binary, times binary"
+PAIRS = "shard int, second binary, third binary, times binary"
+FOLLOWING = "shard long, path string, word array<long>, n array<long>"
 MANIFEST = "shard long, n long, tokens long, path string"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -68,7 +72,20 @@ class Model:
     tokens: int = 0
     words: int = 0
     discount: float = DISCOUNT
-    groups: dict[int, int] = field(default_factory=dict)  # id of a frequent word: groups of what follows it
+    groups: dict[int, int] = field(default_factory=dict)  # id of a frequent word: groups of what is before it, and of what follows it
+    counts: dict[int, int] = field(default_factory=dict)  # id of a frequent word: its tokens
+    n_following: dict[int, int] = field(default_factory=dict)  # and the different words after it
+    following: dict[int, str] = field(default_factory=dict)  # file of each shard of what follows frequent words
+
+    def scale(self) -> tuple[float, float]:
+        """Least value and step of the codes: no probability or weight is below that of one count among all tokens."""
+        low = float(np.log10(min(self.discount, 1 - self.discount) / max(self.tokens, 1)))
+        return low, -low / 255
+
+    def of_frequent(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of frequent words and the numbers of different words after them."""
+        word, at = np.unique(words, return_inverse=True)
+        return tuple(np.array([x[w] for w in word.tolist()], np.int64)[at] for x in (self.counts, self.n_following))
 
 
 class Vocabulary:
@@ -151,14 +168,14 @@ def _write_vocabulary(folder: str, bits: int):
     return write
 
 
-def _shard_of(second: np.ndarray, third: np.ndarray, groups: dict[int, int], n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of what follows each second word, and the number of groups of it."""
+def _shard_of(second: np.ndarray, other: np.ndarray, groups: dict[int, int], n_shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each second word with its first (of trigrams) or third (of what follows a frequent word), and the number of groups of it."""
     parts = np.ones(len(second), np.int64)
     if groups:
         words = np.array(sorted(groups))
         at = np.minimum(np.searchsorted(words, second), len(words) - 1)
         parts = np.where(words[at] == second, np.array([groups[w] for w in words.tolist()])[at], 1)
-    group = (mix(third.astype(U64) + U64(1)) % parts.astype(U64)).astype(np.int64)
+    group = (mix(other.astype(U64) + U64(1)) % parts.astype(U64)).astype(np.int64)
     return (mix(second.astype(U64) * U64(0x9E3779B97F4A7C15) + group.astype(U64)) % U64(n_shards)).astype(np.int64), parts
 
 
@@ -202,7 +219,7 @@ def _count_trigrams(model: Model):
         vocabulary = _vocabulary(tuple(model.vocabulary))
         for _, texts in chunks(batches, limit=8 << 20):
             second, first, third, many, *_ = _trigrams(texts, vocabulary)
-            shard, _ = _shard_of(second, third, model.groups, model.n_shards)
+            shard, _ = _shard_of(second, first, model.groups, model.n_shards)
             order = _by_shard(shard, model.n_shards)  # ids rise with hashes, so each shard's rows are sorted
             shard, arrays = shard[order], [a[order] for a in (second, first, third, many)]
             arrays = [a.astype(np.uint32) if model.words < 1 << 32 or a is arrays[3] else a for a in arrays]
@@ -213,10 +230,92 @@ def _count_trigrams(model: Model):
     return count
 
 
-def _quantised(log10: np.ndarray) -> tuple[np.ndarray, list[float]]:
-    low, high = (float(log10.min()), float(log10.max())) if len(log10) else (0.0, 0.0)
-    step = (high - low) / 255 or 1e-9  # equal values have code 0
-    return np.rint((log10 - low) / step).astype(np.uint8), [low, step]
+def _quantised(log10: np.ndarray, low: float, step: float) -> np.ndarray:
+    return np.clip(np.rint((log10 - low) / step), 0, 255).astype(np.uint8)
+
+
+def _count_following(model: Model):
+    """The pairs of a frequent word and the next one, by shard."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, frequent = _vocabulary(tuple(model.vocabulary)), np.array(sorted(model.groups))
+        for _, texts in chunks(batches, limit=8 << 20):
+            h, counts = hashed(texts)
+            unique, at = np.unique(h, return_inverse=True)
+            ids, _ = vocabulary.ids(unique)
+            own = np.isin(ids, frequent)[at]
+            own[np.cumsum(counts) - 1] = False  # nothing follows an end
+            place = np.flatnonzero(own)
+            key, many = np.unique(at[place] * len(unique) + at[place + 1], return_counts=True)
+            second, third = ids[key // max(len(unique), 1)], ids[key % max(len(unique), 1)]
+            shard, _ = _shard_of(second, third, model.groups, model.n_shards)
+            order = _by_shard(shard, model.n_shards)
+            shard, arrays = shard[order], [a[order].astype(np.uint32) if model.words < 1 << 32 or a is many else a[order] for a in (second, third, many)]
+            used = np.bincount(shard, minlength=model.n_shards) > 0
+            out = pa.record_batch([pa.array(np.arange(model.n_shards, dtype=np.int32)), *packed_by(shard, model.n_shards, *arrays)], names=[c.split()[0] for c in PAIRS.split(", ")])
+            yield out.filter(pa.array(used))
+
+    return count
+
+
+def _write_following(folder: str, model: Model):
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        shard, kind = table.column("shard")[0].as_py(), np.uint32 if model.words < 1 << 32 else np.int64
+        second, third = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c in ("second", "third"))
+        times = np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint32)
+        v = model.words + 2
+        context, rank = np.unique(second, return_inverse=True)
+        key = rank * v + third
+        order = np.argsort(key, kind="stable")
+        run = _groups(key[order])
+        key, total = key[order][run], np.concatenate(([0], np.cumsum(np.add.reduceat(times[order].astype(np.int64), run))))
+        path = f"{folder}/following-{shard}"
+        write_arrays(path, EliasFano.of(context.astype(np.int64), v).arrays("context") | EliasFano.of(key, len(context) * v).arrays("successor") | EliasFano.of(total, int(total[-1]) + 1).arrays("sum"))
+        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([path]), pa.array([context.astype(np.int64)], pa.list_(pa.int64())), pa.array([np.bincount(key // v, minlength=len(context))], pa.list_(pa.int64()))], names=["shard", "path", "word", "n"])
+
+    return write
+
+
+class Following:
+    def __init__(self, path: str):
+        arrays = map_arrays(path)[0]
+        self.context, self.successor, self.sum = (EliasFano.read(arrays, k) for k in ("context", "successor", "sum"))
+
+    def counts(self, second: np.ndarray, third: np.ndarray, v: int) -> np.ndarray:
+        """How often each third word follows the second; not at all: 0."""
+        word, at = np.unique(second, return_inverse=True)
+        rank = self.context.find(word)[at]
+        out = np.zeros(len(second), np.int64)
+        own = np.flatnonzero(rank >= 0)
+        key, which = np.unique(rank[own] * v + third[own], return_inverse=True)
+        place = self.successor.find(key)
+        n = np.zeros(len(key), np.int64)
+        n[place >= 0] = self.sum.get(place[place >= 0] + 1) - self.sum.get(place[place >= 0])
+        out[own] = n[which]
+        return out
+
+
+@lru_cache(maxsize=4096)
+def _following(path: str) -> Following:
+    return Following(path)
+
+
+def _times_following(model: Model, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """How often third words follow frequent ones, after any first word."""
+    out = np.zeros(len(second), np.int64)
+    if not len(second):
+        return out
+    shard, _ = _shard_of(second, third, model.groups, model.n_shards)
+    order = _by_shard(shard, model.n_shards)
+    ends = np.searchsorted(shard[order], np.arange(model.n_shards + 1))
+    for s, path in model.following.items():
+        if len(own := order[ends[s] : ends[s + 1]]):
+            out[own] = _following(path).counts(second[own], third[own], model.words + 2)
+    return out
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -269,11 +368,13 @@ def _write_shard(folder: str, model: Model):
         word, at = np.unique(successor % v, return_inverse=True)
         p1 = (vocabulary.counts(word)[at] + 1) / total
         _, parts = _shard_of(context, np.zeros(len(context), np.int64), model.groups, model.n_shards)
-        share = np.ones(len(context))
-        frequent = parts > 1
-        share[frequent] = total2[frequent] / np.maximum(vocabulary.counts(context[frequent]), total2[frequent])
-        weight2 = share * parts * d2 * n2 / total2
-        p2 = share[owner] * (count2 - d2) / total2[owner] + weight2[owner] * p1
+        frequent, different = parts > 1, n2.copy()
+        if frequent.any():  # what other groups have counts too
+            total2[frequent], different[frequent] = model.of_frequent(context[frequent])
+            own = np.flatnonzero(frequent[owner])
+            count2[own] = _times_following(model, context[owner[own]], successor[own] % v)
+        weight2 = d2 * different / total2
+        p2 = (count2 - d2) / total2[owner] + weight2[owner] * p1
 
         pair_begin = _groups(rank, first)
         pair = rank[pair_begin] * v + first[pair_begin]
@@ -284,11 +385,11 @@ def _write_shard(folder: str, model: Model):
         weight3 = d3 * n3 / total3
         relative = successor_of - pointer[rank]
         key3 = base[own_pair] + relative
-        p3 = share[rank] * (count3 - d3) / total3[own_pair] + weight3[own_pair] * p2[successor_of]
+        p3 = (count3 - d3) / total3[own_pair] + weight3[own_pair] * p2[successor_of]
 
         arrays, scale = {}, {}
         for name, values in (("p2", p2), ("w2", weight2), ("p3", p3), ("w3", weight3)):
-            arrays[name], scale[name] = _quantised(np.log10(values))
+            arrays[name], scale[name] = _quantised(np.log10(values), *model.scale()), list(model.scale())
         for name, values, size in (("context", context, v), ("successor", successor, len(context) * v), ("pointer", pointer, len(successor) + 1), ("pair", pair, len(context) * v), ("base", base, int(base[-1]) + 1), ("third", key3, int(base[-1]) + 1)):
             arrays |= EliasFano.of(values, size).arrays(name)
         path = f"{folder}/shard-{shard}"
@@ -308,15 +409,15 @@ class Shard:
     def value(self, name: str, at: np.ndarray) -> np.ndarray:
         return self.log10[name][self.code[name][at]]
 
-    def score(self, second: np.ndarray, first: np.ndarray, third: np.ndarray, p1: np.ndarray, v: int) -> np.ndarray:
-        """log10 P(third | first second); p1: that of third alone. Equal contexts stand together."""
-        out = p1.copy()
+    def score(self, second: np.ndarray, first: np.ndarray, third: np.ndarray, p1: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P(third | first second); whether the shard has third after second; and the pair's back-off weight where it counts. p1: that of third alone. Equal contexts stand together."""
+        out, follows, back = p1.copy(), np.zeros(len(p1), bool), np.zeros(len(p1))
         lead = _groups(second)
         rank = np.repeat(self.context.find(second[lead]), np.diff(np.append(lead, len(second))))
         seen = np.flatnonzero(rank >= 0)
         second, first, third, rank = second[seen], first[seen], third[seen], rank[seen]
         if not len(seen):
-            return out
+            return out, follows, back
         key, at = np.unique(rank * v + third, return_inverse=True)
         follow = self.successor.find(key)[at]
         known = follow >= 0
@@ -336,10 +437,11 @@ class Shard:
             third_at[both] = self.third.find(base[both] + relative)
         result = below
         unseen = (pair >= 0) & (third_at < 0)
-        result[unseen] += self.value("w3", pair[unseen])
+        weight = self.value("w3", pair[unseen])
+        result[unseen] += weight
         result[third_at >= 0] = self.value("p3", third_at[third_at >= 0])
-        out[seen] = result
-        return out
+        out[seen], follows[seen], back[seen[unseen]] = result, known, weight
+        return out, follows, back
 
 
 @lru_cache(maxsize=4096)
@@ -369,6 +471,13 @@ def fit(docs: DataFrame, shard: int = SHARD, vocabulary_shard: int = VOCABULARY_
     if frequent:
         ids, counts = _vocabulary(tuple(model.vocabulary)).ids(np.array([r["hash"] for r in frequent]).view(U64))
         model.groups = {int(i): int(-(-n // shard)) for i, n in zip(ids, counts)}
+        model.counts = {int(i): int(n) for i, n in zip(ids, counts)}
+        model.n_following = dict.fromkeys(model.groups, 0)
+        pairs = training.mapInArrow(_count_following(model), PAIRS).repartitionById(model.n_shards, F.col("shard"))
+        for row in pairs.mapInArrow(_write_following(folder, model), FOLLOWING).collect():
+            model.following[row["shard"]] = row["path"]
+            for word, n in zip(row["word"], row["n"]):
+                model.n_following[word] += n
     packed = training.mapInArrow(_count_trigrams(model), TRIGRAMS).repartitionById(model.n_shards, F.col("shard"))
     model.shards = {row["shard"]: row["path"] for row in packed.mapInArrow(_write_shard(folder, model), MANIFEST).collect()}
     return model
@@ -386,12 +495,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             second, first, third, _, seen, which, times, counts = _trigrams(texts, vocabulary)
             unigram = np.log10((seen + 1) / total)
             log10 = unigram.copy()
-            shard, _ = _shard_of(second, third, model.groups, model.n_shards)
+            shard, parts = _shard_of(second, first, model.groups, model.n_shards)
             order = _by_shard(shard, model.n_shards)
             ends = np.searchsorted(shard[order], np.arange(model.n_shards + 1))
+            follows, back = np.zeros(len(seen), bool), np.zeros(len(seen))
             for s, path in model.shards.items():
                 if len(own := order[ends[s] : ends[s + 1]]):
-                    log10[own] = _shard(path).score(second[own], first[own], third[own], unigram[own], v)
+                    log10[own], follows[own], back[own] = _shard(path).score(second[own], first[own], third[own], unigram[own], v)
+            if len(own := np.flatnonzero((parts > 1) & ~follows)):  # not in this group of a frequent word
+                counts2, (total2, different) = _times_following(model, second[own], third[own]), model.of_frequent(second[own])
+                low, step = model.scale()
+                weight = model.discount * different / total2
+                p2 = np.where(counts2 > 0, (counts2 - model.discount) / total2 + weight * ((seen[own] + 1) / total), weight)
+                log10[own] = low + step * _quantised(np.log10(p2), low, step) + np.where(counts2 > 0, 0, unigram[own]) + back[own]
             doc = np.repeat(np.arange(len(texts)), counts)
             ids = table.column("doc_id").to_pylist()
             out = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in ids]

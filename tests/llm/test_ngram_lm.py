@@ -93,6 +93,19 @@ def test_frequent_words_are_cut(spark):
     compare(rows, got, rounding(model) + 0.02)  # how many words follow a frequent one is estimated from each group
 
 
+@pytest.mark.parametrize("shard", [40, 150, 500])
+def test_scores_do_not_depend_on_shards(spark, shard):
+    """However the trie is cut, and whichever words are cut with it, the scores are those of one shard."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.choice(['the', 'of'])} w{int(rng.expovariate(0.1))}" for _ in range(rng.randrange(1, 60)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, cut = ngram_lm.fit(docs, shard=10**9), ngram_lm.fit(docs, shard=shard, vocabulary_shard=8)
+    assert not whole.groups and len(cut.groups) >= 2 and max(cut.groups.values()) > 1
+    one, many = (sorted((r.doc_id, r.score) for r in ngram_lm.scored(docs, m).collect()) for m in (whole, cut))
+    assert [s for _, s in many] == pytest.approx([s for _, s in one], abs=1e-9)
+    compare(rows, ngram_lm.scored(docs, cut).collect(), rounding(cut))
+
+
 def test_many_different_words(monkeypatch):
     """Trigrams whose numbers do not fit in one key are counted as those that do."""
     rng = random.Random(8)
