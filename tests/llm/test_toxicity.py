@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import toxicity
 from tests.llm.common import empty, odd, odd_rows, prose
@@ -67,3 +68,35 @@ def test_repeated_ids_and_bytes_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     assert isinstance(toxicity.fit(docs, labels), toxicity.Network)
     assert isinstance(toxicity.fit(docs, labels, sample_bytes=5), float)  # no text fits: the share of toxic labels
+
+
+def test_every_label_is_learned_from(spark):
+    """A word that only a few of many toxic rows have is learned, whichever rows they are."""
+    rng, n = random.Random(5), 6800
+    by_hash = [r.id for r in spark.range(n).where("id % 2 = 1").orderBy(F.xxhash64("id")).collect() if zlib.crc32(str(r.id).encode()) % 5]
+    few = set(by_hash[2500:])
+    assert len(few) > 100
+    rows = []
+    for i in range(n):
+        w = prose(rng, 12).split()
+        if i % 2:
+            w.insert(rng.randrange(len(w)), "zyxgrue" if i in few else BAD[0])
+        rows.append((i, " ".join(w), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels)
+    score = {r.doc_id: r.score for r in toxicity.scored(docs, net).collect()}
+    assert sum(score[i] >= 0.5 for i in few) >= 0.9 * len(few)
+    assert sum(score[i] >= 0.5 for i in range(0, n, 2)) <= 0.1 * n / 2
+
+
+def test_parts_are_learned_from_together(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    rng = random.Random(6)
+    rows = [(i, " ".join([*prose(rng, 12).split(), BAD[i % 3]][i % 2 :]) if i % 2 else prose(rng, 12), "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    net, again = (toxicity.fit(d, labels, part=600) for d in (docs, docs.repartition(5)))
+    got = toxicity.scored(docs, net).collect()
+    assert sum((r.predicted == 1) == (r.doc_id % 2 == 1) for r in got) >= 0.9 * len(got)
+    assert np.allclose(again.out, net.out, atol=1e-4)
