@@ -295,3 +295,16 @@ def test_config(spark, tmp_path):
     assert rows(tables["sinks"].fillna(""), "vuln_type", "sink", "package", "arg") == [("code-injection", "eval", "", 1), ("code-injection", "eval", "", 2), ("command-injection", "exec", "child_process", 1)]
     assert rows(tables["prototypes"]) == [("array", "map")]
     assert [(r.fn, r.args_types, r.rest) for r in tables["signatures"].collect()] == [("join", ["string"], True)]
+
+
+def test_leaves_of_hubs_go_in_one_round(spark):
+    """A tree of hubs is contracted in a few rounds, not in as many as the logarithm of its leaves."""
+    from graphloom.operators.closure import _contracted
+
+    edges = [("t", 0, h) for h in range(1, 6)] + [("t", h, 10_000 * h + i) for h in range(1, 6) for i in range(400)]
+    df = spark.createDataFrame(edges, "package_id string, src long, dst long")
+    root = spark.createDataFrame([("t", 0)], "package_id string, node long")
+    core, taken = _contracted(df, root)
+    assert core.isEmpty() and len(taken) <= 3 and sum(t.count() for t in taken) == len(edges)
+    seeds = root.select("package_id", F.col("node").alias("origin"), "node")
+    assert reach(df, seeds, 0, small=0).count() == len(edges) + 1
