@@ -414,7 +414,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
     typed = lambda df, schema: df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
     folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex[:12]}"
-    write_graph(PropertyGraph(typed(g.nodes, NODES), typed(g.edges, EDGES)), f"{folder}/nodes", f"{folder}/rels")
+    write_graph(PropertyGraph(typed(g.nodes, NODES), typed(g.edges, EDGES)), f"{folder}/nodes", f"{folder}/rels", compression="gzip")
     back = read_graph(spark, f"{folder}/nodes", f"{folder}/rels")
     nodes = back.nodes.select(F.col("type").alias("kind"), F.col("node_id").alias("id"), "identifier_name")
     edges = back.edges.select(F.concat_ws(" ", "rel_type", F.coalesce("relation_type", F.lit(""))).alias("kind"), F.col("dst").alias("id"), "identifier_name")

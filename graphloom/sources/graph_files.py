@@ -42,14 +42,14 @@ def read_graph(spark: SparkSession, nodes: str, edges: str, package_id: str = "m
     return PropertyGraph(node, edge)
 
 
-def write_graph(graph: PropertyGraph, nodes: str, edges: str) -> None:
-    """The interchange files; fields are not quoted."""
+def write_graph(graph: PropertyGraph, nodes: str, edges: str, compression: str = "none") -> None:
+    """The interchange files; fields are not quoted. compression: as Spark names it, read_graph sees it by the files' names."""
     text = lambda c: F.col(c).cast("string")
     n = graph.nodes.select(text("node_id"), "type", "sub_type", text("function_context"), "identifier_name", F.replace("raw", F.lit('"'), F.lit("'")), F.lit(None).cast("string"), F.to_json("location"), "code", "type").toDF(*NODE_COLUMNS)
     param = F.when(F.col("is_this"), "this").otherwise(text("param_index"))
     e = graph.edges.select(text("src"), text("dst"), "rel_type", "relation_type", "identifier_name", text("argument_index"), param, text("stmt_index"), text("element_index"), text("expression_index"), text("method_index"), "source_obj_name", text("is_prop")).toDF(*EDGE_COLUMNS)
     for df, path in ((n, nodes), (e, edges)):
-        df.write.mode("overwrite").csv(path, sep=SEPARATOR, header=True, quote="", escape="", nullValue="", emptyValue="")
+        df.write.mode("overwrite").csv(path, compression=compression, sep=SEPARATOR, header=True, quote="", escape="", nullValue="", emptyValue="")
 
 
 def write_parquet(graph: PropertyGraph, folder: str) -> None:

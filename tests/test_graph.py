@@ -308,3 +308,11 @@ def test_leaves_of_hubs_go_in_one_round(spark):
     assert core.isEmpty() and len(taken) <= 3 and sum(t.count() for t in taken) == len(edges)
     seeds = root.select("package_id", F.col("node").alias("origin"), "node")
     assert reach(df, seeds, 0, small=0).count() == len(edges) + 1
+
+
+def test_compressed_files_are_read_again(spark, tmp_path):
+    g = graphs.graph(spark, *graphs.exported_eval())
+    graph_files.write_graph(g, f"{tmp_path}/n", f"{tmp_path}/e", compression="gzip")
+    assert list((tmp_path / "n").glob("*.csv.gz")) and list((tmp_path / "e").glob("*.csv.gz"))
+    back = graph_files.read_graph(spark, f"{tmp_path}/n", f"{tmp_path}/e")
+    assert back.nodes.count() == g.nodes.count() and back.edges.count() == g.edges.count()
