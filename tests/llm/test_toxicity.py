@@ -100,3 +100,44 @@ def test_parts_are_learned_from_together(spark, monkeypatch):
     got = toxicity.scored(docs, net).collect()
     assert sum((r.predicted == 1) == (r.doc_id % 2 == 1) for r in got) >= 0.9 * len(got)
     assert np.allclose(again.out, net.out, atol=1e-4)
+
+
+def test_learning_codes_a_few_texts_at_once(monkeypatch):
+    """What is held while texts are coded does not grow with their number, and a cut into slices changes nothing."""
+    texts = [prose(random.Random(i), 40).encode() for i in range(60)] + [b"", b"vile"]
+    y, nets, sizes, encode = np.arange(len(texts)) % 2, [], [], toxicity.encode
+    monkeypatch.setattr(toxicity, "encode", lambda x: sizes.append(sum(map(len, x))) or encode(x))
+    for limit in (1 << 30, 1500):
+        monkeypatch.setattr(toxicity, "ENCODE_BYTES", limit)
+        nets.append(toxicity.train(texts, y.astype("float32"), epochs=1))
+    assert max(sizes[1:]) <= 1500 < sizes[0]
+    assert np.array_equal(nets[0].out, nets[1].out) and np.array_equal(nets[0].table, nets[1].table)
+
+
+def test_each_part_has_a_task(spark, monkeypatch):
+    """No task holds several parts, and no part is in several tasks."""
+    held, stored = {}, toxicity.runtime.stored
+
+    def seen(df, name):
+        if name == "toxicity-labelled":
+            held.update({r.p: r.parts for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("part").alias("parts")).collect()})
+        return stored(df, name)
+
+    monkeypatch.setattr(toxicity.runtime, "stored", seen)
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'good'} text {i}", "en") for i in range(400)], "doc_id long, text string, lang string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"), part=50)
+    assert len(held) > 4 and all(len(parts) == 1 for parts in held.values()) and len({parts[0] for parts in held.values()}) == len(held)
+
+
+def test_few_unlabelled_texts_are_shuffled(spark, monkeypatch):
+    """Every labelled id is let through by the bit map, few others are; a map that is too small changes no result."""
+    rows = spark.range(0, 4000, 4).withColumnRenamed("id", "doc_id")
+    among = spark.range(4000).withColumnRenamed("id", "doc_id").where(toxicity._among(rows, 1000)("doc_id"))
+    got = {r.doc_id for r in among.collect()}
+    assert set(range(0, 4000, 4)) <= got and len(got) < 1400
+    docs = spark.createDataFrame([(i % 600, f"{'vile' if i % 2 else 'good'} text {i}", "en") for i in range(900)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id int, toxic int")
+    nets = [toxicity.fit(docs, labels)]
+    monkeypatch.setattr(toxicity, "MOST_BITS", 7)
+    nets.append(toxicity.fit(docs, labels))
+    assert np.array_equal(nets[0].out, nets[1].out)
