@@ -4,6 +4,9 @@
 ``folder/committed/batch=<n>``, one file, is written when both are whole. What is stored now are, for each package, the rows
 of the last committed batch that touched it. A batch that is run again reads only batches before it and overwrites its own
 rows, so nothing is there twice and the result is the same.
+
+A closure's touched packages of up to ``SMALL`` rows are closed anew from their edges, many to a task; in larger ones only what
+a changed edge can change is.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.closure import SMALL, reach, written
+from ..operators.closure import PAIRS, SMALL, reach, written
 
 EDGES = "package_id string, src long, dst long"
 
@@ -50,6 +53,15 @@ def commit(folder: str, batch: int, packages: DataFrame, tables: dict[str, DataF
     put(packages.sparkSession.range(1).coalesce(1), "committed")
 
 
+def _applied(edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The changes that change something, and the edges after them."""
+    key = ["package_id", "src", "dst"]
+    changes = changes.where("package_id is not null and src is not null and dst is not null").groupBy(*key).agg(F.max(F.coalesce("withdrawn", F.lit(False))).alias("withdrawn"))
+    there = edges.select(*key).distinct().withColumn("there", F.lit(True))
+    changes = written(changes.join(there, key, "left").where(F.col("there").isNotNull() == F.col("withdrawn")).drop("there"))
+    return changes, written(edges.select(*key).distinct().join(changes.select(*key), key, "left_anti").unionByName(changes.where("not withdrawn").select(*key)))
+
+
 def updated(edges: DataFrame, closure: DataFrame, changes: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Edges and closure (package_id, src, dst; one edge or more) after changes (package_id, src, dst, withdrawn) to edges.
 
@@ -59,10 +71,7 @@ def updated(edges: DataFrame, closure: DataFrame, changes: DataFrame, small: int
     nothing. Rows with nulls are left out.
     """
     key = ["package_id", "src", "dst"]
-    changes = changes.where("package_id is not null and src is not null and dst is not null").groupBy(*key).agg(F.max(F.coalesce("withdrawn", F.lit(False))).alias("withdrawn"))
-    there = edges.select(*key).distinct().withColumn("there", F.lit(True))
-    changes = written(changes.join(there, key, "left").where(F.col("there").isNotNull() == F.col("withdrawn")).drop("there"))
-    after = written(edges.select(*key).distinct().join(changes.select(*key), key, "left_anti").unionByName(changes.where("not withdrawn").select(*key)))
+    changes, after = _applied(edges, changes)
     start = changes.select("package_id", F.col("src").alias("node")).distinct()
     before = closure.select("package_id", F.col("dst").alias("node"), "src").join(start, ["package_id", "node"], "left_semi").select("package_id", F.col("src").alias("node"))
     stale = written(start.unionByName(before).distinct())
@@ -81,9 +90,18 @@ def change_closure(spark: SparkSession, folder: str, batch: int, changes: DataFr
         return
     changes = written(changes.select("package_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "withdrawn"))
     touched = changes.select("package_id").where("package_id is not null").distinct()
-    edges, closure = (stored(spark, folder, name, EDGES, batch).join(touched, "package_id", "left_semi") for name in ("edges", "closure"))
-    edges, closure = updated(edges, closure, changes, small)
-    commit(folder, batch, touched, {"edges": edges, "closure": closure})
+    before, closure = (stored(spark, folder, name, EDGES, batch) for name in ("edges", "closure"))
+    before = written(before.join(touched, "package_id", "left_semi"))
+    _, edges = _applied(before, changes)
+    size = edges.groupBy("package_id").agg(F.count("*").alias("e"), F.countDistinct("src").alias("s"))
+    big = written(size.where((F.col("e") + F.col("s") > small) | (F.col("e") * F.col("s") > PAIRS)).select("package_id"))
+    # all rows of a touched package are written anew, so in a task they are derived anew from its edges: the closure before is neither read nor shuffled
+    few = edges.join(big, "package_id", "left_anti")
+    found = reach(few, few.select("package_id", F.col("src").alias("origin"), F.col("src").alias("node")).distinct(), small=small)
+    found = found.select("package_id", F.col("origin").alias("src"), F.col("node").alias("dst"))
+    if not big.isEmpty():
+        found = found.unionByName(updated(*(x.join(big, "package_id", "left_semi") for x in (before, closure, changes)), small)[1])
+    commit(folder, batch, touched, {"edges": edges, "closure": found})
 
 
 def closure_of_changes(spark: SparkSession, changes: str, folder: str, checkpoint: str) -> StreamingQuery:

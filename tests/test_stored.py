@@ -91,3 +91,18 @@ def test_detections_are_merged(spark, tmp_path):
     put(1, ["b", "c"], [("c", "exec")])
     put(1, ["b", "c"], [("c", "exec")])
     assert read() == [("a", "exec"), ("c", "exec")]
+
+
+def test_only_large_packages_read_their_closure(spark, tmp_path, monkeypatch):
+    """Small packages are closed anew from their edges; a large one beside them changes with what changed; all are right."""
+    from graphloom.streaming import stored as module
+
+    seen, updated = [], module.updated
+    monkeypatch.setattr(module, "updated", lambda edges, *rest: seen.extend(r[0] for r in edges.select("package_id").distinct().collect()) or updated(edges, *rest))
+    folder = f"file://{tmp_path}/kept"
+    edges = [("big", i, (7 * i + 1) % 12) for i in range(12)] + [("few", 1, 2), ("few", 2, 3)]
+    change = lambda n, e, gone: change_closure(spark, folder, n, spark.createDataFrame([(*x, gone) for x in e], C), 12)
+    change(0, edges, False)
+    change(1, [edges[0], edges[-1]], True)
+    assert rows(spark, folder, "closure") == plain(edges[1:-1])
+    assert set(seen) == {"big"}
