@@ -316,3 +316,41 @@ def test_compressed_files_are_read_again(spark, tmp_path):
     assert list((tmp_path / "n").glob("*.csv.gz")) and list((tmp_path / "e").glob("*.csv.gz"))
     back = graph_files.read_graph(spark, f"{tmp_path}/n", f"{tmp_path}/e")
     assert back.nodes.count() == g.nodes.count() and back.edges.count() == g.edges.count()
+
+
+def test_walks_of_graphs_counted_once(spark):
+    """The way without counts gives what a plain search gives: cycles, loops, repeated rows, seeds without edges, ids of any sign, the same ids in packages."""
+    steps = [("p", 1, 2), ("p", 2, 3), ("p", 3, 1), ("p", 2, 3), ("p", 4, 4), ("p", -5, 1), ("q", 1, 9), ("q", 9, -5), ("r", 1, None), (None, 1, 2)]
+    starts = [("p", 1, 1), ("p", 1, 1), ("p", 7, 4), ("p", 0, -5), ("p", 8, 8), ("q", 1, 1), ("q", 9, 9), ("s", 3, 3)]
+    edges = spark.createDataFrame(steps, "package_id string, src long, dst long")
+    seeds = spark.createDataFrame(starts, "package_id string, origin long, node long")
+    for hops in (0, 1):
+        for back in (False, True):
+            ways = [(p, b, a) if back else (p, a, b) for p, a, b in steps]
+            want = set()
+            for p, o, n in set(starts):
+                seen, todo = ({n}, [n]) if hops == 0 else (set(), [n])
+                while todo:
+                    at = todo.pop()
+                    new = {b for q, a, b in ways if q == p and a == at and b is not None} - seen
+                    seen |= new
+                    todo += new
+                want |= {(p, o, x) for x in seen}
+            for few in (False, True):
+                got = [tuple(r) for r in reach(edges, seeds, hops, backward=back, few=few).select("package_id", "origin", "node").collect()]
+                assert sorted(got) == sorted(want), (hops, back, few)
+
+
+def test_few(spark):
+    """One package with too many pairs, and walks of the whole graph are counted one by one."""
+    little = graphs.graph(spark, *graphs.exported_eval())
+    much = graphs.graph(spark, [(i, "PDG_OBJECT", "x") for i in range(1500)], [(i, i + 1, "PDG", "NV", None) for i in range(1499)], package="q")
+    assert little.few and not graphs.union(little, much).few
+
+
+def test_corpus_is_dealt_over_files(spark, tmp_path):
+    """Suppliers are one small file; the graph that is made of them is not one task's."""
+    spark.range(1, 101).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    g = samples.corpus(spark, str(tmp_path))
+    assert len(g.edges.inputFiles()) > 1 and len(g.nodes.inputFiles()) > 1
+    assert g.few and g.edges.select("package_id").distinct().count() == 100
