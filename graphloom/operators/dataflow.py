@@ -14,18 +14,19 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .closure import SMALL, dealt, whole_packages, written
+from .closure import SMALL, dealt, spans, whole_packages, written
 from .contraction import contracted
 
 BITS = 1 << 28
 _OUT = "package_id string, node long, variable string, definition long"
 
 
-def solved(edges: list[tuple[int, int]], definitions: list[tuple[int, str]]) -> Iterator[tuple[int, str, int]]:
+def solved(edges: list[tuple[int, int]], definitions: list[tuple[int, str | int]]) -> Iterator[tuple[int, str | int, int]]:
     """(node, variable, definition) of one package."""
     bits = sorted(set(definitions))
     of_variable: dict[str, int] = {}
@@ -63,22 +64,29 @@ def solved(edges: list[tuple[int, int]], definitions: list[tuple[int, str]]) ->
 def _solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["package_id", "node", "variable", "definition"]
     for table in whole_packages(batches):
-        packages: dict[str, tuple[list, list]] = {}
-        for package, a, b, variable in zip(*(table.column(c).to_pylist() for c in ("package_id", "a", "b", "variable")), strict=True):
-            edges, definitions = packages.setdefault(package, ([], []))
-            if b is None:
-                definitions.append((a, variable))
-            else:
-                edges.append((a, b))
+        packages, parts = spans(table)
+        coded = table.column("variable").combine_chunks().dictionary_encode()  # edges have none
+        of_row = coded.indices.fill_null(0).to_numpy().tolist()
+        a, b = table.column("a").to_numpy().tolist(), table.column("b").fill_null(0).to_numpy().tolist()
+        edge = table.column("b").is_valid().to_numpy().tolist()
+
+        def batch(of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            node, variable, definition = (np.array(x) for x in zip(*rows, strict=True))
+            return pa.record_batch([packages.take(pa.array(np.array(of))), pa.array(node), coded.dictionary.take(pa.array(variable)), pa.array(definition)], names=names)
+
         rows: list[tuple] = []
-        for package, (edges, definitions) in packages.items():
+        of: list[int] = []
+        for i, (begin, end) in enumerate(parts):
+            edges = [(a[j], b[j]) for j in range(begin, end) if edge[j]]
+            definitions = [(a[j], of_row[j]) for j in range(begin, end) if not edge[j]]
             for row in solved(edges, definitions):
-                rows.append((package, *row))
+                rows.append(row)
+                of.append(i)
                 if len(rows) == 1 << 15:
-                    yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=names)
-                    rows = []
+                    yield batch(of, rows)
+                    rows, of = [], []
         if rows:
-            yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+            yield batch(of, rows)
 
 
 def _large(edges: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .closure import SMALL, dealt, reach, whole_packages, written
+from .closure import SMALL, dealt, reach, spans, whole_packages, written
 from .dataflow import reaching_definitions
 
 _ABOVE = -(1 << 63)  # stands for what leads to all roots
@@ -84,25 +85,32 @@ def _packages(solve: Callable[[list, list], Iterable[tuple]], names: list[str]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_packages(batches):
-            packages: dict[str, tuple[list, list]] = {}
-            for package, a, b, kind in zip(*(table.column(c).to_pylist() for c in ("package_id", "a", "b", "kind")), strict=True):
-                packages.setdefault(package, ([], []))[kind].append((a, b))
+            packages, parts = spans(table)
+            a, kind = table.column("a").to_numpy().tolist(), table.column("kind").to_numpy().tolist()
+            b = table.column("b").fill_null(0).to_numpy().astype(object)
+            b[table.column("b").is_null().to_numpy()] = None
+            b = b.tolist()
             rows: list[tuple] = []
-            for package, (edges, others) in packages.items():
-                for row in solve(edges, others):
-                    rows.append((package, *row))
+            of: list[int] = []
+            for i, (begin, end) in enumerate(parts):
+                kinds: tuple[list, list] = ([], [])
+                for j in range(begin, end):
+                    kinds[kind[j]].append((a[j], b[j]))
+                for row in solve(*kinds):
+                    rows.append(row)
+                    of.append(i)
                     if len(rows) == 1 << 15:
-                        yield _batch(rows, names)
-                        rows = []
+                        yield _batch(packages, of, rows, names)
+                        rows, of = [], []
             if rows:
-                yield _batch(rows, names)
+                yield _batch(packages, of, rows, names)
 
     return run
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    package, *ids = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(package, pa.string()), *(pa.array(x, pa.int64()) for x in ids)], names=["package_id", *names])
+def _batch(packages: pa.Array, of: list[int], rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    ids = zip(*rows, strict=True)
+    return pa.record_batch([packages.take(pa.array(np.array(of))), *(pa.array(x, pa.int64()) for x in ids)], names=["package_id", *names])
 
 
 def _dealt_or_joined(edges: DataFrame, others: DataFrame, solve, names: list[str], large: Callable[[DataFrame, DataFrame], DataFrame], small: int) -> DataFrame:
@@ -213,6 +221,7 @@ def versions(edges: DataFrame, roots: DataFrame, definitions: DataFrame, small:
     which they do (is_join). Nodes to which no root leads have none. A variable not yet defined on some way is a version too,
     so a definition on one branch gives a join; a node has a row for a variable only if one of its versions dominates it.
     """
+    edges = written(edges.select("package_id", "src", "dst"))  # read twice
     idoms = written(dominators(edges, roots, small))
     own = definitions.select("package_id", F.col("node").cast("long").alias("node"), "variable").where("variable is not null").distinct()
     own = written(own.join(idoms.select(*_NODE), _NODE, "left_semi"))

@@ -129,8 +129,8 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     events = table(spark, sf_dir, "events").where("user_id is not null and event_id is not null and ts is not null")
     band = F.floor(text.json_int(F.col("props"), "$.k") / 10)
     events = events.select(F.col("user_id").cast("string").alias("package_id"), "ts", "event_id", "event_type", F.to_json(F.struct("event_type", band.alias("band"))).alias("kind"), F.to_date("ts").alias("day"))
-    named = events.groupBy("package_id", "kind").agg(F.min("event_id").alias("node"), F.first("event_type").alias("variable"))
-    events = events.join(named.select("package_id", "kind", "node"), ["package_id", "kind"])
+    named = written(events.groupBy("package_id", "kind").agg(F.min("event_id").alias("node"), F.first("event_type").alias("variable")))
+    events = written(events.join(named.select("package_id", "kind", "node"), ["package_id", "kind"]).select("package_id", "day", "ts", "event_id", "node"))
     # the next event of a day in a window for each day, so that no user's events are all in one task; then that of the next day
     follows = events.withColumn("next", F.lead("node").over(Window.partitionBy("package_id", "day").orderBy("ts", "event_id")))
     days = events.groupBy("package_id", "day").agg(F.min_by("node", F.struct("ts", "event_id")).alias("first"))

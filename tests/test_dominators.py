@@ -131,3 +131,21 @@ def test_nulls_and_empty_tables(spark):
     assert got == [("p", 1, None), ("p", 2, 1)] and fronts == [("p", 2, 2)]
     assert run(spark, [], [], 100_000) == ([], [])
     assert version_rows(spark, [(1, 2)], [1], [(1, None), (None, "x")]) == []
+
+
+def test_edges_of_versions_are_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("p", 1, 2), ("p", 1, 3), ("p", 2, 4), ("p", 3, 4)]
+    edges = spark.createDataFrame(rows, "package_id string, src long, dst long")
+    edges = edges.mapInArrow(counted, edges.schema)
+    roots = spark.createDataFrame([("p", 1)], "package_id string, node long")
+    made = spark.createDataFrame([("p", 2, "x"), ("p", 3, "x")], "package_id string, node long, variable string")
+    got = {tuple(r) for r in versions(edges, roots, made).collect()}
+    assert got == {("p", 4, "x", 4, True)}
+    assert seen.value == len(rows)
