@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
-from ..operators.closure import reach, reached
+from ..operators.closure import checkpointed, reach, reached
 from ..operators.match import exists, hop, label, optional, single, start, union
 from ..operators.witness import shortest_paths
 from .flow import OBJECT, Flow, declared_params, flow_of, parameter_edges
@@ -26,14 +26,14 @@ def injection_intra(graph: PropertyGraph) -> DataFrame:
     """package_id, sink: sinks that a tainted parameter of some function with a body reaches over any dependencies."""
     params = label(graph, hop(graph, start(graph, "source", "TAINT_SOURCE"), "source", "node", "PDG", "TAINT"), "node", OBJECT)
     functions = hop(graph, hop(graph, params, "node", "func", "REF", "param", reverse=True), "func", "body", "AST")
-    back = reached(graph.e("PDG").select("package_id", "src", "dst"), functions.select("package_id", "node").distinct())
+    back = reached(graph.e("PDG").select("package_id", "src", "dst"), functions.select("package_id", "node").distinct(), few=graph.few)
     return label(graph, back.withColumnRenamed("node", "sink"), "sink", "TAINT_SINK")
 
 
 def injection_bottom_up(graph: PropertyGraph, flow: Flow) -> DataFrame:
     """package_id, sink: sinks that a confirmed parameter reaches by flow."""
     params = exists(declared_params(graph), flow.confirmed, "node").select("package_id", "node").distinct()
-    return label(graph, reached(flow.edges, params).withColumnRenamed("node", "sink"), "sink", "TAINT_SINK")
+    return label(graph, reached(flow.edges, params, few=graph.few).withColumnRenamed("node", "sink"), "sink", "TAINT_SINK")
 
 
 def located(found: DataFrame, lines: DataFrame | None) -> DataFrame:
@@ -134,7 +134,7 @@ def prototype_pollution_bottom_up(graph: PropertyGraph, flow: Flow) -> DataFrame
     """Patterns whose two properties and value are all exported, or all reached from confirmed parameters."""
     found = pollution_patterns(graph)
     params = exists(declared_params(graph), flow.confirmed, "node").select("package_id", "node").distinct()
-    tainted = reached(flow.edges, params, min_hops=0)
+    tainted = checkpointed(reached(flow.edges, params, min_hops=0, few=graph.few))
 
     def all_in(nodes: DataFrame) -> DataFrame:
         rows = found
@@ -153,9 +153,9 @@ def prototype_pollution_intra(graph: PropertyGraph) -> DataFrame:
     taint = graph.e("PDG", "TAINT").select("package_id", F.col("src").alias("source"), F.col("dst").alias("node"))
     any_source = label(graph, taint, "node", OBJECT).select("package_id", "node").distinct()
     of_source = label(graph, label(graph, taint, "source", "TAINT_SOURCE"), "node", OBJECT).select("package_id", "node").distinct()
-    key, assigned = reached(passable, of_source), reached(passable, any_source)
+    key, assigned = reached(passable, of_source, few=graph.few), reached(passable, any_source, few=graph.few)
     found = found.join(key.withColumnRenamed("node", "sub"), ["package_id", "sub"], "left_semi").join(assigned.withColumnRenamed("node", "version"), ["package_id", "version"], "left_semi")
-    values = reach(passable, any_source.select("package_id", F.col("node").alias("origin"), "node"), min_hops=0).select("package_id", F.col("origin").alias("value"), F.col("node").alias("dep"))
+    values = reach(passable, any_source.select("package_id", F.col("node").alias("origin"), "node"), min_hops=0, few=graph.few).select("package_id", F.col("origin").alias("value"), F.col("node").alias("dep"))
     found = hop(graph, found, "property", "dep", "PDG", "DEP", reverse=True).join(values, ["package_id", "dep"]).select("package_id", "obj", "value", "property").distinct()
     found = exists(found, graph.e("REF").select("package_id", F.col("dst").alias("value")), "value")
     return _assignment(graph, found)
