@@ -104,21 +104,21 @@ def pollution_patterns_intra(graph: PropertyGraph) -> DataFrame:
 
 def pollution_patterns(graph: PropertyGraph) -> DataFrame:
     """package_id, obj, property1, property2, value, property: four ways from a lookup to a write."""
-    names = ("package_id", "obj", "property1", "property2", "value", "property")
-
-    def written(found: DataFrame, source: str) -> DataFrame:
-        found = _depends(graph, _write(graph, found, source), "version", "property2")
-        return _depends(graph, found, "property", "value").select(*names).distinct()
-
-    sub = _depends(graph, _lookup(graph), "sub", "property1")
+    sub = checkpointed(_depends(graph, _lookup(graph), "sub", "property1"))
     over = reach(parameter_edges(graph), sub.select("package_id", F.col("sub").alias("origin"), F.col("sub").alias("node")).distinct())
     passed = _object(graph, sub.join(over.withColumnsRenamed({"origin": "sub", "node": "param"}), ["package_id", "sub"]), "param")
     either = _object(graph, hop(graph, sub, "sub", "choice", "PDG", "DEP"), "choice")
-    logical = label(graph, hop(graph, either.select("package_id", "choice").distinct(), "choice", "statement", "REF", "obj", reverse=True), "statement", "ExpressionStatement")
+    # objects that a || makes
+    logical = label(graph, hop(graph, start(graph, "statement", "ExpressionStatement"), "statement", "choice", "REF", "obj"), "choice", OBJECT)
     logical = label(graph, hop(graph, logical, "statement", "assignment", "AST", "expression"), "assignment", "AssignmentExpression")
     logical = label(graph, hop(graph, logical, "assignment", "right", "AST", "right"), "right", "LogicalExpression")
     loose = _lookup(graph, None).withColumn("property1", F.col("obj"))
-    return union(written(sub, "sub"), written(passed, "param"), written(exists(either, logical, "choice"), "choice"), written(loose, "sub"))
+    looked = ((sub, "sub"), (passed, "param"), (exists(either, logical, "choice"), "choice"), (loose, "sub"))
+    # the four ways differ in where the write starts; what is written there is found once
+    ways = union(*(found.select("package_id", "obj", "property1", F.col(source).alias("source")) for found, source in looked))
+    written = _depends(graph, _write(graph, start(graph, "source"), "source"), "version", "property2")
+    written = _depends(graph, written, "property", "value")
+    return ways.join(written, ["package_id", "source"]).select("package_id", "obj", "property1", "property2", "value", "property").distinct()
 
 
 def _assignment(graph: PropertyGraph, found: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _assignment(graph: PropertyGraph, found: DataFrame) -> DataFrame:
 
 def prototype_pollution_bottom_up(graph: PropertyGraph, flow: Flow) -> DataFrame:
     """Patterns whose two properties and value are all exported, or all reached from confirmed parameters."""
-    found = pollution_patterns(graph)
+    found = checkpointed(pollution_patterns(graph))
     params = exists(declared_params(graph), flow.confirmed, "node").select("package_id", "node").distinct()
     tainted = checkpointed(reached(flow.edges, params, min_hops=0, few=graph.few))
 
